@@ -588,7 +588,7 @@ def accept_similar(spark, sf):
     frame = labelled_documents(spark, sf).select("doc_id", "text", "toxic")
     made = materialise(balance_class(spark, sf))
     kept = balance.accept_similar(made, frame, "doc_id", "text", "toxic")
-    return kept.select("doc_id", "variant", "method", F.col("similarity_score") >= 0.85)
+    return kept.select("doc_id", "variant", "method", (F.col("similarity_score") >= 0.85).alias("near"))
 
 
 def training_part(spark: SparkSession, sf: str, label: str, frame: DataFrame) -> DataFrame:

@@ -15,14 +15,7 @@ MAX_LANGUAGES = 500
 
 def trigrams(text: Column) -> Column:
     """All trigrams of the whole text, lower-cased, white space collapsed."""
-    chars = F.split(F.lower(collapse_spaces(text)), "")
-    # Three shifted copies zipped: every character is touched a fixed number of times.
-    shifted = F.arrays_zip(
-        chars.alias("a"), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))).alias("b"),
-        F.slice(chars, 3, F.greatest(F.size(chars) - 2, F.lit(0))).alias("c"),
-    )
-    grams = F.transform(shifted, lambda s: F.concat(s["a"], s["b"], s["c"]))
-    return F.filter(grams, lambda g: g.isNotNull() & (F.length(g) == 3))
+    return F.regexp_extract_all(F.lower(collapse_spaces(text)), F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
 @dataclass

@@ -41,15 +41,16 @@ def lookup_join(
     """
     local = pin(lookup, max_rows)
     if local is not None:
-        return _keyed_join(left, F.broadcast(local), on, how)
+        return keyed_join(left, F.broadcast(local), on, how)
     if not spread:
-        return _keyed_join(left, lookup, on, how)
+        return keyed_join(left, lookup, on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return _keyed_join(salted, copies, [*on, "_salt"], how).drop("_salt")
+    return keyed_join(salted, copies, [*on, "_salt"], how).drop("_salt")
 
 
-def _keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal keys, NULL equal to NULL; the keys of ``left`` stay."""
     keys = {c: f"_right_{c}" for c in on}
     right = right.withColumnsRenamed(keys)
     condition = None
