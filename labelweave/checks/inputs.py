@@ -9,6 +9,7 @@ from ..functions.hashing import uniform
 from ..operators.augment import synonym_table
 
 SEED = 42
+LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 # Frequent function words of the four languages in the test texts.
 STOP_WORDS = (
@@ -43,11 +44,11 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every order line with a 0/1 label and a score that leans towards it; scores are often tied."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    lines = table(spark, folder, "lineitem").select(*LINE_ID, "l_returnflag")
     label = (F.col("l_returnflag") == "R").cast("int")
     noise = uniform(SEED, F.col("l_orderkey"), "score", F.col("l_linenumber"))
     return lines.select(
-        "l_orderkey", "l_linenumber", label.alias("true_label"),
+        *LINE_ID, label.alias("true_label"),
         F.round(noise * 0.7 + label * 0.3, 3).alias("probability"),
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.fixed_values import CONTRACTIONS, LEMMA_EXCEPTIONS, METRIC_HEADERS
-from .inputs import SEED, STOP_WORDS, SYNONYM_PAIRS
+from .inputs import LINE_ID, SEED, STOP_WORDS, SYNONYM_PAIRS
 
 WORD = r"[\pL\pN_]"
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ]"
@@ -51,10 +51,9 @@ def words(col: str) -> str:
 
 def squeeze(col: str) -> str:
     chars = f"string_split({col}, '')"
-    return (
-        f"array_to_string(list_filter({chars}, lambda x, k: NOT (k > 2 AND x <> chr(10) "
-        f"AND x = {chars}[k-1] AND x = {chars}[k-2])), '')"
-    )
+    rows = f"list_zip({chars}, list_concat([NULL], {chars}), list_concat([NULL, NULL], {chars}))"
+    keep = "z[1] IS NOT NULL AND NOT coalesce(z[1] <> chr(10) AND z[1] = z[2] AND z[1] = z[3], false)"
+    return f"array_to_string(list_transform(list_filter({rows}, lambda z: {keep}), lambda z: z[1]), '')"
 
 
 def expand(col: str) -> str:
@@ -114,12 +113,12 @@ def shuffle_key(*parts: str) -> str:
 def staged_full(source: str, key: str, out: str) -> str:
     """Full cleaning in steps, so that no expression is repeated inside another."""
     return f"""
-        s1 AS (SELECT {key}, {soft('txt')} AS txt FROM ({source})),
-        s2 AS (SELECT {key}, {expand('txt')} AS txt FROM s1),
-        s3 AS (SELECT {key}, {squeeze('txt')} AS txt FROM s2),
-        s4 AS (SELECT {key}, {replace('lower(txt)', NOT_WORD_NOT_SPACE)} AS txt FROM s3),
-        s5 AS (SELECT {key}, {lemmas('txt')} AS txt FROM s4),
-        {out} AS (SELECT {key}, {collapse(content('txt'))} AS full_text FROM s5)"""
+        s1 AS MATERIALIZED (SELECT {key}, {soft('txt')} AS txt FROM ({source})),
+        s2 AS MATERIALIZED (SELECT {key}, {expand('txt')} AS txt FROM s1),
+        s3 AS MATERIALIZED (SELECT {key}, {squeeze('txt')} AS txt FROM s2),
+        s4 AS MATERIALIZED (SELECT {key}, {replace('lower(txt)', NOT_WORD_NOT_SPACE)} AS txt FROM s3),
+        s5 AS MATERIALIZED (SELECT {key}, {lemmas('txt')} AS txt FROM s4),
+        {out} AS MATERIALIZED (SELECT {key}, {collapse(content('txt'))} AS full_text FROM s5)"""
 
 
 WITH_LABELS = "(SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -262,7 +261,7 @@ def balanced(source: str, label: str, only: str = "true") -> str:
 
 # --- evaluation -------------------------------------------------------------------------------
 
-SCORED = f"""SELECT l_orderkey, l_linenumber, (l_returnflag = 'R')::INT AS true_label,
+SCORED = f"""SELECT {', '.join(LINE_ID)}, (l_returnflag = 'R')::INT AS true_label,
     round({uniform('l_orderkey', "'score'", 'l_linenumber')} * 0.7::DOUBLE + (l_returnflag = 'R')::INT * 0.3::DOUBLE, 3) AS probability
     FROM lineitem"""
 
@@ -460,7 +459,7 @@ ORACLE: dict[str, str] = {
         regexp_extract_all(text, {quoted(f'{SPACE}+|{NOT_SPACE}+')}),
         lambda p: CASE p WHEN 'the' THEN 'THE' WHEN 'que' THEN 'QUE' WHEN 'und' THEN '' ELSE p END), '') AS text FROM documents""",
     "null_as_text": f"SELECT doc_id, coalesce(toxic::VARCHAR, 'nan') AS toxic_text FROM {WITH_LABELS}",
-    "drop_class": f"SELECT doc_id, toxic FROM {WITH_LABELS} WHERE toxic IS DISTINCT FROM 1",
+    "drop_class": f"SELECT doc_id, coalesce(toxic, -1) AS toxic FROM {WITH_LABELS} WHERE toxic IS DISTINCT FROM 1",
     "drop_missing": f"SELECT doc_id, toxic, quality FROM {WITH_LABELS} WHERE toxic IS NOT NULL AND quality IS NOT NULL",
     "empty_to_null": f"""SELECT doc_id, CASE WHEN toxic = 0 THEN NULL ELSE toxic::VARCHAR END AS toxic_text,
         nullif(lang, 'de') AS lang FROM {WITH_LABELS}""",
@@ -500,17 +499,15 @@ ORACLE: dict[str, str] = {
         sum(CASE WHEN conflicted THEN 0 ELSE n - 1 END)::BIGINT AS repeat_rows
         FROM ({groups(SOFT_DOCS, ['text', 'soft'], 'source')}) GROUP BY text_column""",
     "dense_id": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS sample_id FROM orders",
-    "running_quantity": """SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity,
+    "running_quantity": f"""SELECT {', '.join(LINE_ID)}, l_returnflag, l_quantity,
         sum(l_quantity::DOUBLE) OVER w AS running_quantity, count(*) OVER w AS running_rows FROM lineitem
-        WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)""",
+        WINDOW w AS (PARTITION BY l_returnflag ORDER BY {', '.join(LINE_ID)} ROWS UNBOUNDED PRECEDING)""",
     "first_of_class": """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k,
         floor(count(*) OVER (PARTITION BY lang) / 3) AS n FROM documents) WHERE k <= n""",
     "seeded_shuffle": f"SELECT doc_id, lang, {shuffle_key('doc_id')} AS shuffle_key FROM documents",
     "next_free_id": "SELECT doc_id + (SELECT max(doc_id) + 1 FROM documents) AS new_id FROM documents",
     "stratified_split": f"SELECT doc_id, toxic, split FROM ({three_way(f'SELECT * FROM {LABELLED}', ['doc_id'], 'toxic')})",
-    "stratified_split_lines": three_way(
-        "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem", ["l_orderkey", "l_linenumber"], "l_returnflag"
-    ) .replace("SELECT r.*", "SELECT r.*", 1),
+    "stratified_split_lines": three_way(f"SELECT {', '.join(LINE_ID)}, l_returnflag FROM lineitem", LINE_ID, "l_returnflag"),
     "plain_split": split("SELECT o_orderkey FROM orders", ["o_orderkey"], None, [0.1], ["test", "train"]),
     "split_quotas": quotas("SELECT * FROM events", "event_type", [TEST_SHARE, VALIDATION_SHARE]),
     "texts_in_benchmark": f"SELECT doc_id FROM documents WHERE text IN (SELECT text FROM ({TURNS}))",
@@ -519,7 +516,7 @@ ORACLE: dict[str, str] = {
     "distinct_labels": "SELECT DISTINCT lang, source FROM documents",
     "stack_tables": """SELECT doc_id, lang, length(text)::INT AS n_characters FROM documents
         UNION ALL SELECT item_id, NULL, length(text)::INT FROM benchmark""",
-    "align_versions": f"SELECT doc_id, toxic, {soft('text')} AS tweet_soft, lower(text) AS tweet_full FROM {WITH_LABELS}",
+    "align_versions": f"SELECT doc_id, coalesce(toxic, -1) AS toxic, {soft('text')} AS tweet_soft, lower(text) AS tweet_full FROM {WITH_LABELS}",
     "alignment_violations": f"""SELECT count(*) AS rows, count(*) FILTER (toxic IS NULL) AS nulls,
         count(*) > 0 AND count(*) FILTER (toxic IS NULL) = 0 AS valid FROM {WITH_LABELS}""",
     "nearest_label": best_match(False),
@@ -577,7 +574,7 @@ ORACLE: dict[str, str] = {
         FROM ({score_groups(SCORED)}) UNION ALL SELECT NULL, 1.0, 0.0""",
     "curve_areas": areas(SCORED),
     "youden": f"SELECT threshold, round(youden_j, 6) AS youden_j FROM ({YOUDEN.format(groups=score_groups(SCORED))})",
-    "youden_applied": f"""WITH parts AS ({three_way(SCORED, ['l_orderkey', 'l_linenumber'], 'true_label')}),
+    "youden_applied": f"""WITH parts AS ({three_way(SCORED, LINE_ID, 'true_label')}),
         best AS ({YOUDEN.format(groups=score_groups("SELECT * FROM parts WHERE split = 'val'"))})
         SELECT threshold, tn, fp, fn, tp, round(accuracy, 6) AS accuracy, round(roc_auc, 6) AS roc_auc
         FROM ({metric_row("SELECT * FROM parts WHERE split = 'test'", '(SELECT threshold FROM best)')})""",

@@ -31,7 +31,7 @@ from ..plans import balancing, judging, prepare
 from ..session import materialise, shared_folder
 from ..sources import readers, writers
 from ..streaming import stateless
-from .inputs import SEED, STOP_WORDS, class_probabilities, labelled_documents, scored_lines, synonyms, table
+from .inputs import LINE_ID, SEED, STOP_WORDS, class_probabilities, labelled_documents, scored_lines, synonyms, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,7 +145,8 @@ def null_as_text(spark, sf):
 
 @query
 def drop_class(spark, sf):
-    return tables.drop_class(with_labels(spark, sf), "toxic", 1).select("doc_id", "toxic")
+    kept = tables.drop_class(with_labels(spark, sf), "toxic", 1)
+    return kept.select("doc_id", F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
 @query
@@ -336,9 +337,9 @@ def dense_id(spark, sf):
 
 @query
 def running_quantity(spark, sf):
-    frame = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    frame = table(spark, sf, "lineitem").select(*LINE_ID, "l_returnflag", "l_quantity")
     totals = {"running_quantity": F.col("l_quantity").cast("double"), "running_rows": F.lit(1)}
-    return ordering.running_total(frame, ["l_orderkey", "l_linenumber"], totals, ["l_returnflag"], 20_000)
+    return ordering.running_total(frame, LINE_ID, totals, ["l_returnflag"], 20_000)
 
 
 @query
@@ -366,8 +367,7 @@ def stratified_split(spark, sf):
 
 @query
 def stratified_split_lines(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    return split.split(lines, ["l_orderkey", "l_linenumber"], "l_returnflag")
+    return split.split(table(spark, sf, "lineitem").select(*LINE_ID, "l_returnflag"), LINE_ID, "l_returnflag")
 
 
 @query
@@ -418,17 +418,21 @@ def stack_tables(spark, sf):
     return tables.stack(left, right).select("doc_id", "lang", F.length("text").alias("n_characters"))
 
 
-@query
-def align_versions(spark, sf):
+def versions(spark: SparkSession, sf: str) -> DataFrame:
     frame = with_labels(spark, sf)
     soft = build.add_soft_text(frame, "text").select("doc_id", "toxic", "tweet_soft")
     plain = frame.select("doc_id", "toxic", F.lower("text").alias("tweet_full"))
     return tables.align_versions(soft, plain, ["doc_id", "toxic"], "tweet_soft", "tweet_full")
 
 
+@query
+def align_versions(spark, sf):
+    return versions(spark, sf).withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
+
+
 @query
 def alignment_violations(spark, sf):
-    return tables.alignment_violations(align_versions(spark, sf), ["tweet_soft", "tweet_full", "toxic"])
+    return tables.alignment_violations(versions(spark, sf), ["tweet_soft", "tweet_full", "toxic"])
 
 
 # --- similarity -------------------------------------------------------------------------------
@@ -772,7 +776,7 @@ def youden(spark, sf):
 
 @query
 def youden_applied(spark, sf):
-    lines = split.split(scored_lines(spark, sf), ["l_orderkey", "l_linenumber"], "true_label")
+    lines = split.split(scored_lines(spark, sf), LINE_ID, "true_label")
     parts = split.split_frames(lines)
     tuned = evaluate.youden_threshold(parts["val"], "true_label", "probability")
     row = evaluate.binary_metrics(parts["test"], "true_label", "probability", tuned)
