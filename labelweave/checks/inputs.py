@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..operators.augment import synonym_table
+from ..sources.readers import read_table, spread
 
 SEED = 42
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -29,8 +30,13 @@ SYNONYM_PAIRS = [
 ]
 
 
+# Text tables, costly per row, by the key they are spread on.
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = read_table(spark, f"{folder}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def synonyms(spark: SparkSession) -> DataFrame:

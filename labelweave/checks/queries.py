@@ -596,18 +596,20 @@ def accept_similar(spark, sf):
 
 
 def training_part(spark: SparkSession, sf: str, label: str, frame: DataFrame) -> DataFrame:
+    """A prepared table as the preparation stage leaves it: cleaned once and stored."""
     soft = text.soft_clean(F.col("text"))
     full = text.full_clean(F.col("text"), stop_words=STOP_WORDS)
-    return frame.select(
+    cleaned = frame.select(
         "doc_id", F.col("text").alias("tweet_text"), soft.alias("tweet_soft"), full.alias("tweet_full"),
         F.col(label).alias("label"), "source",
     )
+    return materialise(cleaned)
 
 
 @query
 def balance_training_binary(spark, sf):
     frame = labelled_documents(spark, sf)
-    part = prepare.prepare_part(training_part(spark, sf, "toxic", frame), "doc_id", "label")
+    part = materialise(prepare.prepare_part(training_part(spark, sf, "toxic", frame), "doc_id", "label"))
     balanced = balancing.balance_training(
         part, "doc_id", synonyms(spark), majority_size(frame, "toxic"), [1],
         augmentation={"stop_words": STOP_WORDS}, stop_words=STOP_WORDS,
@@ -620,7 +622,9 @@ def balance_training_binary(spark, sf):
 @query
 def balance_training_classes(spark, sf):
     frame = docs(spark, sf)
-    part = prepare.prepare_part(training_part(spark, sf, "lang", frame), "doc_id", "label", category_col="source")
+    part = materialise(
+        prepare.prepare_part(training_part(spark, sf, "lang", frame), "doc_id", "label", category_col="source")
+    )
     balanced = balancing.balance_training(
         part, "doc_id", synonyms(spark), majority_size(frame, "lang"), category_col="source",
         augmentation={"stop_words": STOP_WORDS}, stop_words=STOP_WORDS,

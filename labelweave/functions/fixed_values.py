@@ -7,6 +7,7 @@ from itertools import chain
 # Regular-expression classes that make Java patterns agree with Unicode-aware \w and \s.
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+SPACE_NOT_BLANK = r"[\s\x1c-\x1f\x85\p{Z}&&[^ ]]"
 NOT_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 NOT_WORD_NOT_SPACE = r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
 

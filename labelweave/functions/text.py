@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import lru_cache
 
@@ -17,6 +18,7 @@ from .fixed_values import (
     NOT_SPACE,
     NOT_WORD_NOT_SPACE,
     SPACE,
+    SPACE_NOT_BLANK,
     WORD,
 )
 
@@ -43,6 +45,11 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(NOT_SPACE + "+"))
 
 
+def has_tokens(col: Column, n: int) -> Column:
+    """At least ``n`` tokens; reads no further than the n-th."""
+    return col.rlike(f"(?:{NOT_SPACE}+{SPACE}+){{{n - 1}}}{NOT_SPACE}")
+
+
 def hashtag_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit("#" + WORD + "+"))
 
@@ -72,7 +79,8 @@ def strip_tags(col: Column) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, SPACE + "+", " "))
+    # Single blanks, the usual case, are not matched at all.
+    return F.trim(F.regexp_replace(col, f" {SPACE}+|{SPACE_NOT_BLANK}{SPACE}*", " "))
 
 
 def remove_emoji(col: Column) -> Column:
@@ -110,9 +118,10 @@ def _lookup(key: Column, table: Mapping[str, str], otherwise: Column) -> Column:
 def expand_contractions(col: Column, table: Mapping[str, str] = CONTRACTIONS) -> Column:
     """Replace contracted words; surrounding punctuation and white space stay."""
     shape = r"(?s)^([^\p{L}\p{N}']*)(.*?)([^\p{L}\p{N}]*)$"
-    pieces = F.regexp_extract_all(
-        F.replace(col, F.lit("’"), F.lit("'")), F.lit(f"{SPACE}+|{NOT_SPACE}+"), F.lit(0)
-    )
+    plain = F.replace(col, F.lit("’"), F.lit("'"))
+    bare = [re.escape(k) for k in table if "'" not in k]
+    worth = f"'|(?iu)(?:^|{SPACE})(?:{'|'.join(bare)})(?:{SPACE}|$)" if bare else "'"
+    pieces = F.regexp_extract_all(plain, F.lit(f"{SPACE}+|{NOT_SPACE}+"), F.lit(0))
 
     def expand(piece: Column) -> Column:
         core = F.when(piece.contains("'"), F.regexp_extract(piece, shape, 2)).otherwise(piece)
@@ -123,7 +132,7 @@ def expand_contractions(col: Column, table: Mapping[str, str] = CONTRACTIONS) ->
         tail = F.when(piece.contains("'"), F.regexp_extract(piece, shape, 3)).otherwise("")
         return F.when(long.isNull(), piece).otherwise(F.concat(head, cased, tail))
 
-    return F.array_join(F.transform(pieces, expand), "")
+    return F.when(plain.rlike(worth), F.array_join(F.transform(pieces, expand), "")).otherwise(plain)
 
 
 def _restore_stem(stem: Column) -> Column:
@@ -170,8 +179,11 @@ def full_clean(
     """Soft cleaning, then contractions, repeats, case, punctuation, lemmas and stop words."""
     col = expand_contractions(soft_clean(col), contractions)
     col = remove_punctuation(F.lower(squeeze_repeats(col)))
-    col = remove_stop_words(lemmatise(col, exceptions), stop_words)
-    return collapse_spaces(col)
+    if any(" " in lemma_text for lemma_text in exceptions.values()):
+        return remove_stop_words(lemmatise(col, exceptions), stop_words)
+    words = tuple(stop_words) if stop_words is not None else default_stop_words()
+    kept = F.filter(F.transform(tokens(col), lambda w: lemma(w, exceptions)), lambda w: ~w.isin(*words))
+    return F.array_join(kept, " ")
 
 
 def preprocess(col: Column, soft: bool = True) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
-from ..functions.text import default_stop_words, normalise_synonym, tokens
+from ..functions.text import default_stop_words, has_tokens, normalise_synonym, tokens
 from .lookups import lookup_join
 
 MIN_TOKENS = 4
@@ -72,7 +72,8 @@ def delete_words(df: DataFrame, id_col: str, seed: int, share: float, words: str
 def _synonym_hits(df: DataFrame, id_col: str, synonyms: DataFrame, stop_words: Sequence[str], seed: int) -> DataFrame:
     """Per row: its words that have synonyms, with hash rank, chosen synonyms and positions."""
     key = F.col(id_col)
-    occurrences = df.select(id_col, F.posexplode("_words").alias("pos", "word"))
+    # The outer form keeps the optimizer from tokenising a second time for a not-empty filter.
+    occurrences = df.select(id_col, F.posexplode_outer("_words").alias("pos", "word"))
     found = lookup_join(occurrences, synonyms, ["word"], "inner", spread=[id_col, "pos"])
     rank = F.when(~F.col("word").isin(*stop_words), uniform(seed, key, "replace", F.col("pos")))
     found = found.select(
@@ -174,11 +175,11 @@ def augment(
     ``synonyms`` comes from ``synonym_table``.
     """
     stops = tuple(stop_words) if stop_words is not None else default_stop_words()
-    spread = df.select(id_col, tokens(F.col(text_col)).alias("_words"), F.col(text_col).alias("_text")).repartition(id_col)
-    short = spread.filter(F.size("_words") < MIN_TOKENS).select(
-        id_col, F.lit(1).alias("variant"), F.lit("copy").alias("method"), F.col("_text").alias("text")
+    many = has_tokens(F.col(text_col), MIN_TOKENS)
+    short = df.filter(~many).select(
+        id_col, F.lit(1).alias("variant"), F.lit("copy").alias("method"), F.col(text_col).alias("text")
     )
-    long = spread.filter(F.size("_words") >= MIN_TOKENS).select(id_col, "_words")
+    long = df.filter(many).select(id_col, text_col).repartition(id_col).select(id_col, tokens(F.col(text_col)).alias("_words"))
     rows = long.join(_synonym_hits(long, id_col, synonyms, stops, seed), id_col, "left")
     rows = replace_words(rows, alpha_replace)
     rows = insert_words(rows, id_col, seed, alpha_insert)

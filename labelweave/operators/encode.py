@@ -17,8 +17,8 @@ def vocabulary(df: DataFrame, text_col: str, size: int = 50_000) -> DataFrame:
 
     The numbering window runs over the vocabulary only.
     """
-    words = df.select(F.explode(tokens(F.lower(as_text(F.col(text_col), True)))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = df.select(F.explode_outer(tokens(F.lower(as_text(F.col(text_col), True)))).alias("word"))
+    counts = words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(size)
     order = Window.orderBy(F.desc("n"), "word")
     return top.select("word", (F.row_number().over(order) + FIRST_WORD_ID - 1).cast("int").alias("word_id"))

@@ -14,7 +14,11 @@ MAX_LANGUAGES = 500
 
 
 def trigrams(text: Column) -> Column:
-    """All trigrams of the whole text, lower-cased, white space collapsed."""
+    """All trigrams of the whole text, lower-cased, white space collapsed.
+
+    Explode with the outer form: the inner one makes the optimizer add a not-empty filter that
+    extracts the trigrams a second time.
+    """
     return F.regexp_extract_all(F.lower(collapse_spaces(text)), F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
@@ -38,7 +42,8 @@ def fit_profile(df: DataFrame, text_col: str, language_col: str, min_count: int
     documents = sum(r["n"] for r in rows)
 
     counted = (
-        labelled.select(F.col(language_col).alias("language"), F.explode(trigrams(F.col(text_col))).alias("gram"))
+        labelled.select(F.col(language_col).alias("language"), F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
+        .filter(F.col("gram").isNotNull())
         .groupBy("gram")
         .agg(*[F.count_if(F.col("language") == code).alias(f"n{i}") for i, code in enumerate(languages)])
     )
@@ -61,7 +66,8 @@ def identify(df: DataFrame, id_col: str, text_col: str, profile: LanguageProfile
 
     Trigrams of one text are summed where they are read, so only one row per text is shuffled.
     """
-    grams = df.select(id_col, F.posexplode(trigrams(F.col(text_col))).alias("_pos", "gram"))
+    grams = df.select(id_col, F.posexplode_outer(trigrams(F.col(text_col))).alias("_pos", "gram"))
+    grams = grams.filter(F.col("gram").isNotNull())
     known = lookup_join(grams, profile.grams, ["gram"], "inner", spread=[id_col, "_pos"])
     k = len(profile.languages)
     sums = known.groupBy(id_col).agg(*[F.sum(F.col("logs")[i]).alias(f"s{i}") for i in range(k)])

@@ -69,7 +69,7 @@ def replace_tokens(
     Token-level form of the literal lookups of ``functions.text``; white space is kept.
     """
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{SPACE}+|{NOT_SPACE}+"), F.lit(0))
-    exploded = df.select(id_col, F.posexplode(pieces).alias("_pos", "word"))
+    exploded = df.select(id_col, F.posexplode_outer(pieces).alias("_pos", "word")).filter(F.col("word").isNotNull())
     looked_up = lookup_join(exploded, table.select("word", "replacement"), ["word"], spread=[id_col, "_pos"])
     rebuilt = looked_up.groupBy(id_col).agg(
         F.array_join(

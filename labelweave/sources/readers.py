@@ -46,6 +46,16 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df.select(*columns)
 
 
+def spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Give a table that arrives in fewer pieces than there are cores one piece per core.
+
+    Pieces follow the row key, so later work keyed by it needs no further shuffle. Tables of
+    many pieces are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *columns)
+
+
 def read_model_input(spark: SparkSession, path: str) -> DataFrame:
     """Prepared (text, label) rows of one part."""
     return read_table(spark, path, MODEL_INPUT).withColumn("label", F.col("label").cast("int"))
