@@ -30,13 +30,13 @@ SYNONYM_PAIRS = [
 ]
 
 
-# Text tables, costly per row, by the key they are spread on.
-TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+# Tables with costly work per row, by the key they are spread on.
+ROW_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "lineitem": LINE_ID}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = read_table(spark, f"{folder}/{name}.parquet")
-    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    return spread(df, ROW_KEYS[name]) if name in ROW_KEYS else df
 
 
 def synonyms(spark: SparkSession) -> DataFrame:

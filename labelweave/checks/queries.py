@@ -28,7 +28,7 @@ from ..operators import (
     tables,
 )
 from ..plans import balancing, judging, prepare
-from ..session import materialise, shared_folder
+from ..session import materialise, stage_path
 from ..sources import readers, writers
 from ..streaming import stateless
 from .inputs import LINE_ID, SEED, STOP_WORDS, class_probabilities, labelled_documents, scored_lines, synonyms, table
@@ -274,7 +274,7 @@ def hashtag_emoji_means(spark, sf):
 
 @query
 def surplus_duplicates(spark, sf):
-    return profile.surplus_duplicates(docs(spark, sf), "text")
+    return duplicates.surplus_duplicates(docs(spark, sf), "text")
 
 
 @query
@@ -829,14 +829,14 @@ def metric_headers(spark, sf):
 @query
 def csv_round_trip(spark, sf):
     frame = docs(spark, sf).select("doc_id", text.soft_clean(F.col("text")).alias("text"), "lang")
-    path = f"{shared_folder(spark)}/csv_round_trip"
+    path = stage_path(spark, "csv")
     writers.write_table(frame, path, "csv")
     return readers.read_csv(spark, path, "doc_id long, text string, lang string")
 
 
 @query
 def split_round_trip(spark, sf):
-    path = f"{shared_folder(spark)}/split_round_trip"
+    path = stage_path(spark, "split")
     frame = docs(spark, sf).select("doc_id", "lang", "source")
     writers.write_split(frame, path, "doc_id", stratify="lang")
     return readers.read_table(spark, path).select("doc_id", "lang", "source", F.col("split").cast("string"))
@@ -844,13 +844,12 @@ def split_round_trip(spark, sf):
 
 @query
 def stream_clean(spark, sf):
-    folder = shared_folder(spark)
-    name = f"stream_clean_{abs(hash(sf))}"
+    path = stage_path(spark, "stream")
     schema = docs(spark, sf).schema
     stream = stateless.read_stream(spark, sf, schema, "documents.parquet").select("doc_id", "text", "lang")
     cleaned = stateless.clean_stream(stream, "text", "lang", "en", include_full=False)
-    stateless.run_available(cleaned, f"{folder}/{name}", name)
-    return spark.read.parquet(f"{folder}/{name}").select("doc_id", "tweet_soft", "is_cyberbullying")
+    stateless.run_available(cleaned, path, path.rsplit("/", 1)[1])
+    return spark.read.parquet(path).select("doc_id", "tweet_soft", "is_cyberbullying")
 
 
 @query

@@ -32,6 +32,7 @@ def text_groups(df: DataFrame, text_cols: Sequence[str], label_col: str, id_col:
             "n_text": F.sum("n").over(same_text),
             "n_label_min": F.min("n").over(same_text),
             "n_label_max": F.max("n").over(same_text),
+            "first_text_id": F.min("first_id").over(same_text),
         }
     ).withColumn("conflicted", (F.col("n_text") > 1) & (F.col("n_label_min") == 1))
 
@@ -64,9 +65,19 @@ def surplus_duplicates(df: DataFrame, text_col: str) -> DataFrame:
     return per_text.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
+def surplus_of_groups(groups: DataFrame) -> DataFrame:
+    """``surplus_duplicates`` from existing groups."""
+    firsts = F.count_if(F.col("first_id") == F.col("first_text_id"))
+    return groups.agg((F.coalesce(F.sum("n"), F.lit(0)) - firsts).alias("duplicates"))
+
+
 def duplicate_summary(df: DataFrame, text_col: str, label_col: str, id_col: str) -> DataFrame:
     """One row: rows in repeated texts, rows of perfect and of imperfect repeats."""
-    groups = text_groups(df, [text_col], label_col, id_col)
+    return summarise_groups(text_groups(df, [text_col], label_col, id_col))
+
+
+def summarise_groups(groups: DataFrame) -> DataFrame:
+    """``duplicate_summary`` from existing groups."""
 
     def rows(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
@@ -80,7 +91,11 @@ def duplicate_summary(df: DataFrame, text_col: str, label_col: str, id_col: str)
 
 def duplicate_labels(df: DataFrame, text_col: str, label_col: str, id_col: str) -> DataFrame:
     """Label histogram of the rows in repeated texts, missing labels excluded."""
-    groups = text_groups(df, [text_col], label_col, id_col)
+    return labels_of_groups(text_groups(df, [text_col], label_col, id_col))
+
+
+def labels_of_groups(groups: DataFrame) -> DataFrame:
+    """``duplicate_labels`` from existing groups."""
     return (
         groups.filter((F.col("n_text") > 1) & F.col("label").isNotNull())
         .groupBy("label")

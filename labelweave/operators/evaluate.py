@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax
+from ..session import materialise
 from .labels import one_vs_rest
 from .lookups import lookup_join
 from .ordering import ROWS_PER_RANGE, running_total
@@ -54,13 +55,16 @@ def confusion(df: DataFrame, true_col: str, pred_col: str, classes: int | None =
 def score_groups(
     df: DataFrame, label_col: str, score_col: str, by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """Per distinct score: positives and negatives, alone and summed from the highest score down."""
+    """Per distinct score: positives and negatives, alone and summed from the highest score down.
+
+    The counts per score are stored once, as the running totals read them several times.
+    """
     positive = F.col(label_col) == 1
     groups = df.groupBy(*by, F.col(score_col).cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
     totals = {"tp": F.col("pos"), "fp": F.col("neg")}
-    descending = groups.withColumn("_order", -F.col("score"))
+    descending = materialise(groups, "scores").withColumn("_order", -F.col("score"))
     return running_total(descending, ["_order"], totals, by, rows_per_range).drop("_order")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import as_text, emoji_count, hashtag_count, is_blank, word_count
-from .duplicates import duplicate_labels, duplicate_summary, surplus_duplicates
+from ..session import materialise
+from .duplicates import labels_of_groups, summarise_groups, surplus_of_groups, text_groups
 from .tables import require_columns
 
 
@@ -118,7 +119,10 @@ def before_after_counts(before: DataFrame, after: DataFrame, label_col: str) ->
 
 
 def overview(df: DataFrame, text_col: str, label_col: str, id_col: str, binary_col: str | None = None) -> DataFrame:
-    """All profiles in one long table (metric, key, value)."""
+    """All profiles in one long table (metric, key, value).
+
+    The duplicate figures share one stored table of text groups.
+    """
     require_columns(df, [text_col, label_col, id_col])
 
     def rows(frame: DataFrame, metric: Column | str, key: Column | str, value: str) -> DataFrame:
@@ -133,15 +137,16 @@ def overview(df: DataFrame, text_col: str, label_col: str, id_col: str, binary_c
         return frame.select(F.explode(pairs).alias("metric", "value")).select("metric", F.lit("").alias("key"), "value")
 
     columns = missing_and_blank(df)
+    groups = materialise(text_groups(df, [text_col], label_col, id_col).drop("text_key"), "groups")
     parts = [
         rows(class_distribution(df, label_col), "class", F.col(label_col), "n"),
         rows(imbalance_ratio(df, label_col), "imbalance_ratio", "", "imbalance_ratio"),
         rows(columns, "missing", F.col("column"), "missing"),
         rows(columns, "blank", F.col("column"), "blank"),
         long(text_means(df, text_col)),
-        rows(surplus_duplicates(df, text_col), "duplicates", "", "duplicates"),
-        long(duplicate_summary(df, text_col, label_col, id_col)),
-        rows(duplicate_labels(df, text_col, label_col, id_col), "duplicate_label", F.col("label"), "n"),
+        rows(surplus_of_groups(groups), "duplicates", "", "duplicates"),
+        long(summarise_groups(groups)),
+        rows(labels_of_groups(groups), "duplicate_label", F.col("label"), "n"),
     ]
     if binary_col:
         parts.append(rows(binary_shares(df, binary_col), "binary_share", F.col("label"), "share"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import shuffle_key
-from .lookups import lookup_join
+from .lookups import lookup_join, pin
 from .tables import require_columns
 
 TEST_SHARE = 0.10
@@ -57,6 +57,14 @@ def split_quotas(df: DataFrame, stratum: Column, shares: Sequence[float]) -> Dat
     return quotas.drop("_left", *[f"_draw_{i}" for i in range(len(shares))])
 
 
+def _prefix_digits(rows: int) -> int:
+    """Hex digits that leave some thousand rows per prefix, five at most."""
+    digits = 1
+    while digits < 5 and rows > 4000 * 16**digits:
+        digits += 1
+    return digits
+
+
 def split(
     df: DataFrame,
     id_cols: Sequence[str] | str,
@@ -76,9 +84,9 @@ def split(
     stratum = F.col(stratify) if stratify else F.lit("all")
     key = shuffle_key(seed, *[F.col(c) for c in ids])
     keys = df.select(stratum.alias("stratum"), key.alias("_hash"))
-    prefix = F.substring("_hash", 1, 4)
-
     quotas = split_quotas(df, stratum, shares)
+    quotas = pin(quotas) or quotas
+    prefix = F.substring("_hash", 1, _prefix_digits(quotas.agg(F.sum("rows")).first()[0] or 0))
     histogram = keys.groupBy("stratum", prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("stratum").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = histogram.withColumn("_upto", F.sum("n").over(upto))

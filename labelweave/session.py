@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,6 @@ def build_session(app: str = "labelweave", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -43,9 +43,23 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and continue from the reliable copy; for results that several jobs read."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A fresh folder for an intermediate table."""
+    return f"{shared_folder(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Compute once, store as Parquet in the shared folder and continue from the stored table.
+
+    For results that several jobs read: lost executors cost no recomputation, and later jobs
+    read only the columns they need. Stored tables stay until ``drop_stages``.
+    """
+    path = stage_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stored intermediate tables of the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/stages")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
