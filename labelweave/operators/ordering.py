@@ -33,8 +33,6 @@ def range_cuts(df: DataFrame, order_col: str, rows_per_range: int = ROWS_PER_RAN
 
 
 def with_range(df: DataFrame, order_col: str, cuts: Sequence[float], out: str = "_range") -> DataFrame:
-    if not cuts:
-        return df.withColumn(out, F.lit(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
     cast = df.withColumn("_order_double", F.col(order_col).cast("double"))
     binned = Bucketizer(splits=splits, inputCol="_order_double", outputCol=out, handleInvalid="keep")
@@ -53,6 +51,10 @@ def running_total(
     The first order column must be numeric; it decides the ranges, so it should be nearly unique.
     """
     cuts = range_cuts(df, order_cols[0], rows_per_range)
+    if not cuts:
+        # At most ``rows_per_range`` rows in all.
+        whole = Window.partitionBy(*by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({n: F.sum(v).over(whole) for n, v in values.items()})
     ranged = with_range(df, order_cols[0], cuts)
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

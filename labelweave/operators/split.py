@@ -81,7 +81,8 @@ def split(
     """
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     require_columns(df, ids + ([stratify] if stratify else []))
-    stratum = F.col(stratify) if stratify else F.lit("all")
+    # Without strata: one value for all rows that is no literal, so that joins keep an equality key.
+    stratum = F.col(stratify) if stratify else F.pmod(F.xxhash64(*ids), F.lit(1))
     key = shuffle_key(seed, *[F.col(c) for c in ids])
     keys = df.select(stratum.alias("stratum"), key.alias("_hash"))
     quotas = split_quotas(df, stratum, shares)

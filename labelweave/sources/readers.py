@@ -37,6 +37,12 @@ def read_csv(
     return empty_to_null(df, texts, na_tokens)
 
 
+def convert_csv(spark: SparkSession, source: str, target: str, schema: StructType | str = RAW_SCHEMA) -> DataFrame:
+    """Store CSV files as Parquet once and return the stored table."""
+    read_csv(spark, source, schema).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet table, optionally only some columns."""
     df = spark.read.parquet(path)

@@ -13,6 +13,7 @@ def test_csv(spark, tmp_path):
     path.write_text('tweet_text,cyberbullying_type\n"line ""one""\nline, two",age\nnull,religion\n,gender\nnone,\n', encoding="utf-8")
     rows = [tuple(r) for r in readers.read_csv(spark, str(path)).collect()]
     assert rows == [('line "one"\nline, two', "age"), (None, "religion"), (None, "gender"), ("none", None)]
+    assert readers.convert_csv(spark, str(path), str(tmp_path / "raw")).count() == 4
 
 
 def test_missing_path(spark, tmp_path):

@@ -81,6 +81,36 @@ def test_large_lookup_is_salted(spark):
     assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_empty_lookup(spark):
+    left = spark.range(3).select("id", F.lit("a").alias("k"))
+    nothing = spark.createDataFrame([], "k string, v array<double>")
+    assert [r.v for r in lookups.lookup_join(left, nothing, ["k"], spread=["id"]).collect()] == [None] * 3
+    assert lookups.lookup_join(left, nothing, ["k"], "inner").count() == 0
+
+
+def test_row_counts_without_extra_job(spark):
+    before, seen = tables.counted(spark.range(10), "before")
+    after, kept = tables.counted(before.filter("id > 3"), "after")
+    after.collect()
+    assert (seen.get["rows"], kept.get["rows"]) == (10, 6)
+
+
+def test_replace_tokens_keeps_spaces(spark):
+    frame = spark.createDataFrame([(1, " the  cat\n"), (2, ""), (3, None)], "i int, t string")
+    changes = spark.createDataFrame([("the", "a big")], "word string, replacement string")
+    got = lookups.replace_tokens(frame, "i", "t", changes).orderBy("i").collect()
+    assert [r.t for r in got] == [" a big  cat\n", "", None]
+
+
+def test_sets(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2), ("b", 3), ("b", 4)], "t string, y int")
+    right = spark.createDataFrame([(None, 2), ("b", 3)], "t string, y int")
+    assert sorted(r.y for r in tables.rows_with_text_in(left, "t", right).collect()) == [2, 3, 4]
+    assert sorted(r.y for r in tables.rows_with_text_in(left, "t", right, by=["y"], keep=False).collect()) == [1, 4]
+    assert [r.t for r in tables.key_difference(left, right, ["t"]).collect()] == ["a"]
+    assert tables.stack(left, right.drop("y")).filter("y IS NULL").count() == 2
+
+
 def test_null_keys_align(spark):
     left = spark.createDataFrame([(1, None, "s"), (2, 0, "u")], "sample_id int, label int, soft string")
     right = spark.createDataFrame([(1, None, "f"), (2, 1, "g")], "sample_id int, label int, full string")
