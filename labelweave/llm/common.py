@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +49,12 @@ def without_rows(df: DataFrame, row_col: str, dropped: DataFrame, columns: Seque
     return df.join(stored, row_col, "left_anti").select(*[col(c) for c in columns])
 
 
-def release(df: DataFrame) -> None:
-    """Ask the driver to forget shuffles that no live plan refers to, so that their files go."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+def release(df: DataFrame, rounds: int = 2) -> None:
+    """Have the driver forget plans that nothing refers to, so that Spark removes their shuffle files now.
+
+    Finished plans stay referred to until the listeners have seen them, hence more than one round.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1)

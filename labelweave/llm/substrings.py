@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -17,8 +17,8 @@ WINDOW = 13
 ROUNDS = 8
 #: Words that are parsed together.
 PIECE_WORDS = 1 << 17
-#: From this many documents on, a symbol's windows are totalled map-side before they meet.
-HOT_DOCS = 10_000
+#: Rows that a task holds to combine them before they are shuffled.
+HELD_ROWS = 1 << 21
 NO_ID = (1 << 63) - 1
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
@@ -159,93 +159,147 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, bytes]]:
     return ((i, value.as_py() or b"") for i, value in enumerate(column))
 
 
-def _symbols(docs: DataFrame, window: int) -> DataFrame:
-    """(order, key, name): the symbols that stand for a document's windows, repeats in sequence once."""
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column; missing ones are empty."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _symbols(docs: DataFrame, window: int, limit: int = HELD_ROWS) -> DataFrame:
+    """(route, other, sure): the symbols that stand for the windows of each content, combined before they are shuffled.
+
+    Of the contents a task sees, a symbol that one has goes out as (name, key, false). One that several have
+    is known to be shared: all of them go out as (key, name, true), and one as (name, key, false), so that a
+    symbol of a third of all documents makes one row a task.
+    """
+
+    def combined(keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((keys, names))
+        k, n = keys[order], names[order]
+        first = np.ones(len(n), bool)
+        first[1:] = n[1:] != n[:-1]
+        new = first.copy()
+        new[1:] |= k[1:] != k[:-1]
+        group = np.cumsum(first) - 1
+        several = (np.bincount(group[new], minlength=group[-1] + 1) > 1)[group] & new
+        # In the order of the documents, where equal keys stand together and compress well.
+        lone, sure = np.sort(order[first]), np.sort(order[several])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([names[lone], keys[sure]])), pa.array(np.concatenate([keys[lone], names[sure]])),
+             pa.array(np.arange(len(lone) + len(sure)) >= len(lone))],
+            ["route", "other", "sure"],
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            orders, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            for parsed in _parsed(_texts(batch.column(1)), window):
+            keys = batch.column(1).to_numpy(zero_copy_only=False)
+            for parsed in _parsed(_texts(batch.column(0)), window):
                 doc, name = parsed.docs, parsed.names
                 new = np.ones(len(name), bool)
                 new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-                doc, name = doc[new], name[new]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(orders[doc]), pa.array(keys[doc]), pa.array(name)], ["order", "key", "name"]
-                )
+                held.append((keys[doc[new]], name[new]))
+                size += len(held[-1][0])
+                if size >= limit:
+                    yield combined(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if size:
+            yield combined(*map(np.concatenate, zip(*held, strict=True)))
 
-    return docs.select("order", "text", "key").mapInArrow(run, "order long, key long, name long")
+    return docs.select("text", "key").mapInArrow(run, "route long, other long, sure boolean")
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(order, key, place, k1, k2, hot): windows of the documents whose symbol is shared, by 128 bits of content."""
+def _windows(docs: DataFrame, window: int, limit: int = HELD_ROWS) -> DataFrame:
+    """(k1, k2, order, key, place): windows whose symbol is shared, by 96 bits of their content.
+
+    Of equal windows a task sees, those of the smallest order go out to meet others; the rest, of which an earlier
+    owner is known already, have -1 - place.
+    """
+    names = ["k1", "k2", "order", "key", "place"]
+
+    def combined(k1, k2, orders, keys, places) -> pa.RecordBatch:
+        by = np.lexsort((orders, k2, k1))
+        first = np.ones(len(by), bool)
+        first[1:] = (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])
+        sorted_orders = orders[by]
+        late = sorted_orders > sorted_orders[np.flatnonzero(first)][np.cumsum(first) - 1]
+        sure = np.zeros(len(by), bool)
+        sure[by] = late
+        # Those only pass through the shuffle: they are dealt by their document, without random bytes.
+        k1, k2, places = np.where(sure, keys, k1), np.where(sure, places, k2), np.where(sure, -1 - places, places)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, orders, keys, places)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            orders, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            shared = [np.array(v.as_py(), np.int64) for v in batch.column(3)]
-            hot = [np.array(v.as_py(), np.int64) for v in batch.column(4)]
-            for parsed in _parsed(_texts(batch.column(1)), window):
+            orders, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            shared = _arrays(batch.column(3))
+            for parsed in _parsed(_texts(batch.column(0)), window):
                 cuts = np.append(np.flatnonzero(np.diff(parsed.docs, prepend=-1)), len(parsed.docs))
                 member = np.zeros(len(parsed.docs), bool)
-                heavy = np.zeros(len(parsed.docs), bool)
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    doc = parsed.docs[a]
-                    member[a:b] = np.isin(parsed.names[a:b], shared[doc])
-                    if len(hot[doc]):
-                        heavy[a:b] = np.isin(parsed.names[a:b], hot[doc])
+                    member[a:b] = np.isin(parsed.names[a:b], shared[parsed.docs[a]])
                 chosen = np.flatnonzero(member)
                 first, second = parsed.content(chosen)
                 doc = parsed.docs[chosen]
-                columns = [orders[doc], keys[doc], parsed.places[chosen].astype(np.int32), first, second, heavy[chosen]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], ["order", "key", "place", "k1", "k2", "hot"]
-                )
-
-    return docs.select("order", "text", "key", "shared", "hot").mapInArrow(
-        run, "order long, key long, place int, k1 long, k2 long, hot boolean"
+                held.append((first, second.astype(np.int32), orders[doc], keys[doc], parsed.places[chosen].astype(np.int32)))
+                size += len(chosen)
+                if size >= limit:
+                    yield combined(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if size:
+            yield combined(*map(np.concatenate, zip(*held, strict=True)))
+
+    return docs.select("text", "order", "key", "shared").mapInArrow(
+        run, "k1 long, k2 int, order long, key long, place int"
     )
 
 
-def _cut(data: bytes, places: np.ndarray, window: int) -> tuple[int, int, bytes]:
+def _cut(data: bytes, places: np.ndarray, window: int, whole: bool) -> tuple[int, int, bytes]:
+    """Words, removed words and the words left. ``whole``: an earlier document has the same text."""
     words = data.split()
+    if whole and len(words) >= window:
+        return len(words), len(words), b""
     if not len(places):
         return len(words), 0, b" ".join(words)
     step = np.zeros(len(words) + 1, np.int64)
     step[places] += 1
-    np.subtract.at(step, np.minimum(places + window, len(words)), 1)
+    step[places + window] -= 1
     gone = np.cumsum(step[:-1]) > 0
     kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
     return len(words), int(gone.sum()), b" ".join(kept)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_docs: int = HOT_DOCS) -> DataFrame:
-    """(order, key, places): where the windows start that a document with a smaller order has as well.
+def repeated_windows(docs: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, order, place): where the windows of a content start that a document with a smaller order has as well.
 
-    ``docs`` has order, key and text; order and key tell texts apart. Round one gathers which symbols several documents have. Round two
-    verifies: the windows behind such symbols meet by their content, and the smallest order owns each.
+    ``docs`` has doc_id, key, key2 and text; ``copies`` the first order of each content that several have (key, firsts).
+    Round one gathers which symbols several contents have. Round two verifies: the windows behind such symbols meet by
+    their own content, and the smallest order owns each. Of equal contents only the first takes part.
     """
-    owners = _symbols(docs, window).select("order", "name").groupBy("name").agg(
-        F.min("order").alias("low"), F.max("order").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    shared = materialise(owners.filter("low < high").select("name", (F.col("n") > hot_docs).alias("hot")), "shared")
-    found = _symbols(docs, window).select("key", "name").join(shared, "name").groupBy("key").agg(
-        F.collect_set("name").alias("shared"), F.collect_set(F.when(F.col("hot"), F.col("name"))).alias("hot")
-    )
-    suspects = materialise(found, "suspects")
+    symbols = _symbols(docs, window)
+    every = Window.partitionBy("route", "sure")
+    ends = symbols.withColumn("low", F.min("other").over(every)).withColumn("high", F.max("other").over(every))
+    key, name = (F.when(F.col("sure"), F.col(a)).otherwise(F.col(b)) for a, b in (("route", "other"), ("other", "route")))
+    shared = ends.filter("sure OR low < high").select(key.alias("key"), name.alias("name"))
+    suspects = shared.groupBy("key").agg(F.collect_set("name").alias("shared")).join(copies, "key", "left")
+    stored = materialise(suspects, "suspects")
     release(docs)
-    windows = _windows(docs.join(suspects, "key"), window)
+    order = F.coalesce("doc_id", F.lit(NO_ID))
+    open_ = docs.join(stored, "key").withColumn("order", order).filter(F.col("order") <= F.coalesce(_first(), F.col("order")))
     by_content = Window.partitionBy("k1", "k2").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cold = windows.filter(~F.col("hot")).withColumn("low", F.min("order").over(by_content)).filter("low < order")
-    hot = windows.filter("hot")
-    first = materialise(hot.groupBy("k1", "k2").agg(F.min("order").alias("low")), "first")
-    again = hot.join(first, ["k1", "k2"]).filter("low < order")
-    parts = cold.select("order", "key", "place").unionAll(again.select("order", "key", "place"))
-    return parts.groupBy("order", "key").agg(F.collect_set("place").alias("places"))
+    owned = _windows(open_, window).withColumn("low", F.min("order").over(by_content))
+    place = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
+    return owned.filter("place < 0 OR low < order").select("key", "order", place.alias("place"))
+
+
+def _first() -> Column:
+    """The first order of a row's content, if others have it too."""
+    return F.get(F.filter("firsts", lambda c: c.key2 == F.col("key2")), 0).first
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_docs: int = HOT_DOCS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each document without the words of windows that an earlier one has.
 
@@ -258,18 +312,20 @@ def remove_repeats(
     - One row per input row, repeated ones too; an empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(col(text_col).cast("binary"), F.lit(b""))
-    order = F.coalesce(col(id_col).cast("long"), F.lit(NO_ID))
     narrow = docs.select(
-        col(id_col).cast("long").alias("doc_id"), order.alias("order"), F.xxhash64(order, text).alias("key"), text.alias("text")
+        col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2"), text.alias("text")
     )
-    repeats = repeated_windows(narrow.select("order", "key", "text"), window, hot_docs)
-    places = materialise(repeats, "places")
-    release(docs)
+    order = F.coalesce("doc_id", F.lit(NO_ID))
+    contents = narrow.groupBy("key", "key2").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last")
+    copies = materialise(contents.groupBy("key").agg(F.collect_list(F.struct("key2", "first")).alias("firsts")), "copies")
+    repeats = repeated_windows(narrow, copies, window)
+    found = repeats.groupBy("key").agg(F.collect_set(F.struct("order", "place")).alias("found"))
+    verdicts = found.join(copies, "key", "full")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(2)
-            rows = [_cut(data, np.array(found[i].as_py() or [], np.int64), window) for i, data in _texts(batch.column(1))]
+            found, whole = _arrays(batch.column(2)), batch.column(3).to_pylist()
+            rows = [_cut(data, found[i], window, whole[i]) for i, data in _texts(batch.column(1))]
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
@@ -277,5 +333,10 @@ def remove_repeats(
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    joined = narrow.join(places, ["order", "key"], "left").select("doc_id", "text", "places")
+    # Places belong to the first document of a content; whoever comes later goes whole.
+    own = F.filter("found", lambda p: p.order == order)
+    joined = narrow.join(verdicts, "key", "left").select(
+        "doc_id", "text", F.coalesce(F.transform(own, lambda p: p.place), F.array().cast("array<int>")).alias("places"),
+        F.coalesce(order > _first(), F.lit(False)).alias("whole"),
+    )
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
