@@ -14,6 +14,7 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Bytes of benchmark items that one block, and so one broadcast, may hold.
 BLOCK_BYTES = 16 << 20
+PROBES = 4
 
 
 def words(text: Column) -> Column:
@@ -59,6 +60,28 @@ def item_sketches(items: DataFrame, id_col: str, text_col: str, size: int, conta
     return both.select("item_id", "shingles", F.slice("hashes", F.lit(1), missing + 1).alias("sketch"), n.alias("n"))
 
 
+def _table(hashes: list[int]) -> tuple[Column, int]:
+    """An open-addressed table of the hashes, as one constant: each stands in one of ``PROBES`` places from its own."""
+    size = 1 << max(4, (4 * len(hashes)).bit_length())
+    while True:
+        slots: list[int | None] = [None] * (size + PROBES)
+        for h in hashes:
+            at = next((i for i in range(h & (size - 1), (h & (size - 1)) + PROBES) if slots[i] is None), None)
+            if at is None:
+                break
+            slots[at] = h
+        else:
+            text = ",".join("" if h is None else str(h) for h in slots)
+            return F.split(F.lit(text), ",").try_cast("array<bigint>"), size
+        size *= 2
+
+
+def _known(hash_: Column, table: Column, size: int) -> Column:
+    start = hash_.bitwiseAND(F.lit(size - 1)).cast("int")
+    found = [F.get(table, start + k).eqNullSafe(hash_) for k in range(PROBES)]
+    return reduce(lambda a, b: a | b, found)
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -75,9 +98,10 @@ def contained_items(
     A document holds an item if it has ``containment`` or more of the item's distinct shingles of ``size`` words
     (lower case, letters and digits only; an item with fewer words is one shingle).
 
-    Items are the query set. They are cut into blocks of bounded bytes, and each block is
-    broadcast to all documents. Document hashes that hit a sketch make a candidate, judged once, in
-    the row it was found in, by the shingles themselves. Nothing of the documents is shuffled.
+    Items are the query set. They are cut into blocks of bounded bytes, and each block goes to all
+    tasks: its sketch hashes as one constant table, its items by broadcast. Document hashes that stand in the table
+    make a candidate, judged once, in the row it was found in, by the shingles themselves. Nothing of
+    the documents is shuffled.
 
     - Missing and empty texts, of documents or items, match nothing.
     - Each row of ``docs`` is judged on its own: repeated rows give repeated results; item rows repeated
@@ -97,8 +121,10 @@ def contained_items(
     for block in range(blocks):
         mine = sketches if blocks == 1 else sketches.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == block)
         probes = mine.select(F.explode("sketch").alias("hash"), "item_id", "shingles", "sketch", "n")
+        table, slots = _table(sorted(r[0] for r in probes.select("hash").distinct().collect()))
+        hits = hashed.select("doc_id", "w", "hashes", F.filter("hashes", lambda h: _known(h, table, slots)).alias("hits"))
         # The outer form: for the plain one the optimizer would add a filter that computes all hashes twice.
-        hits = hashed.select("doc_id", "w", "hashes", F.explode_outer("hashes").alias("hash")).join(F.broadcast(probes), "hash")
+        hits = hits.select("doc_id", "w", "hashes", F.explode_outer("hits").alias("hash")).join(F.broadcast(probes), "hash")
         # Of the hits of one item in one document, the least stands for all.
         once = hits.filter(F.col("hash") == F.array_min(F.array_intersect("sketch", "hashes")))
         shared = F.size(F.array_intersect("shingles", _shingles(F.col("w"), size)))
