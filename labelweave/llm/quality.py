@@ -19,33 +19,41 @@ from .simhash import word_lists
 
 #: Grades: toxic, poor, good.
 GRADES = 3
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 32
 #: The model is fitted on at most this many rated documents, those with the least hash of their id.
 FIT_ROWS = 8192
 ROUNDS = 120
-PENALTY = 2.0
+PENALTY = 0.5
+#: Rows weigh by this power of their grade's rarity: 0 all rows alike, 1 all grades alike.
+BALANCE = 0.3
+#: Above this many distinct words, each counts for less, by the power given.
+FULL_WORDS, DAMPING = 64, 0.4
 KEEP_FROM = 0.5
 _EDGES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
-# Each byte of a word as its class: upper case, lower case, digit, beyond ASCII, sign.
-_CLASS = bytes(
-    65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 else 57 if 48 <= b <= 57 else 98 if b >= 128 else 35 for b in range(256)
-)
-_REPEATED = re.compile(rb"(.)\1+")
+# Each byte of a word as its class: upper case, lower case or beyond ASCII, digit, sign. Runs of letters and digits count once.
+_CLASS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else 35 for b in range(256))
+_REPEATED = re.compile(rb"([Aa9])\1+")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Shared weights and ordered thresholds; without thresholds, an unfitted model."""
+    """Shared weights of the hashed features that the fit has seen, and ordered thresholds; without these, an unfitted model."""
 
+    index: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    dimensions: int = DIMENSIONS
+
+    def linear(self, index: np.ndarray, value: np.ndarray) -> float:
+        at = np.minimum(np.searchsorted(self.index, index), len(self.index) - 1)
+        return float((self.weights[at] * value)[self.index[at] == index].sum())
 
 
 def features(data: bytes, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a whole text: indices, ascending, and values.
 
-    One for each distinct lower-case word; for each shape of word and for immediate repeats, the root of its share of
-    the words.
+    One for each distinct lower-case word, of less value in long texts so that words do not outvote all else; for each shape of word and for immediate repeats, the root of its share of
+    the words; and one for the length, in octaves.
     """
     words: set[bytes] = set()
     shapes: Counter[bytes] = Counter()
@@ -62,9 +70,10 @@ def features(data: bytes, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.
     words.discard(b"")
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    names = [b"w " + w for w in words] + [b"s " + s for s in shapes] + [b"r"]
+    names = [b"w " + w for w in words] + [b"s " + s for s in shapes] + [b"r", b"n %d" % total.bit_length()]
     share = np.sqrt(np.array([*shapes.values(), repeats], np.float32) / total) * 4
-    values = np.concatenate([np.ones(len(words), np.float32), share])
+    each = min(1.0, (FULL_WORDS / max(len(words), 1)) ** DAMPING)
+    values = np.concatenate([np.full(len(words), each, np.float32), share, np.full(1, 4, np.float32)])
     index = np.fromiter(map(xxhash.xxh32_intdigest, names), np.int64, len(names)) % dimensions
     unique, where = np.unique(index, return_inverse=True)
     return unique, np.bincount(where, values).astype(np.float32)
@@ -78,7 +87,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
         rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
     """Weights w and thresholds t with P(grade <= k) = sigmoid(t_k - w x), by penalised likelihood (Adam, all rows a step)."""
     if not rows or len(set(grades.tolist())) < 2:
-        return Model(np.zeros(dimensions, np.float32), np.zeros(0))
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0), dimensions)
     sizes = np.array([len(i) for i, _ in rows])
     index = np.concatenate([i for i, _ in rows])
     value = np.concatenate([v for _, v in rows]).astype(np.float64)
@@ -89,7 +98,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
     # Thresholds are the first one and the logarithms of the steps, so they stay ordered.
     theta = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
     n = len(used)
-    weight = 1 / np.bincount(grades, minlength=levels).clip(1)[grades]
+    weight = np.bincount(grades, minlength=levels).clip(1)[grades] ** -BALANCE
     weight *= len(grades) / weight.sum()
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
@@ -107,17 +116,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: i
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         theta = theta - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-    weights = np.zeros(dimensions, np.float32)
-    weights[used] = theta[:n]
-    return Model(weights, theta[n] + np.concatenate([[0], np.cumsum(np.exp(theta[n + 1 :]))]))
+    return Model(used, theta[:n].astype(np.float32), theta[n] + np.concatenate([[0], np.cumsum(np.exp(theta[n + 1 :]))]), dimensions)
 
 
 def score(model: Model, data: bytes) -> tuple[float, float]:
     """(expected grade, probability of the highest grade)."""
     if not len(model.thresholds):
         return float("nan"), float("nan")
-    index, value = features(data, len(model.weights))
-    exceed = 1 - _sigmoid(model.thresholds - float(model.weights[index] @ value))
+    exceed = 1 - _sigmoid(model.thresholds - model.linear(*features(data, model.dimensions)))
     return float(exceed.sum()), float(exceed[-1])
 
 
@@ -143,14 +149,14 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             made = [features(v.as_py() or b"") for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array([i.tolist() for i, _ in made], pa.list_(pa.int32())),
+                [batch.column(1), batch.column(2), pa.array([i.tolist() for i, _ in made], pa.list_(pa.int64())),
                  pa.array([v.tolist() for _, v in made], pa.list_(pa.float32()))],
                 ["doc_id", "grade", "index", "value"],
             )
 
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", F.col("grade").cast("int").alias("grade"))
-    table = joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, grade int, index array<int>, value array<float>")
+    table = joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, grade int, index array<long>, value array<float>")
     # At most one document per chosen id, so that repeated rows do not lift the bound.
     rows = table.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
     lists = [(np.array(i, np.int64), np.array(v, np.float32)) for i, v in zip(rows["index"].to_pylist(), rows["value"].to_pylist(), strict=True)]
