@@ -158,8 +158,13 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
     joined = texts.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", F.col("grade").cast("int").alias("grade"))
     table = joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, grade int, index array<long>, value array<float>")
     # At most one document per chosen id, so that repeated rows do not lift the bound.
-    rows = table.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    lists = [(np.array(i, np.int64), np.array(v, np.float32)) for i, v in zip(rows["index"].to_pylist(), rows["value"].to_pylist(), strict=True)]
+    rows = table.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    if not rows.num_rows:
+        return fit([], np.zeros(0, np.int64))
+    index, value = (rows[name].chunk(0) for name in ("index", "value"))
+    cuts = index.offsets.to_numpy().tolist()
+    flat = index.values.to_numpy(), value.values.to_numpy()
+    lists = [tuple(f[a:b] for f in flat) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return fit(lists, rows["grade"].to_numpy().astype(np.int64))
 
 
