@@ -226,15 +226,21 @@ def augmentation(source: str) -> str:
             UNION ALL SELECT doc_id, 1, 'copy', text FROM base WHERE len(ws) < 4)"""
 
 
-def swapping(source: str) -> str:
-    return f"""
-        swap_ranked AS (SELECT doc_id, pos, word, 2 * least(greatest(1, floor(0.1::DOUBLE * size)::INT), size // 2) AS moved,
-            row_number() OVER (PARTITION BY doc_id ORDER BY {uniform('doc_id', "'swap'", 'pos')}, pos) AS k
-            FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS size FROM {source})),
-        rs AS (SELECT a.doc_id, string_agg(b.word, ' ' ORDER BY a.pos) AS swapped
-            FROM swap_ranked a JOIN swap_ranked b ON a.doc_id = b.doc_id
-                AND b.k = CASE WHEN a.k > a.moved THEN a.k WHEN a.k % 2 = 1 THEN a.k + 1 ELSE a.k - 1 END
-            GROUP BY a.doc_id)"""
+def swapping(source: str, alpha: float = 0.1, rounds: int = 1) -> str:
+    """CTEs up to ``rs``: each round swaps up to half of the words with the others, until the wanted swaps are done."""
+    wanted = f"greatest(1, floor({alpha}::DOUBLE * size)::INT)"
+    parts = [f"""
+        swap_in0 AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS size FROM {source})"""]
+    for k in range(rounds):
+        tag = "swap" if k == 0 else f"swap{k}"
+        parts.append(f"""
+        swap_ranked{k} AS (SELECT doc_id, pos, word, size, 2 * greatest(0, least({wanted} - {k} * (size // 2), size // 2)) AS moved,
+            row_number() OVER (PARTITION BY doc_id ORDER BY {uniform('doc_id', f"'{tag}'", 'pos')}, pos) AS k FROM swap_in{k}),
+        swap_in{k + 1} AS (SELECT a.doc_id, b.word, a.pos, a.size FROM swap_ranked{k} a JOIN swap_ranked{k} b ON a.doc_id = b.doc_id
+                AND b.k = CASE WHEN a.k > a.moved THEN a.k WHEN a.k % 2 = 1 THEN a.k + 1 ELSE a.k - 1 END)""")
+    parts.append(f"""
+        rs AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS swapped FROM swap_in{rounds} GROUP BY doc_id)""")
+    return ",".join(parts)
 
 
 def deleting(source: str) -> str:
@@ -357,7 +363,7 @@ def identified(train: str, source: str, key: str) -> str:
     return f"""
         train AS ({train}),
         seen AS (SELECT lang, gram, count(*) AS n FROM ({grams('SELECT * FROM train', 'lang')}) GROUP BY ALL),
-        kept AS (SELECT gram FROM seen GROUP BY gram HAVING sum(n) >= 5),
+        kept AS (SELECT gram FROM seen GROUP BY gram HAVING sum(n) >= 1),
         langs AS (SELECT lang, ln(count(*)::DOUBLE / (SELECT count(*) FROM train)) AS prior FROM train GROUP BY lang),
         totals AS (SELECT lang, sum(n) AS total FROM seen JOIN kept USING (gram) GROUP BY lang),
         logs AS (SELECT k.gram, l.lang, ln((coalesce(s.n, 0) + 1)::DOUBLE / (t.total + (SELECT count(*) FROM kept))) AS lp
@@ -535,6 +541,11 @@ ORACLE: dict[str, str] = {
             round(coalesce(max(m) FILTER (i = 63), 0), 6) AS last_value, round(coalesce(sum(m), 0), 5) AS total
         FROM benchmark b LEFT JOIN mean USING (item_id) GROUP BY b.item_id""",
     "aug_swap": f"WITH {WORDED}, {swapping('worded')} SELECT doc_id, swapped FROM rs",
+    "aug_swap_most": f"WITH {WORDED}, {swapping('worded', 0.8, 2)} SELECT doc_id, swapped FROM rs",
+    "dense_id_text": """SELECT doc_id, (row_number() OVER (ORDER BY source, text, doc_id) + 99)::BIGINT AS sample_id FROM documents""",
+    "partly_labelled_metrics": """SELECT count(*) FILTER (toxic = 0 AND score < 0.5) AS tn, count(*) FILTER (toxic = 0 AND score >= 0.5) AS fp,
+        count(*) FILTER (toxic = 1 AND score < 0.5) AS fn, count(*) FILTER (toxic = 1 AND score >= 0.5) AS tp
+        FROM (SELECT toxic, (n_chars % 100) / 100.0::DOUBLE AS score FROM documents LEFT JOIN labels USING (doc_id))""",
     "aug_delete": f"WITH {WORDED}, {deleting('worded')} SELECT doc_id, shortened FROM rd",
     "aug_synonym": f"WITH {augmentation('SELECT doc_id, text FROM documents')} SELECT doc_id, text FROM variants WHERE method = 'synonym'",
     "aug_insert": f"WITH {augmentation('SELECT doc_id, text FROM documents')} SELECT doc_id, text FROM variants WHERE method = 'insert'",

@@ -523,6 +523,26 @@ def worded(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", text.tokens(F.col("text")).alias("_words"))
 
 
+@query
+def aug_swap_most(spark, sf):
+    """More swaps than there are disjoint pairs of words."""
+    return augment.swap_words(worded(spark, sf), "doc_id", SEED, 0.8).select("doc_id", F.col("_swap").alias("swapped"))
+
+
+@query
+def dense_id_text(spark, sf):
+    """Numbers in the order of text columns, whose first has few values."""
+    frame = docs(spark, sf).select("doc_id", "source", "text")
+    return ordering.dense_id(frame, ["source", "text", "doc_id"], start=100, rows_per_range=150).select("doc_id", "sample_id")
+
+
+@query
+def partly_labelled_metrics(spark, sf):
+    """Most documents have no label; they are left out of the counts."""
+    scored = docs(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left").select("toxic", (F.col("n_chars") % 100 / 100).alias("score"))
+    return evaluate.binary_metrics(scored, "toxic", "score", missing="drop").select("tn", "fp", "fn", "tp")
+
+
 @query
 def aug_swap(spark, sf):
     return augment.swap_words(worded(spark, sf), "doc_id", SEED, 0.1).select("doc_id", F.col("_swap").alias("swapped"))

@@ -186,9 +186,10 @@ def full_clean(
     return F.array_join(kept, " ")
 
 
-def preprocess(col: Column, soft: bool = True) -> Column:
+def preprocess(col: Column, soft: bool = True, **tables) -> Column:
+    """Soft cleaning, or full cleaning of the softly cleaned text with the given word tables."""
     cleaned = soft_clean(col)
-    return cleaned if soft else full_clean(cleaned)
+    return cleaned if soft else full_clean(cleaned, **tables)
 
 
 def normalise_synonym(col: Column) -> Column:

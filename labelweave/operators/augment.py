@@ -8,6 +8,7 @@ token rows, their grouping and the final join all reuse that partitioning.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -43,12 +44,11 @@ def _joined(parts: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(parts), lambda s: s["w"]), " ")
 
 
-def swap_words(df: DataFrame, id_col: str, seed: int, alpha: float, words: str = "_words") -> DataFrame:
-    """Add ``_swap``: pairs of distinct positions, in hash order, trade places."""
+def _swap_round(df: DataFrame, id_col: str, seed: int, words: str, pairs: Column, tag: str) -> DataFrame:
+    """Pairs of distinct positions, in hash order, trade places."""
     ranked = F.array_sort(
-        F.transform(words, lambda w, i: F.struct(uniform(seed, F.col(id_col), "swap", i).alias("u"), i.alias("pos"), w.alias("w")))
+        F.transform(words, lambda w, i: F.struct(uniform(seed, F.col(id_col), tag, i).alias("u"), i.alias("pos"), w.alias("w")))
     )
-    pairs = F.least(budget(alpha, F.size(words)), F.floor(F.size(words) / 2).cast("int"))
     ordered = df.withColumns({"_ranked": ranked, "_moved": 2 * pairs})
     # Each word is laid next to its partner's position by zipping the odd and even ranks.
     partner = F.transform(
@@ -59,8 +59,28 @@ def swap_words(df: DataFrame, id_col: str, seed: int, alpha: float, words: str =
         F.arrays_zip(F.col("_ranked").alias("r"), partner.alias("p")),
         lambda z: F.struct(z["r"]["pos"].alias("pos"), F.element_at(F.col("_ranked"), z["p"])["w"].alias("w")),
     )
-    swapped = F.when(F.size(words) < 2, F.array_join(words, " ")).otherwise(_joined(placed))
-    return ordered.withColumn("_swap", swapped).drop("_ranked", "_moved")
+    swapped = F.transform(F.array_sort(placed), lambda s: s["w"])
+    return ordered.withColumn(words, F.when(F.size(words) < 2, F.col(words)).otherwise(swapped)).drop("_ranked", "_moved")
+
+
+def swap_rounds(alpha: float) -> int:
+    """How often every position must be open to a swap, so that any text gets all its swaps."""
+    return max(-(-max(1, math.floor(alpha * n)) // (n // 2)) for n in range(2, 64))
+
+
+def swap_words(df: DataFrame, id_col: str, seed: int, alpha: float, words: str = "_words") -> DataFrame:
+    """Add ``_swap``: as many swaps of two words as ``budget`` gives.
+
+    A round swaps up to half of the positions with the others; what is left goes to another round on its result, with
+    positions drawn anew. Each round is one sort of a text's words.
+    """
+    wanted = budget(alpha, F.size(words))
+    half = F.floor(F.size(words) / 2).cast("int")
+    rows = df.withColumn("_swapped", F.col(words))
+    for k in range(swap_rounds(alpha)):
+        pairs = F.greatest(F.least(wanted - k * half, half), F.lit(0))
+        rows = _swap_round(rows, id_col, seed, "_swapped", pairs, "swap" if k == 0 else f"swap{k}")
+    return rows.withColumn("_swap", F.array_join("_swapped", " ")).drop("_swapped")
 
 
 def delete_words(df: DataFrame, id_col: str, seed: int, share: float, words: str = "_words") -> DataFrame:

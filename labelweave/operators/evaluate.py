@@ -53,12 +53,23 @@ def confusion(df: DataFrame, true_col: str, pred_col: str, classes: int | None =
 
 
 def score_groups(
-    df: DataFrame, label_col: str, score_col: str, by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, label_col: str, score_col: str, by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE,
+    missing: str = "fail",
 ) -> DataFrame:
     """Per distinct score: positives and negatives, alone and summed from the highest score down.
 
-    The counts per score are stored once, as the running totals read them several times.
+    The counts per score are stored once, as the running totals read them several times. A missing label, or a
+    missing or NaN score, is an error when the groups are computed; ``missing="drop"`` leaves such rows out
+    of everything that is derived from the groups.
     """
+    if missing not in ("fail", "drop"):
+        raise ValueError("missing must be fail or drop")
+    unknown = F.col(label_col).isNull() | F.col(score_col).isNull() | F.isnan(F.col(score_col).cast("double"))
+    if missing == "drop":
+        df = df.filter(~unknown)
+    else:
+        fault = F.raise_error(F.lit(f"missing values in {label_col} or {score_col}")).cast("int")
+        df = df.withColumn(label_col, F.when(unknown, fault).otherwise(F.col(label_col)))
     positive = F.col(label_col) == 1
     groups = df.groupBy(*by, F.col(score_col).cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
@@ -135,10 +146,11 @@ def metrics_from_counts(counts: DataFrame) -> DataFrame:
 
 
 def binary_metrics(
-    df: DataFrame, label_col: str, score_col: str, threshold: float = 0.5, groups: DataFrame | None = None
+    df: DataFrame, label_col: str, score_col: str, threshold: float = 0.5, groups: DataFrame | None = None,
+    missing: str = "fail",
 ) -> DataFrame:
     """The full metric row at one threshold, from a single aggregation over score groups."""
-    groups = groups if groups is not None else score_groups(df, label_col, score_col)
+    groups = groups if groups is not None else score_groups(df, label_col, score_col, missing=missing)
     above = F.col("score") >= F.lit(float(threshold))
 
     def total(column: str, hit: Column) -> Column:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_spaces
+from ..session import materialise
 from .lookups import lookup_join
 
-MAX_LANGUAGES = 500
-
 
 def trigrams(text: Column) -> Column:
     """All trigrams of the whole text, lower-cased, white space collapsed.
@@ -24,58 +24,66 @@ def trigrams(text: Column) -> Column:
 
 @dataclass
 class LanguageProfile:
-    """Log probabilities per trigram (array in language order) and log priors."""
+    """Per trigram the languages it was seen in, as (language, logarithm of count + 1), stored once.
+
+    ``languages`` has (language, log prior, log of the smoothed total) for each, in the order of their codes.
+    """
 
     grams: DataFrame
-    languages: list[str]
-    priors: list[float]
-
-
-def fit_profile(df: DataFrame, text_col: str, language_col: str, min_count: int = 5) -> LanguageProfile:
-    """Add-one smoothed trigram probabilities; trigrams seen fewer than ``min_count`` times are left out."""
-    labelled = df.filter(F.col(language_col).isNotNull())
-    sizes = labelled.groupBy(F.col(language_col).alias("language")).agg(F.count(F.lit(1)).alias("n"))
-    rows = sizes.orderBy("language").limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = [r["language"] for r in rows]
-    documents = sum(r["n"] for r in rows)
+    languages: list[tuple[str, float, float]]
+
 
-    counted = (
-        labelled.select(F.col(language_col).alias("language"), F.explode_outer(trigrams(F.col(text_col))).alias("gram"))
+def fit_profile(df: DataFrame, text_col: str, language_col: str, min_count: int = 1) -> LanguageProfile:
+    """Add-one smoothed trigram probabilities of any number of languages.
+
+    ``min_count`` above 1 leaves out trigrams seen less often in all languages together.
+    """
+    labelled = df.filter(F.col(language_col).isNotNull()).select(F.col(language_col).alias("language"), F.col(text_col).alias("text"))
+    seen = (
+        labelled.select("language", F.explode_outer(trigrams(F.col("text"))).alias("gram"))
         .filter(F.col("gram").isNotNull())
-        .groupBy("gram")
-        .agg(*[F.count_if(F.col("language") == code).alias(f"n{i}") for i, code in enumerate(languages)])
-    )
-    counts = F.array(*[F.col(f"n{i}") for i in range(len(languages))])
-    kept = counted.select("gram", counts.alias("n")).filter(
-        F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x) >= min_count
+        .groupBy("gram", "language")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    totals = kept.agg(F.count(F.lit(1)), *[F.sum(F.col("n")[i]) for i in range(len(languages))]).first()
-    vocabulary = totals[0]
-    logs = [
-        F.log((F.col("n")[i] + 1) / F.lit(float((totals[i + 1] or 0) + vocabulary))) for i in range(len(languages))
+    grams = seen.groupBy("gram").agg(F.collect_list(F.struct("language", "n")).alias("seen"), F.sum("n").alias("n"))
+    kept = materialise(grams.filter(F.col("n") >= min_count).select("gram", "seen"), "grams")
+    vocabulary = kept.count()
+    totals = kept.select(F.explode("seen").alias("s")).groupBy("s.language").agg(F.sum("s.n").alias("total"))
+    sizes = labelled.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.join(totals, "language", "left").orderBy("language").collect()
+    documents = sum(r["n"] for r in rows)
+    languages = [
+        (r["language"], math.log(r["n"] / documents), math.log(max((r["total"] or 0) + vocabulary, 1))) for r in rows
     ]
-    priors = [F.log(F.lit(float(r["n"])) / documents) for r in rows]
-    prior_values = list(df.sparkSession.range(1).select(*priors).first()) if rows else []
-    return LanguageProfile(kept.select("gram", F.array(*logs).alias("logs")), languages, prior_values)
+    # The entry without a language counts how many trigrams of a text are known at all.
+    logs = F.transform("seen", lambda s: F.struct(s.language.alias("language"), F.log(s.n + 1).alias("log")))
+    known = F.array(F.struct(F.lit(None).cast("string").alias("language"), F.lit(1.0).alias("log")))
+    return LanguageProfile(kept.select("gram", F.concat(logs, known).alias("logs")), languages)
 
 
 def identify(df: DataFrame, id_col: str, text_col: str, profile: LanguageProfile, out: str = "language") -> DataFrame:
     """(id, language): most probable language, ties by code; NULL where no trigram is known.
 
-    Trigrams of one text are summed where they are read, so only one row per text is shuffled.
+    Trigrams of one text are summed where they are read, so only a row per text and language is shuffled.
     """
     grams = df.select(id_col, F.posexplode_outer(trigrams(F.col(text_col))).alias("_pos", "gram"))
     grams = grams.filter(F.col("gram").isNotNull())
     known = lookup_join(grams, profile.grams, ["gram"], "inner", spread=[id_col, "_pos"])
-    k = len(profile.languages)
-    sums = known.groupBy(id_col).agg(*[F.sum(F.col("logs")[i]).alias(f"s{i}") for i in range(k)])
-    scores = F.array(*[F.col(f"s{i}") + F.lit(profile.priors[i]) for i in range(k)])
-    names = F.array(*[F.lit(code) for code in profile.languages])
-    best = sums.select(id_col, scores.alias("scores")).select(
-        id_col, F.element_at(names, F.array_position("scores", F.array_max("scores")).cast("int")).alias(out)
+    parts = known.select(id_col, F.explode_outer("logs").alias("s")).groupBy(id_col, "s.language").agg(F.sum("s.log").alias("sum"))
+    sums = parts.groupBy(id_col).agg(
+        F.max(F.when(F.col("language").isNull(), F.col("sum"))).alias("_known"),
+        F.map_from_entries(F.collect_list(F.when(F.col("language").isNotNull(), F.struct("language", "sum")))).alias("_sums"),
     )
+    if not profile.languages:
+        return df.select(id_col, F.lit(None).cast("string").alias(out))
+    scored = [
+        F.struct(
+            (F.coalesce(F.try_element_at("_sums", F.lit(code)), F.lit(0.0)) - F.col("_known") * total + prior).alias("score"),
+            F.lit(-rank).alias("rank"), F.lit(code).alias("code"),
+        )
+        for rank, (code, prior, total) in enumerate(profile.languages)
+    ]
+    best = sums.select(id_col, F.array_max(F.array(*scored)).code.alias(out))
     return df.select(id_col).join(best, id_col, "left")
 
 

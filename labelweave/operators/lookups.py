@@ -8,20 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_SPACE, SPACE
+from ..session import materialise
 
-MAX_BROADCAST_ROWS = 200_000
-SALTS = 64
+#: Bytes of a lookup, as text, up to which it is broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
+#: Rows of the hottest key that one task may get in a shuffle join.
+ROWS_PER_SALT = 1_000_000
 
 
-def pin(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
-    """A local copy of ``small`` when it has at most ``max_rows`` rows, else None.
-
-    At most ``max_rows + 1`` rows ever reach the driver.
-    """
-    rows = small.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return None
-    return small.sparkSession.createDataFrame(rows, schema=small.schema)
+def pin(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``small``, stored once unless it is local already, and whether all its rows stay below ``max_bytes``."""
+    if small._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() != "LocalRelation":
+        small = materialise(small, "lookup")
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns])))
+    return small, (small.agg(F.sum(size)).first()[0] or 0) <= max_bytes
 
 
 def lookup_join(
@@ -30,22 +30,25 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     spread: Sequence[str] = (),
-    max_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
+    max_bytes: int = MAX_BROADCAST_BYTES,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Join on null-safe keys; broadcast a lookup of proven size, else a salted shuffle join.
+    """Join on null-safe keys; broadcast a lookup of proven bytes, else a salted shuffle join.
 
     ``spread`` names columns of ``left`` that tell the rows of one hot key apart; rows of the
     key are spread over ``salts`` tasks by their hash and each lookup row is copied to all of
-    them.
+    them. Without ``salts``, the rows of the hottest key decide.
     """
-    local = pin(lookup, max_rows)
-    if local is not None:
-        return keyed_join(left, F.broadcast(local), on, how)
-    if not spread:
-        return keyed_join(left, lookup, on, how)
+    stored, small = pin(lookup, max_bytes)
+    if small:
+        return keyed_join(left, F.broadcast(stored), on, how)
+    if salts is None and spread:
+        hottest = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        salts = -(-hottest // ROWS_PER_SALT)
+    if not spread or salts <= 1:
+        return keyed_join(left, stored, on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return keyed_join(salted, copies, [*on, "_salt"], how).drop("_salt")
 
 

@@ -71,7 +71,7 @@ def train_best(
     stages = Pipeline(
         stages=[
             HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dims),
-            IDF(inputCol="_counts", outputCol="features", minDocFreq=2),
+            IDF(inputCol="_counts", outputCol="features", minDocFreq=0),
         ]
     )
     prepared = _with_tokens(train.select(text_col, F.col(label_col).cast("int").alias("label")), text_col)

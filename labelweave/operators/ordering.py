@@ -1,42 +1,22 @@
 """Global order without a global sort task: running totals, dense ids, seeded shuffles.
 
-The order key is cut into quantile ranges. Totals per range form a small table whose prefix
-sums give every range its offset, so the final window runs inside one range at a time.
+Rows are range-partitioned by their order columns, whatever the types. Totals per range form a small
+table whose prefix sums give every range its offset, so the final window runs inside one range
+at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import shuffle_key
-from .lookups import lookup_join
+from ..session import materialise
+from .lookups import keyed_join, lookup_join
 
 ROWS_PER_RANGE = 200_000
-MAX_RANGES = 8192
-
-
-def range_cuts(df: DataFrame, order_col: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
-    """Strictly increasing cut points that split the key into ranges of similar row counts.
-
-    Any cut points give the same results; only the balance of tasks depends on them.
-    """
-    keys = df.select(F.col(order_col).cast("double").alias("key")).na.drop()
-    ranges = min(MAX_RANGES, -(-keys.count() // rows_per_range))
-    if ranges <= 1:
-        return []
-    shares = [i / ranges for i in range(1, ranges)]
-    return sorted(set(keys.approxQuantile("key", shares, 1 / (4 * ranges))))
-
-
-def with_range(df: DataFrame, order_col: str, cuts: Sequence[float], out: str = "_range") -> DataFrame:
-    splits = [float("-inf"), *cuts, float("inf")]
-    cast = df.withColumn("_order_double", F.col(order_col).cast("double"))
-    binned = Bucketizer(splits=splits, inputCol="_order_double", outputCol=out, handleInvalid="keep")
-    return binned.transform(cast).drop("_order_double")
 
 
 def running_total(
@@ -48,23 +28,26 @@ def running_total(
 ) -> DataFrame:
     """Add inclusive running sums of ``values`` in the order of ``order_cols`` within ``by``.
 
-    The first order column must be numeric; it decides the ranges, so it should be nearly unique.
+    Any orderable columns will do. Ranges are cut over all of ``by`` and ``order_cols``, so a hot first key is split
+    as well; there are as many as ``rows_per_range`` asks for. The ranged rows are stored once, as the
+    totals and the result must see the same ranges. Up to ``rows_per_range`` rows in all are one window.
     """
-    cuts = range_cuts(df, order_cols[0], rows_per_range)
-    if not cuts:
-        # At most ``rows_per_range`` rows in all.
-        whole = Window.partitionBy(*by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [F.col(c) for c in order_cols]
+    rows = df.count()
+    if rows <= rows_per_range:
+        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({n: F.sum(v).over(whole) for n, v in values.items()})
-    ranged = with_range(df, order_cols[0], cuts)
+    cut = df.repartitionByRange(-(-rows // rows_per_range), *by, *order_cols)
+    ranged = materialise(cut.withColumn("_range", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    offsets = materialise(totals.select(
         *by, "_range", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in values]
-    )
-    inside = Window.partitionBy(*by, "_range").orderBy(*order_cols).rowsBetween(
+    ), "offsets")
+    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    summed = lookup_join(ranged, offsets, [*by, "_range"], "inner", spread=order_cols)
+    summed = keyed_join(ranged, offsets, [*by, "_range"], "inner")
     return summed.withColumns(
         {n: F.sum(v).over(inside) + F.col(f"_offset_{n}") for n, v in values.items()}
     ).drop("_range", *[f"_offset_{n}" for n in values])

@@ -85,10 +85,14 @@ def text_means(df: DataFrame, text_col: str, null_as_text: bool = True) -> DataF
 def histogram(df: DataFrame, value_col: str, bins: int = 30) -> DataFrame:
     """Equal-width bins over [min, max], the last one closed; empty bins are listed.
 
-    A constant column gets the range value - 0.5 to value + 0.5. The two limits are read first.
+    A constant column gets the range value - 0.5 to value + 0.5. The two limits are read first. Missing values are
+    not counted; NaN or an infinite value is an error, as no bin could hold it.
     """
     value = F.col(value_col).cast("double")
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    odd = F.count_if(F.isnan(value) | (F.abs(value) == float("inf")))
+    low, high, unbounded = df.agg(F.min(value), F.max(value), odd).first()
+    if unbounded:
+        raise ValueError(f"{unbounded} values of {value_col} are not finite")
     if low is None:
         low, high = 0.0, 1.0
     elif low == high:

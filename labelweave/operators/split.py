@@ -86,7 +86,7 @@ def split(
     key = shuffle_key(seed, *[F.col(c) for c in ids])
     keys = df.select(stratum.alias("stratum"), key.alias("_hash"))
     quotas = split_quotas(df, stratum, shares)
-    quotas = pin(quotas) or quotas
+    quotas, _ = pin(quotas)
     prefix = F.substring("_hash", 1, _prefix_digits(quotas.agg(F.sum("rows")).first()[0] or 0))
     histogram = keys.groupBy("stratum", prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("stratum").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.fixed_values import NA_TOKENS
-from ..functions.hashing import text_key
+from ..functions.hashing import shuffle_key, text_key
+from ..session import materialise
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
@@ -105,16 +106,30 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
 
 
 def align_versions(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_text: str, right_text: str
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_text: str, right_text: str,
+    seed: int | None = None, check: bool = False,
 ) -> DataFrame:
-    """Inner join of two text versions of the same samples, NULL keys matching NULL keys."""
+    """Inner join of two text versions of the same samples, NULL keys matching NULL keys.
+
+    With a ``seed`` the rows come in a seeded random order. With ``check`` the result is stored, and an empty result
+    or a missing value in it is an error.
+    """
     require_columns(left, [*keys, left_text])
     require_columns(right, [*keys, right_text])
     other = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], right_text)
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
-    return left.select(*keys, left_text).join(other, condition, "inner").select(*keys, left_text, right_text)
+    aligned = left.select(*keys, left_text).join(other, condition, "inner").select(*keys, left_text, right_text)
+    if check:
+        aligned = materialise(aligned, "aligned")
+        found = alignment_violations(aligned, aligned.columns).first()
+        if not found["valid"]:
+            raise ValueError(f"{found['rows']} aligned rows, {found['nulls']} missing values")
+    if seed is not None:
+        order = shuffle_key(seed, *[F.col(k) for k in keys])
+        aligned = aligned.withColumn("_order", order).orderBy("_order", *keys).drop("_order")
+    return aligned
 
 
 def alignment_violations(aligned: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -29,8 +29,8 @@ def build_session(app: str = "labelweave", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a temporary folder; on a cluster a missing
-    setting is an error, because a folder of one machine is lost with that machine.
+    On a cluster a missing setting is an error, because a folder of one machine is lost with that machine.
+    A local-mode session without the setting gets a folder of its own.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -44,8 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str = "stage") -> str:
-    """A fresh folder for an intermediate table."""
-    return f"{shared_folder(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for an intermediate table of this application."""
+    return f"{_stages(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/stages/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -60,6 +64,6 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def drop_stages(spark: SparkSession) -> None:
-    """Delete all stored intermediate tables of the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/stages")
+    """Delete the intermediate tables this application stored; those of others in the folder stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -76,7 +76,7 @@ def test_large_lookup_is_salted(spark):
     lookup = spark.range(500).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
     lookup = lookup.unionByName(spark.createDataFrame([("hot", -1)], "k string, v long"))
     small = lookups.lookup_join(left, lookup, ["k"], spread=["id"])
-    large = lookups.lookup_join(left, lookup, ["k"], spread=["id"], max_rows=10, salts=4)
+    large = lookups.lookup_join(left, lookup, ["k"], spread=["id"], max_bytes=10, salts=4)
     assert sorted(small.collect()) == sorted(large.collect())
     assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
 

@@ -1,4 +1,3 @@
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,15 +32,20 @@ def test_soft_clean(spark):
     assert run(spark, lambda c: text.soft_clean(text.as_text(c, True)), [None]) == ["nan"]
 
 
-def test_soft_clean_agrees_with_python(spark):
-    hostile = list(SOFT) + ["\x85a<b\x85c>d", "ＷＷＷ www.é ü", "a@b_c١ d", "x<\r>y", "😀<i>😀</i>", "http://é　z", "a​b  c"]
+HOSTILE = {
+    "\x85a<b\x85c>d": "ad",
+    "ＷＷＷ www.é ü": "ＷＷＷ ü",
+    "a@b_c١ d": "a d",
+    "x<\r>y": "xy",
+    "😀<i>😀</i>": "😀😀",
+    "http://é　z": "z",
+    "a\u200bb  c": "a\u200bb c",
+}
 
-    def python(t):
-        t = re.sub(r"@\w+", "", t)
-        t = re.sub(r"http\S+|www\.\S+", "", t).replace("#", "")
-        return re.sub(r"\s+", " ", re.sub(r"<.*?>", "", t)).strip()
 
-    assert run(spark, text.soft_clean, hostile) == [python(t) for t in hostile]
+def test_soft_clean_of_hostile_texts(spark):
+    hostile = list(HOSTILE)
+    assert run(spark, text.soft_clean, hostile) == list(HOSTILE.values())
     assert run(spark, text.tokens, hostile) == [t.split() for t in hostile]
     assert run(spark, text.word_count, hostile) == [len(t.split()) for t in hostile]
     assert run(spark, lambda c: text.has_tokens(c, 4), hostile) == [len(t.split()) >= 4 for t in hostile]
