@@ -265,6 +265,34 @@ def balanced(source: str, label: str, only: str = "true") -> str:
         JOIN wanted USING (label) WHERE ordinal <= wanted"""
 
 
+def vectors(source: str, weights: str, dims: int) -> str:
+    """CTEs up to ``unit`` (id, b, x): non-zero values of the unit vectors of ``source`` (id, text), weighted by ``weights``."""
+    bucket = f"(('0x' || substr(md5(w), 1, 8))::UBIGINT % {dims})::INT"
+
+    def counts(rows: str) -> str:
+        return f"SELECT id, {bucket} AS b, count(*) AS n FROM (SELECT id, unnest({words('lower(text)')}) AS w FROM ({rows})) GROUP BY ALL"
+
+    return f"""
+        idf AS (SELECT b, ln(((SELECT count(*) FROM ({weights})) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM ({counts(weights)}) GROUP BY b),
+        weighted AS (SELECT id, b, n * coalesce(idf, ln(((SELECT count(*) FROM ({weights})) + 1)::DOUBLE)) AS x
+            FROM ({counts(source)}) LEFT JOIN idf USING (b)),
+        unit AS (SELECT id, b, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY id)), 0) AS x FROM weighted)"""
+
+
+ACCEPTED = f"""WITH made AS ({balanced(f"SELECT * FROM {LABELLED}", "toxic", "toxic = 1")}),
+    fresh AS (SELECT *, doc_id || ':' || variant AS id FROM made
+        WHERE (toxic, text) NOT IN (SELECT (toxic, text) FROM {LABELLED} WHERE toxic IS NOT NULL)),
+    sizes AS (SELECT toxic, count(*) AS n FROM fresh GROUP BY toxic),
+    candidates AS (SELECT 'o' || doc_id AS id, text, toxic FROM (
+        SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS k FROM {LABELLED}) JOIN sizes USING (toxic) WHERE k <= n),
+    {vectors("SELECT id, text FROM fresh UNION ALL SELECT id, text FROM candidates",
+             f"SELECT doc_id AS id, text FROM {LABELLED}", 512)},
+    scores AS (SELECT f.id, max(score) AS score FROM (
+        SELECT f.id, c.id AS other, sum(a.x * b.x) AS score FROM fresh f JOIN candidates c USING (toxic)
+        JOIN unit a ON a.id = f.id JOIN unit b ON b.id = c.id AND a.b = b.b GROUP BY ALL) f GROUP BY f.id)
+    SELECT doc_id, variant, method, TRUE AS near FROM fresh JOIN scores USING (id) WHERE round(score, 12) >= 0.85"""
+
+
 # --- evaluation -------------------------------------------------------------------------------
 
 SCORED = f"""SELECT {', '.join(LINE_ID)}, (l_returnflag = 'R')::INT AS true_label,
@@ -541,6 +569,10 @@ ORACLE: dict[str, str] = {
             round(coalesce(max(m) FILTER (i = 63), 0), 6) AS last_value, round(coalesce(sum(m), 0), 5) AS total
         FROM benchmark b LEFT JOIN mean USING (item_id) GROUP BY b.item_id""",
     "aug_swap": f"WITH {WORDED}, {swapping('worded')} SELECT doc_id, swapped FROM rs",
+    "text_vectors": f"""WITH {vectors("SELECT doc_id AS id, text FROM documents", "SELECT doc_id AS id, text FROM documents", 64)}
+        SELECT doc_id, string_agg(coalesce(round(x * 1e6), 0)::INT::VARCHAR, ',' ORDER BY g.b) AS vector
+        FROM documents CROSS JOIN (SELECT unnest(range(64)) AS b) g LEFT JOIN unit ON unit.id = doc_id AND unit.b = g.b GROUP BY doc_id""",
+    "accept_similar": ACCEPTED,
     "aug_swap_most": f"WITH {WORDED}, {swapping('worded', 0.8, 2)} SELECT doc_id, swapped FROM rs",
     "dense_id_text": """SELECT doc_id, (row_number() OVER (ORDER BY source, text, doc_id) + 99)::BIGINT AS sample_id FROM documents""",
     "partly_labelled_metrics": """SELECT count(*) FILTER (toxic = 0 AND score < 0.5) AS tn, count(*) FILTER (toxic = 0 AND score >= 0.5) AS fp,

@@ -512,8 +512,10 @@ def neighbour_recall(spark, sf):
 
 @query
 def text_vectors(spark, sf):
-    vectors = similarity.text_vectors(docs(spark, sf).select("doc_id", "text"), "text", dims=64)
-    return vectors.select("doc_id", F.round(arrays.norm(F.col("embedding")), 4).alias("length"))
+    """Whole vectors, in millionths."""
+    vectors = similarity.text_vectors(docs(spark, sf).select("doc_id", "text"), "text", dims=64, kind="float64")
+    millionths = F.transform("embedding", lambda x: F.round(x * 1e6).cast("int").cast("string"))
+    return vectors.select("doc_id", F.array_join(millionths, ",").alias("vector"))
 
 
 # --- augmentation -----------------------------------------------------------------------------
