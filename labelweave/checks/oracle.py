@@ -562,12 +562,11 @@ ORACLE: dict[str, str] = {
         0.0::DOUBLE AS to_zero FROM embeddings""",
     "mean_word_vectors": f"""WITH w AS (SELECT item_id, unnest({words('text')}) AS word FROM benchmark),
         known AS (SELECT w.item_id, e.embedding FROM w JOIN embeddings e ON e.vec_id =
-            ('0x' || substr(md5(w.word), 1, 8))::UBIGINT::BIGINT % (SELECT count(*) FROM embeddings) WHERE length(w.word) > 3),
+            ('0x' || substr(md5(w.word), 1, 8))::UBIGINT::BIGINT % (SELECT count(*) FROM embeddings)),
         part AS (SELECT item_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM known),
         mean AS (SELECT item_id, i, avg(x) AS m FROM part GROUP BY ALL)
-        SELECT b.item_id, round(coalesce(max(m) FILTER (i = 0), 0), 6) AS first_value,
-            round(coalesce(max(m) FILTER (i = 63), 0), 6) AS last_value, round(coalesce(sum(m), 0), 5) AS total
-        FROM benchmark b LEFT JOIN mean USING (item_id) GROUP BY b.item_id""",
+        SELECT item_id, string_agg(coalesce(round(m * 1e6), 0)::INT::VARCHAR, ',' ORDER BY i) AS vector
+        FROM benchmark CROSS JOIN (SELECT unnest(range(64)) AS i) g LEFT JOIN mean USING (item_id, i) GROUP BY item_id""",
     "aug_swap": f"WITH {WORDED}, {swapping('worded')} SELECT doc_id, swapped FROM rs",
     "text_vectors": f"""WITH {vectors("SELECT doc_id AS id, text FROM documents", "SELECT doc_id AS id, text FROM documents", 64)}
         SELECT doc_id, string_agg(coalesce(round(x * 1e6), 0)::INT::VARCHAR, ',' ORDER BY g.b) AS vector
@@ -648,7 +647,18 @@ ORACLE: dict[str, str] = {
     + f" FROM ({metric_row(SCORED, '0.6::DOUBLE')})",
     "csv_round_trip": f"SELECT doc_id, {soft('text')} AS text, lang FROM documents",
     "split_round_trip": split("SELECT doc_id, lang, source FROM documents", ["doc_id"], "lang", [0.1], ["test", "train"]),
-    "stream_clean": f"SELECT doc_id, {soft('text')} AS tweet_soft, (lang IS DISTINCT FROM 'en')::INT AS is_cyberbullying FROM documents",
+    "stream_clean": f"""WITH {staged_full(FULL_DOCS, 'doc_id', 'cleaned')}
+        SELECT doc_id, {soft('text')} AS tweet_soft, full_text AS tweet_full, (lang IS DISTINCT FROM 'en')::INT AS is_cyberbullying
+        FROM documents JOIN cleaned USING (doc_id)""",
+    "prepare_language": f"""WITH {staged_full(FULL_DOCS, 'doc_id', 'cleaned')},
+        {identified('SELECT text, lang FROM documents', 'SELECT * FROM documents', 'doc_id')},
+        spoken AS (SELECT doc_id, text, CASE WHEN n_chars % 2 = 0 THEN 'even' ELSE 'odd' END AS label
+            FROM documents JOIN found USING (doc_id) WHERE language = 'en'),
+        chosen_docs AS (SELECT * FROM spoken WHERE doc_id IN ({kept_ids('SELECT * FROM spoken', ['text'], 'label')})),
+        parts AS ({three_way('SELECT * FROM chosen_docs', ['doc_id'], 'label')})
+        SELECT p.doc_id, p.label AS cyberbullying_type, {soft('text')} AS tweet_soft, full_text AS tweet_full,
+            (p.label <> 'even')::INT AS is_cyberbullying, m.code AS cyberbullying_label, p.split
+        FROM parts p JOIN cleaned USING (doc_id) JOIN ({ordinal('label', 'chosen_docs')}) m ON m.label = p.label""",
     "prepare_raw": f"""WITH {staged_full(FULL_DOCS, 'doc_id', 'cleaned')},
         kept AS (SELECT doc_id, text, lang FROM documents WHERE lang IS DISTINCT FROM 'de' AND doc_id IN ({RAW_KEPT})),
         parts AS ({three_way('SELECT * FROM kept', ['doc_id'], 'lang')})

@@ -489,14 +489,11 @@ def mean_word_vectors(spark, sf):
     vectors = table(spark, sf, "embeddings")
     count = vectors.count()
     place = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % F.lit(count)
-    words = items.select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct().filter(F.length("word") > 3)
+    words = items.select(F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
     known = words.withColumn("vec_id", place).join(vectors, "vec_id").select("word", F.col("embedding").alias("vector"))
     means = similarity.mean_word_vectors(items, "item_id", "text", known, 64)
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
-    return means.select(
-        "item_id", F.round(F.col("embedding")[0], 6).alias("first_value"),
-        F.round(F.col("embedding")[63], 6).alias("last_value"), F.round(total, 5).alias("total"),
-    )
+    millionths = F.transform("embedding", lambda x: F.round(x * 1e6).cast("int").cast("string"))
+    return means.select("item_id", F.array_join(millionths, ",").alias("vector"))
 
 
 @query
@@ -869,9 +866,22 @@ def stream_clean(spark, sf):
     path = stage_path(spark, "stream")
     schema = docs(spark, sf).schema
     stream = stateless.read_stream(spark, sf, schema, "documents.parquet").select("doc_id", "text", "lang")
-    cleaned = stateless.clean_stream(stream, "text", "lang", "en", include_full=False)
+    cleaned = stateless.clean_stream(stream, "text", "lang", "en", stop_words=STOP_WORDS)
     stateless.run_available(cleaned, path, path.rsplit("/", 1)[1])
-    return spark.read.parquet(path).select("doc_id", "tweet_soft", "is_cyberbullying")
+    return spark.read.parquet(path).select("doc_id", "tweet_soft", "tweet_full", "is_cyberbullying")
+
+
+@query
+def prepare_language(spark, sf):
+    """The whole preparation, with the language filter in front."""
+    frame = docs(spark, sf)
+    parity = F.when(F.col("n_chars") % 2 == 0, "even").otherwise("odd")
+    raw = frame.select("doc_id", F.col("text").alias("tweet_text"), parity.alias("cyberbullying_type"))
+    ready = prepare.prepare_raw(
+        raw, "doc_id", negative="even", profile=language.fit_profile(frame, "text", "lang"), language="en", dropped_class=None,
+        stop_words=STOP_WORDS,
+    )
+    return ready.drop("tweet_text")
 
 
 @query
