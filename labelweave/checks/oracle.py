@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.fixed_values import CONTRACTIONS, LEMMA_EXCEPTIONS, METRIC_HEADERS
-from .inputs import LINE_ID, SEED, STOP_WORDS, SYNONYM_PAIRS
+from .inputs import CLASS_PLACES, LINE_ID, SEED, STOP_WORDS, SYNONYM_PAIRS
 
 WORD = r"[\pL\pN_]"
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ]"
@@ -356,8 +356,9 @@ YOUDEN = """SELECT coalesce(arg_max(score, (gain, score)) FILTER (gain > 0), 'in
     greatest(0, max(gain))::DOUBLE / (any_value(all_pos)::DOUBLE * any_value(all_neg)) AS youden_j
     FROM (SELECT *, tp::HUGEINT * all_neg - fp::HUGEINT * all_pos AS gain FROM ({groups}))"""
 
-LOGITS = """SELECT vec_id, label AS true_label, list_transform(embedding[1:10],
-    lambda x, i: x::DOUBLE * 8 + CASE WHEN i - 1 = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS logits FROM embeddings"""
+LOGITS = f"""SELECT vec_id, label AS true_label, [{', '.join(
+    f"({' + '.join(f'embedding[{i + 1}]::DOUBLE' for i in places)}) * 4 + CASE WHEN label = {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    for k, places in enumerate(CLASS_PLACES))}] AS logits FROM embeddings"""
 SOFTMAX = f"""SELECT vec_id, true_label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (
     SELECT vec_id, true_label, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM ({LOGITS}))"""
 CLASS_SCORES = f"""SELECT vec_id, true_label, q, list_position(q, list_max(q)) - 1 AS pred_label
