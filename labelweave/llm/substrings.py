@@ -270,14 +270,14 @@ def _cut(data: bytes, places: np.ndarray, window: int, whole: bool) -> tuple[int
     return len(words), int(gone.sum()), b" ".join(kept)
 
 
-def repeated_windows(docs: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_windows(docs: DataFrame, copies: DataFrame, window: int = WINDOW, held_rows: int = HELD_ROWS) -> DataFrame:
     """(key, order, place): where the windows of a content start that a document with a smaller order has as well.
 
     ``docs`` has doc_id, key, key2 and text; ``copies`` the first order of each content that several have (key, firsts).
     Round one gathers which symbols several contents have. Round two verifies: the windows behind such symbols meet by
     their own content, and the smallest order owns each. Of equal contents only the first takes part.
     """
-    symbols = _symbols(docs, window)
+    symbols = _symbols(docs, window, held_rows)
     every = Window.partitionBy("route", "sure")
     ends = symbols.withColumn("low", F.min("other").over(every)).withColumn("high", F.max("other").over(every))
     key, name = (F.when(F.col("sure"), F.col(a)).otherwise(F.col(b)) for a, b in (("route", "other"), ("other", "route")))
@@ -288,7 +288,7 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, window: int = WINDOW) -
     order = F.coalesce("doc_id", F.lit(NO_ID))
     open_ = docs.join(stored, "key").withColumn("order", order).filter(F.col("order") <= F.coalesce(_first(), F.col("order")))
     by_content = Window.partitionBy("k1", "k2").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = _windows(open_, window).withColumn("low", F.min("order").over(by_content))
+    owned = _windows(open_, window, held_rows).withColumn("low", F.min("order").over(by_content))
     place = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
     return owned.filter("place < 0 OR low < order").select("key", "order", place.alias("place"))
 
@@ -299,12 +299,12 @@ def _first() -> Column:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, held_rows: int = HELD_ROWS
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each document without the words of windows that an earlier one has.
 
     A window is ``window`` consecutive words of one document. Each word covered by a window whose words also start in
-    a document with a smaller id goes; windows are judged on the input. ``kept`` joins the words left by one space.
+    a document with a smaller id goes; windows are judged on the input. ``kept`` joins the words left by one space. A task combines ``held_rows`` rows at a time.
 
     - Missing text has no words. Texts shorter than the window stay whole.
     - A missing id comes after every id; two documents without an id do not remove each other's words, nor do
@@ -318,7 +318,7 @@ def remove_repeats(
     order = F.coalesce("doc_id", F.lit(NO_ID))
     contents = narrow.groupBy("key", "key2").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last")
     copies = materialise(contents.groupBy("key").agg(F.collect_list(F.struct("key2", "first")).alias("firsts")), "copies")
-    repeats = repeated_windows(narrow, copies, window)
+    repeats = repeated_windows(narrow, copies, window, held_rows)
     found = repeats.groupBy("key").agg(F.collect_set(F.struct("order", "place")).alias("found"))
     verdicts = found.join(copies, "key", "full")
 

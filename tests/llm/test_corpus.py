@@ -230,11 +230,11 @@ def plain_cut(rows, window):
         yield i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)
 
 
-@pytest.mark.parametrize("window", [13, 4])
-def test_repeats(spark, hard, window, monkeypatch):
-    """Small limits make tasks combine and cut often."""
+@pytest.mark.parametrize("window, held", [(13, 1 << 21), (13, 40), (4, 500)])
+def test_repeats(spark, hard, window, held):
+    """Whether a task combines all its rows or a few at a time."""
     df, rows = hard
-    got = substrings.remove_repeats(df, window=window).collect()
+    got = substrings.remove_repeats(df, window=window, held_rows=held).collect()
     want = Counter(plain_cut(rows, window))
     assert Counter(tuple(r) for r in got) == want and sum(w[2] > 0 for w in want) > 10
 
