@@ -212,19 +212,22 @@ def _symbols(docs: DataFrame, window: int, limit: int = HELD_ROWS) -> DataFrame:
 def _windows(docs: DataFrame, window: int, limit: int = HELD_ROWS) -> DataFrame:
     """(k1, k2, order, key, place): windows whose symbol is shared, by 96 bits of their content.
 
-    Of equal windows a task sees, those of the smallest order go out to meet others; the rest, of which an earlier
-    owner is known already, have -1 - place.
+    Of equal windows a task sees, those of the smallest order go out to meet others, the first place of each document
+    for all; the rest, of which an earlier owner is known already, have -1 - place.
     """
     names = ["k1", "k2", "order", "key", "place"]
 
     def combined(k1, k2, orders, keys, places) -> pa.RecordBatch:
-        by = np.lexsort((orders, k2, k1))
-        first = np.ones(len(by), bool)
-        first[1:] = (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])
-        sorted_orders = orders[by]
-        late = sorted_orders > sorted_orders[np.flatnonzero(first)][np.cumsum(first) - 1]
-        sure = np.zeros(len(by), bool)
-        sure[by] = late
+        by = np.lexsort((places, keys, orders, k2, k1))
+        k1, k2, orders, keys, places = (c[by] for c in (k1, k2, orders, keys, places))
+        first, again = np.ones(len(by), bool), np.zeros(len(by), bool)
+        first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        again[1:] = ~first[1:] & (orders[1:] == orders[:-1]) & (keys[1:] == keys[:-1])
+        late = orders > orders[np.flatnonzero(first)][np.cumsum(first) - 1]
+        # A document sends a window that it repeats once. Back in the order of the documents, whose columns compress well.
+        sent = np.flatnonzero(late | ~again)
+        sent = sent[np.lexsort((places[sent], keys[sent]))]
+        k1, k2, orders, keys, places, sure = (c[sent] for c in (k1, k2, orders, keys, places, late))
         # Those only pass through the shuffle: they are dealt by their document, without random bytes.
         k1, k2, places = np.where(sure, keys, k1), np.where(sure, places, k2), np.where(sure, -1 - places, places)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, orders, keys, places)], names)
@@ -255,6 +258,17 @@ def _windows(docs: DataFrame, window: int, limit: int = HELD_ROWS) -> DataFrame:
     )
 
 
+def _equal_places(words: list[bytes], places: np.ndarray, window: int) -> np.ndarray:
+    """All places of a document whose windows equal one of those at ``places``."""
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+    first, second = _content(halves, np.arange(len(words) - window + 1), window)
+    found = np.flatnonzero(np.isin(first, first[places]))
+    if len(found) == len(places):
+        return places
+    wanted = set(zip(first[places].tolist(), second[places].tolist(), strict=True))
+    return np.array([p for p in found.tolist() if (int(first[p]), int(second[p])) in wanted])
+
+
 def _cut(data: bytes, places: np.ndarray, window: int, whole: bool) -> tuple[int, int, bytes]:
     """Words, removed words and the words left. ``whole``: an earlier document has the same text."""
     words = data.split()
@@ -262,6 +276,7 @@ def _cut(data: bytes, places: np.ndarray, window: int, whole: bool) -> tuple[int
         return len(words), len(words), b""
     if not len(places):
         return len(words), 0, b" ".join(words)
+    places = _equal_places(words, places, window)
     step = np.zeros(len(words) + 1, np.int64)
     step[places] += 1
     step[places + window] -= 1
