@@ -22,12 +22,14 @@ GRADES = 3
 DIMENSIONS = 1 << 32
 #: The model is fitted on at most this many rated documents, those with the least hash of their id.
 FIT_ROWS = 8192
-ROUNDS = 120
+ROUNDS = 240
 PENALTY = 0.5
 #: Rows weigh by this power of their grade's rarity: 0 all rows alike, 1 all grades alike.
 BALANCE = 0.3
 #: Above this many distinct words, each counts for less, by the power given.
 FULL_WORDS, DAMPING = 64, 0.4
+#: Longer words also count by so many bytes of their beginning, which stand for their stem.
+STEM_BYTES = 4
 KEEP_FROM = 0.5
 _EDGES = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 # Each byte of a word as its class: upper case, lower case or beyond ASCII, digit, sign. Runs of letters and digits count once.
@@ -52,8 +54,9 @@ class Model:
 def features(data: bytes, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a whole text: indices, ascending, and values.
 
-    One for each distinct lower-case word, of less value in long texts so that words do not outvote all else; for each shape of word and for immediate repeats, the root of its share of
-    the words; and one for the length, in octaves.
+    One for each distinct lower-case word and each distinct word beginning, of less value in long texts so that words do not
+    outvote all else; for each shape of word and for immediate repeats, the root of its share of the words; and one for the
+    length, in octaves.
     """
     words: set[bytes] = set()
     shapes: Counter[bytes] = Counter()
@@ -70,10 +73,12 @@ def features(data: bytes, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.
     words.discard(b"")
     if not total:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    names = [b"w " + w for w in words] + [b"s " + s for s in shapes] + [b"r", b"n %d" % total.bit_length()]
+    stems = {w[:STEM_BYTES] for w in words if len(w) > STEM_BYTES}
+    names = [b"w " + w for w in words] + [b"p " + p for p in stems] + [b"s " + s for s in shapes]
+    names += [b"r", b"n %d" % total.bit_length()]
     share = np.sqrt(np.array([*shapes.values(), repeats], np.float32) / total) * 4
-    each = min(1.0, (FULL_WORDS / max(len(words), 1)) ** DAMPING)
-    values = np.concatenate([np.full(len(words), each, np.float32), share, np.full(1, 4, np.float32)])
+    each = [np.full(n, min(1.0, (FULL_WORDS / max(n, 1)) ** DAMPING), np.float32) for n in (len(words), len(stems))]
+    values = np.concatenate([*each, share, np.full(1, 4, np.float32)])
     index = np.fromiter(map(xxhash.xxh32_intdigest, names), np.int64, len(names)) % dimensions
     unique, where = np.unique(index, return_inverse=True)
     return unique, np.bincount(where, values).astype(np.float32)
