@@ -110,15 +110,15 @@ def shuffle_key(*parts: str) -> str:
     return f"md5(concat_ws(':', '{SEED}', {', '.join(parts)}))"
 
 
-def staged_full(source: str, key: str, out: str) -> str:
+def staged_full(source: str, key: str, out: str, step: str = "s") -> str:
     """Full cleaning in steps, so that no expression is repeated inside another."""
     return f"""
-        s1 AS MATERIALIZED (SELECT {key}, {soft('txt')} AS txt FROM ({source})),
-        s2 AS MATERIALIZED (SELECT {key}, {expand('txt')} AS txt FROM s1),
-        s3 AS MATERIALIZED (SELECT {key}, {squeeze('txt')} AS txt FROM s2),
-        s4 AS MATERIALIZED (SELECT {key}, {replace('lower(txt)', NOT_WORD_NOT_SPACE)} AS txt FROM s3),
-        s5 AS MATERIALIZED (SELECT {key}, {lemmas('txt')} AS txt FROM s4),
-        {out} AS MATERIALIZED (SELECT {key}, {collapse(content('txt'))} AS full_text FROM s5)"""
+        {step}1 AS MATERIALIZED (SELECT {key}, {soft('txt')} AS txt FROM ({source})),
+        {step}2 AS MATERIALIZED (SELECT {key}, {expand('txt')} AS txt FROM {step}1),
+        {step}3 AS MATERIALIZED (SELECT {key}, {squeeze('txt')} AS txt FROM {step}2),
+        {step}4 AS MATERIALIZED (SELECT {key}, {replace('lower(txt)', NOT_WORD_NOT_SPACE)} AS txt FROM {step}3),
+        {step}5 AS MATERIALIZED (SELECT {key}, {lemmas('txt')} AS txt FROM {step}4),
+        {out} AS MATERIALIZED (SELECT {key}, {collapse(content('txt'))} AS full_text FROM {step}5)"""
 
 
 WITH_LABELS = "(SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -254,8 +254,12 @@ def deleting(source: str) -> str:
 WORDED = f"worded AS (SELECT doc_id, {words('text')} AS ws FROM documents)"
 
 
-def balanced(source: str, label: str, only: str = "true") -> str:
-    majority = f"(SELECT max(n) FROM (SELECT count(*) AS n FROM ({source}) WHERE {label} IS NOT NULL GROUP BY {label}))"
+def majority_size(source: str, label: str) -> str:
+    return f"(SELECT max(n) FROM (SELECT count(*) AS n FROM ({source}) WHERE {label} IS NOT NULL GROUP BY {label}))"
+
+
+def balanced(source: str, label: str, only: str = "true", majority: str | None = None) -> str:
+    majority = majority or majority_size(source, label)
     return f"""WITH src AS (SELECT doc_id, text, {label} AS label FROM ({source}) WHERE {only}),
         {augmentation('SELECT doc_id, text FROM src')},
         wanted AS (SELECT label, greatest(1, {majority} - count(*)) AS wanted FROM src GROUP BY label)
@@ -279,18 +283,44 @@ def vectors(source: str, weights: str, dims: int) -> str:
         unit AS (SELECT id, b, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY id)), 0) AS x FROM weighted)"""
 
 
-ACCEPTED = f"""WITH made AS ({balanced(f"SELECT * FROM {LABELLED}", "toxic", "toxic = 1")}),
+def accepted(made: str, originals: str, label: str) -> str:
+    """CTEs up to ``accepted``: rows of ``made`` that reach 0.85 against a candidate of their class in ``originals``."""
+    return f"""made AS ({made}),
     fresh AS (SELECT *, doc_id || ':' || variant AS id FROM made
-        WHERE (toxic, text) NOT IN (SELECT (toxic, text) FROM {LABELLED} WHERE toxic IS NOT NULL)),
-    sizes AS (SELECT toxic, count(*) AS n FROM fresh GROUP BY toxic),
-    candidates AS (SELECT 'o' || doc_id AS id, text, toxic FROM (
-        SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS k FROM {LABELLED}) JOIN sizes USING (toxic) WHERE k <= n),
+        WHERE ({label}, text) NOT IN (SELECT ({label}, text) FROM {originals} WHERE {label} IS NOT NULL)),
+    sizes AS (SELECT {label}, count(*) AS n FROM fresh GROUP BY {label}),
+    candidates AS (SELECT 'o' || doc_id AS id, text, {label} FROM (
+        SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY doc_id) AS k FROM {originals}) JOIN sizes USING ({label}) WHERE k <= n),
     {vectors("SELECT id, text FROM fresh UNION ALL SELECT id, text FROM candidates",
-             f"SELECT doc_id AS id, text FROM {LABELLED}", 512)},
+             f"SELECT doc_id AS id, text FROM {originals}", 512)},
     scores AS (SELECT f.id, max(score) AS score FROM (
-        SELECT f.id, c.id AS other, sum(a.x * b.x) AS score FROM fresh f JOIN candidates c USING (toxic)
-        JOIN unit a ON a.id = f.id JOIN unit b ON b.id = c.id AND a.b = b.b GROUP BY ALL) f GROUP BY f.id)
-    SELECT doc_id, variant, method, TRUE AS near FROM fresh JOIN scores USING (id) WHERE round(score, 12) >= 0.85"""
+        SELECT f.id, c.id AS other, sum(a.x * b.x) AS score FROM fresh f JOIN candidates c USING ({label})
+        JOIN unit a ON a.id = f.id JOIN unit b ON b.id = c.id AND a.b = b.b GROUP BY ALL) f GROUP BY f.id),
+    accepted AS (SELECT fresh.* FROM fresh JOIN scores USING (id) WHERE round(score, 12) >= 0.85)"""
+
+
+ACCEPTED = f"""WITH {accepted(balanced(f"SELECT * FROM {LABELLED}", "toxic", "toxic = 1"), LABELLED, "toxic")}
+    SELECT doc_id, variant, method, TRUE AS near FROM accepted"""
+
+
+def training_table(source: str, label: str, only: str = "true") -> str:
+    """The balanced training table of a part: originals as prepared, then the accepted texts, numbered after them."""
+    versions = ["tweet_text", "tweet_soft", "tweet_full"]
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in [*versions, "label"])
+    made = balanced("SELECT * FROM originals", "label", only, majority_size(f"SELECT * FROM {source}", label))
+    return f"""WITH {staged_full(f"SELECT doc_id, text AS txt FROM {source}", "doc_id", "cleaned")},
+    versions AS MATERIALIZED (SELECT doc_id, nullif(text, '') AS tweet_text, nullif({soft('text')}, '') AS tweet_soft,
+        nullif(full_text, '') AS tweet_full, {label} AS label, source FROM {source} JOIN cleaned USING (doc_id)),
+    originals AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, tweet_text AS text, tweet_soft, tweet_full, label, source
+        FROM versions WHERE doc_id IN ({kept_ids('SELECT * FROM versions', versions, 'label')}) AND {whole}),
+    {accepted(made, "originals", "label")},
+    added AS MATERIALIZED (SELECT (SELECT max(doc_id) FROM originals) + row_number() OVER (ORDER BY doc_id, variant) AS sample_id, label, text
+        FROM accepted),
+    {staged_full("SELECT sample_id, text AS txt FROM added", "sample_id", "added_full", "z")},
+    names AS (SELECT label, arg_max(source, doc_id) AS source FROM originals GROUP BY label)
+    SELECT doc_id AS sample_id, label, source, FALSE AS is_augmented, text AS tweet_text, tweet_soft, tweet_full FROM originals
+    UNION ALL SELECT sample_id, label, source, TRUE, text, {soft('text')}, full_text
+    FROM added JOIN added_full USING (sample_id) JOIN names USING (label)"""
 
 
 # --- evaluation -------------------------------------------------------------------------------
@@ -573,6 +603,8 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, string_agg(coalesce(round(x * 1e6), 0)::INT::VARCHAR, ',' ORDER BY g.b) AS vector
         FROM documents CROSS JOIN (SELECT unnest(range(64)) AS b) g LEFT JOIN unit ON unit.id = doc_id AND unit.b = g.b GROUP BY doc_id""",
     "accept_similar": ACCEPTED,
+    "balance_training_binary": f"SELECT * EXCLUDE (source) FROM ({training_table(LABELLED, 'toxic', 'label = 1')})",
+    "balance_training_classes": training_table("documents", "lang"),
     "aug_swap_most": f"WITH {WORDED}, {swapping('worded', 0.8, 2)} SELECT doc_id, swapped FROM rs",
     "dense_id_text": """SELECT doc_id, (row_number() OVER (ORDER BY source, text, doc_id) + 99)::BIGINT AS sample_id FROM documents""",
     "partly_labelled_metrics": """SELECT count(*) FILTER (toxic = 0 AND score < 0.5) AS tn, count(*) FILTER (toxic = 0 AND score >= 0.5) AS fp,

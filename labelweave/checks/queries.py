@@ -633,9 +633,7 @@ def balance_training_binary(spark, sf):
         part, "doc_id", synonyms(spark), majority_size(frame, "toxic"), [1],
         augmentation={"stop_words": STOP_WORDS}, stop_words=STOP_WORDS,
     )
-    return balanced.groupBy("label", "is_augmented").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("ids"), F.max("sample_id").alias("last_id")
-    )
+    return balanced.select("sample_id", "label", "is_augmented", "tweet_text", "tweet_soft", "tweet_full")
 
 
 @query
@@ -648,7 +646,7 @@ def balance_training_classes(spark, sf):
         part, "doc_id", synonyms(spark), majority_size(frame, "lang"), category_col="source",
         augmentation={"stop_words": STOP_WORDS}, stop_words=STOP_WORDS,
     )
-    return balanced.select("sample_id", "label", "source", "is_augmented", "tweet_text", "tweet_soft")
+    return balanced.select("sample_id", "label", "source", "is_augmented", "tweet_text", "tweet_soft", "tweet_full")
 
 
 @query
