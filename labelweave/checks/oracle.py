@@ -501,6 +501,31 @@ BUILT = f"""SELECT d.doc_id, d.lang, {soft('text')} AS tweet_soft, full_text AS
 FULL_DOCS = "SELECT doc_id, text AS txt FROM documents"
 RAW_KEPT = kept_ids("SELECT * FROM documents WHERE lang IS DISTINCT FROM 'de'", ["text"], "lang")
 
+DIAGNOSED = ["tweet_text", "tweet_soft", "tweet_full"]
+
+
+def best_scores(version: str) -> str:
+    """CTEs up to ``best`` (x): the best score of each synthetic row against the originals of its class."""
+    vectored = f"SELECT sample_id AS id, {version} AS text FROM versions WHERE {version} IS NOT NULL"
+    return f"""{vectors(vectored, vectored + " AND NOT is_augmented", 128)},
+        dense AS MATERIALIZED (SELECT sample_id, any_value(label) AS label, any_value(is_augmented) AS is_augmented,
+            list(coalesce(x, 0) ORDER BY g.b) AS e
+            FROM versions CROSS JOIN (SELECT unnest(range(128)) AS b) g LEFT JOIN unit ON unit.id = sample_id AND unit.b = g.b GROUP BY sample_id),
+        best AS MATERIALIZED (SELECT s.sample_id, round(coalesce(max(list_dot_product(s.e, o.e)), 0), 12) AS x
+            FROM dense s LEFT JOIN dense o ON s.label = o.label AND NOT o.is_augmented WHERE s.is_augmented GROUP BY s.sample_id)"""
+
+
+DIAGNOSTICS = f"""WITH made AS ({balanced('SELECT * FROM documents', 'lang')}),
+    every AS MATERIALIZED (SELECT doc_id AS sample_id, text AS txt, lang AS label, FALSE AS is_augmented FROM documents
+        UNION ALL SELECT doc_id * 4 + variant + 1000000000, text, lang, TRUE FROM made),
+    {staged_full("SELECT * FROM every", "sample_id", "cleaned")},
+    versions AS MATERIALIZED (SELECT sample_id, label, is_augmented, txt AS tweet_text, {soft('txt')} AS tweet_soft, full_text AS tweet_full
+        FROM every JOIN cleaned USING (sample_id))
+    """ + " UNION ALL ".join(
+    f"""SELECT '{v}' AS version, bin, n FROM (WITH {best_scores(v)} {HISTOGRAM.format(source='SELECT x FROM best WHERE x >= 0', digits=6)})"""
+    for v in DIAGNOSED
+)
+
 ORACLE: dict[str, str] = {
     "soft_clean": f"SELECT doc_id, {soft('text')} AS soft FROM documents",
     "soft_clean_pages": f"SELECT page_id, {soft(chr(39).join(['concat_ws(', ' ', ', url, html)']))} AS soft FROM pages",
@@ -604,6 +629,7 @@ ORACLE: dict[str, str] = {
         FROM documents CROSS JOIN (SELECT unnest(range(64)) AS b) g LEFT JOIN unit ON unit.id = doc_id AND unit.b = g.b GROUP BY doc_id""",
     "accept_similar": ACCEPTED,
     "balance_training_binary": f"SELECT * EXCLUDE (source) FROM ({training_table(LABELLED, 'toxic', 'label = 1')})",
+    "balancing_diagnostics": DIAGNOSTICS,
     "balance_training_classes": training_table("documents", "lang"),
     "aug_swap_most": f"WITH {WORDED}, {swapping('worded', 0.8, 2)} SELECT doc_id, swapped FROM rs",
     "dense_id_text": """SELECT doc_id, (row_number() OVER (ORDER BY source, text, doc_id) + 99)::BIGINT AS sample_id FROM documents""",

@@ -660,10 +660,9 @@ def balancing_diagnostics(spark, sf):
         made.select((F.col("doc_id") * 4 + F.col("variant") + 1_000_000_000).alias("sample_id"), "text", F.col("lang").alias("label")),
         ["sample_id", "text", "label"],
     )
-    soft = text.soft_clean(F.col("text"))
     versions = both.select(
-        "sample_id", "label", "is_augmented", F.col("text").alias("tweet_text"), soft.alias("tweet_soft"),
-        F.lower(soft).alias("tweet_full"),
+        "sample_id", "label", "is_augmented", F.col("text").alias("tweet_text"), text.soft_clean(F.col("text")).alias("tweet_soft"),
+        text.full_clean(F.col("text"), stop_words=STOP_WORDS).alias("tweet_full"),
     )
     out = balancing.balancing_diagnostics(materialise(versions), dims=128)
     parts = [out[v].select(F.lit(v).alias("version"), "bin", "n") for v in ("tweet_text", "tweet_soft", "tweet_full")]
