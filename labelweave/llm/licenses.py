@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +14,12 @@ from pyspark.sql import DataFrame
 from .common import col
 
 _END = re.compile(r"(?:(?<=[.!?;:])(?=\s)|[\r\n]+|(?<=[.!?;:])[\"')\]]+(?=\s))")
+_BREAK = re.compile(r"\r*\n|\r")
 _NOT_WORD = re.compile(r"[\W_]+")
+#: What may stand before a sentence in its line: a list number, or a comment mark that is a word.
+_NUMBER = r"(?:\d+(?:\.\d+)*|[a-z]|[ivx]+)[.)\]]+"
+_LEAD = re.compile(rf"[\W_]*(?:(?:dnl|rem|c)(?=\s|$)(?:[\W_]*{_NUMBER})?|{_NUMBER})\s*", re.IGNORECASE)
+_BULLET = re.compile(r"[\s*#/;%]*[-+•‣◦]\s")
 
 
 @dataclass(frozen=True)
@@ -63,17 +70,42 @@ def normalised(sentence: str) -> str:
     return _NOT_WORD.sub(" ", sentence).strip().lower()
 
 
-def sentences(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, sentence) of a text: it ends at an end mark before white space, or with its line."""
-    start = 0
-    for end, following in [*((m.start(), m.end()) for m in _END.finditer(text)), (len(text), len(text))]:
+class Piece(NamedTuple):
+    """Words of one line, up to an end mark. ``joined``: one line break, no end mark, parts it from the piece before."""
+
+    start: int
+    end: int
+    words: str
+    joined: bool
+
+
+def pieces(text: str) -> Iterator[Piece]:
+    """The pieces of a text that have words; a line without any, such as a bare comment mark, is a blank line."""
+    start, breaks, ended = 0, 0, True
+    for m in [*_END.finditer(text), None]:
+        end, following = (m.start(), m.end()) if m else (len(text), len(text))
+        line = m is not None and text[end:following][:1] in ("\r", "\n")
         sentence = text[start:end].strip()
-        if sentence:
+        words = normalised(sentence) if sentence else ""
+        if words:
             at = text.index(sentence, start)
-            yield at, at + len(sentence), sentence
+            yield Piece(at, at + len(sentence), words, not ended and breaks == 1)
+            breaks, ended = 0, not line
+        if line:
+            breaks += 1 if following - end == 1 else len(_BREAK.findall(text, end, following))
         start = max(start, following)
 
 
+class Known(NamedTuple):
+    """A known sentence in a text: its first and last piece, characters and identifier."""
+
+    first: int
+    last: int
+    start: int
+    end: int
+    sentence: int
+
+
 class Matcher:
     """Known sentences by identifier, and the rules over them."""
 
@@ -84,37 +116,83 @@ class Matcher:
         for at, rule in enumerate(self.rules):
             sequence = tuple(self.ids.setdefault(normalised(s), len(self.ids)) for s in rule.sentences)
             self.starting.setdefault(sequence[0], []).append((at, sequence))
+        split = [s.split(" ") for s in self.ids]
+        self.beginnings = {" ".join(words[:n]) for words in split for n in range(1, len(words) + 1)}
 
-    def identify(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(place among all sentences, start, end, identifier) of the known sentences."""
+    def identify(self, text: str, parts: Sequence[Piece]) -> list[Known]:
+        """The known sentences, each of one piece or of several joined ones, in the order of their first pieces."""
         out = []
-        for place, (start, end, sentence) in enumerate(sentences(text)):
-            known = self.ids.get(normalised(sentence))
-            if known is not None:
-                out.append((place, start, end, known))
+        for i, part in enumerate(parts):
+            words, start = part.words, part.start
+            if words not in self.beginnings:
+                lead = _LEAD.match(text, part.start, part.end)
+                words, start = (normalised(text[lead.end() : part.end]), lead.end()) if lead else ("", start)
+            last = i
+            while words in self.beginnings:
+                if words in self.ids:
+                    out.append(Known(i, last, start, parts[last].end, self.ids[words]))
+                last += 1
+                if last == len(parts) or not parts[last].joined:
+                    break
+                longer = f"{words} {parts[last].words}"
+                if longer not in self.beginnings and (lead := _LEAD.match(text, parts[last].start, parts[last].end)):
+                    longer = f"{words} {normalised(text[lead.end() : parts[last].end])}"
+                words = longer
         return out
 
     def find(self, text: str) -> list[tuple[str, int, int, int]]:
         """(licence, rule, start, end) of each place where a rule's sentences follow in order."""
-        known = self.identify(text)
+        parts = list(pieces(text))
+        known = self.identify(text, parts)
+        places: dict[int, list[Known]] = {}
+        for k in known:
+            places.setdefault(k.sentence, []).append(k)
+        between = None
         out = []
-        for i, (_, start, _, first) in enumerate(known):
-            for at, sequence in self.starting.get(first, ()):
-                end = self._follow(known, i, sequence, self.rules[at].gap)
+        for k in known:
+            for at, sequence in self.starting.get(k.sentence, ()):
+                if len(sequence) > 1 and between is None:
+                    between = _Between(text, parts)
+                end = _follow(k, sequence[1:], places, between, self.rules[at].gap)
                 if end is not None:
-                    out.append((self.rules[at].licence, at, start, end))
+                    out.append((self.rules[at].licence, at, k.start, end))
         return out
 
-    def _follow(self, known: list, i: int, sequence: tuple[int, ...], gap: int) -> int | None:
-        place, _, end, _ = known[i]
-        for wanted in sequence[1:]:
-            i += 1
-            while i < len(known) and known[i][3] != wanted and known[i][0] - place <= gap + 1:
-                i += 1
-            if i == len(known) or known[i][3] != wanted or known[i][0] - place > gap + 1:
-                return None
-            place, _, end, _ = known[i]
-        return end
+
+class _Between:
+    """How many sentences stand between two pieces. A list item begins one; a bare list number is none."""
+
+    def __init__(self, text: str, parts: Sequence[Piece]) -> None:
+        self.bare, self.begun = [], []
+        begun, ended = 0, True
+        for part in parts:
+            lead = _LEAD.match(text, part.start, part.end)
+            self.bare.append(lead is not None and lead.end() == part.end)
+            if self.bare[-1]:
+                ended = True
+            else:
+                item = lead and lead[0].rstrip()[-1] in ".)]" or _BULLET.match(text, part.start, part.end)
+                begun += ended or not part.joined or bool(item)
+                ended = False
+            self.begun.append(begun)
+
+    def __call__(self, last: int, first: int) -> int:
+        if first - last < 2:
+            return 0
+        rest = self.begun[last + 1] == self.begun[last] and not self.bare[last + 1]
+        return self.begun[first - 1] - self.begun[last] + rest
+
+
+def _follow(
+    known: Known, wanted: Sequence[int], places: dict[int, list[Known]], between: _Between | None, gap: int
+) -> int | None:
+    for sentence in wanted:
+        later = places.get(sentence, [])
+        at = bisect_right(later, known.last, key=lambda k: k.first)
+        if at == len(later) or between(known.last, later[at].first) > gap:
+            return None
+        known = later[at]
+    return known.end
 
 
 def license_notices(
@@ -122,6 +200,10 @@ def license_notices(
 ) -> DataFrame:
     """(doc_id, licence, rule, start, end): every notice in every document, by character offsets into the text.
 
+    A sentence ends at an end mark before white space, at a blank line, or where a list item begins. Single line breaks,
+    with the comment marks and list numbers beside them, are white space inside it; a known sentence may also begin
+    or end with a line.
+
     - Missing and empty texts have no notices.
     - A sentence may belong to several rules; each match is a row, in each row of ``docs`` that has it.
     - An empty table gives an empty result; other columns are ignored, whatever their names.

@@ -404,6 +404,69 @@ def test_licenses(spark):
     assert all(texts[r.doc_id][r.start : r.end].strip() == texts[r.doc_id][r.start : r.end] != "" for r in got)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize("notice, licence", [(MIT, "MIT"), (BSD, "BSD-3-Clause"), (GPL, "GPL-3.0-or-later")])
+def test_wrapped_licenses(notice, licence):
+    """As published, in one line, and behind the comment marks of several languages; blank lines still part sentences."""
+    find = licenses.Matcher().find
+    lines = notice.split("\n")
+    for text in [
+        notice, notice.replace("\n", "\r\n"), " ".join(notice.split()), notice.replace("3. N", "(c) N"), "x\n" + notice + "\ny",
+        *("\n".join((mark + line).rstrip() for line in lines) for mark in ("# ", " * ", "// ", ";; ", "-- ", "dnl ", "C     ")),
+        *("\n".join(f"{mark}{line:<80}{mark}" for line in lines) for mark in ("*", "##")),
+    ]:
+        (got,) = find(f"Some words.\n\n{text}\n\nMore words.")
+        assert got[0] == licence and normal(got, f"Some words.\n\n{text}\n\nMore words.")
+    assert not find(notice.replace("\n", "\n\n"))
+    assert not find(notice.replace(" the ", " their "))
+
+
+def normal(got, text):
+    """The characters of a notice run from its first to its last known word."""
+    rule = licenses.RULES[got[1]].sentences
+    words = licenses.normalised(text[got[2] : got[3]])
+    return words.startswith(licenses.normalised(rule[0])[:10]) and words.endswith(licenses.normalised(rule[-1])[-10:])
+
+
+def test_license_lines():
+    """One line is enough, whatever its neighbours; so are wrapped short notices; unknown sentences count against the gap."""
+    find = licenses.Matcher().find
+    assert [m[0] for m in find("no mark\nLicensed under CC BY 4.0\nno mark")] == ["CC-BY-4.0"]
+    assert [m[0] for m in find("Licensed under\nCC BY-NC\n4.0.")] == ["CC-BY-NC-4.0"]
+    assert not find("I released under the MIT License.") and not find("Licensed under\n\nthe MIT License.")
+    first, last = BSD.split("\n\n")[0], BSD.split("\n\n")[-1]
+    for n in range(7):
+        odd = "".join(f"{i + 1}. A clause\n   of two lines.\n" for i in range(n))
+        assert bool(find(f"{first}\n{odd}{last}")) == (n <= 4)
+
+
 def test_license_table(spark, small):
     """Single-sentence rules by plain search."""
     docs = spark.read.parquet(f"{small}/documents.parquet").toPandas()
