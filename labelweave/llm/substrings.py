@@ -77,9 +77,9 @@ def anchors(name: np.ndarray, mark: np.ndarray, window: int = WINDOW, rounds: in
             edge[at],
         )
         fits = merged & (high - low <= window)
-        if not fits.any():
-            break
-        levels.append((symbol[fits], low[fits], high[fits]))
+        # What else is parsed together must not matter: all rounds run, also after one in which nothing fits.
+        if fits.any():
+            levels.append((symbol[fits], low[fits], high[fits]))
     out = np.zeros(size, np.uint64)
     open_ = np.ones(size, bool)
     places = np.arange(size)

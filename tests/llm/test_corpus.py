@@ -248,6 +248,17 @@ def test_parse_in_parts():
     assert len(parts) > 5
     assert np.array_equal(np.concatenate([p.names for p in parts]), whole.names)
     assert np.array_equal(np.concatenate([p.places for p in parts]), whole.places)
+
+
+def test_parse_alone():
+    """A short passage parsed alone names its windows as within a long text, even if a round joins nothing that fits."""
+    rng = random.Random(9)
+    words = [b"v%d" % rng.randint(0, 5000) for _ in range(6000)]
+    whole = next(substrings._parsed([(0, b" ".join(words))], 13))
+    for n in (13, 14, 20):
+        for at in range(0, 5900, 7):
+            alone = next(substrings._parsed([(0, b" ".join(words[at : at + n]))], 13))
+            assert np.array_equal(alone.names, whole.names[at : at + n - 12]), (n, at)
     named = {}
     for p, name in zip(whole.places.tolist(), whole.names.tolist(), strict=True):
         assert named.setdefault(tuple(words[p : p + 13]), name) == name
