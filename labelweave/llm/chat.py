@@ -16,7 +16,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..session import materialise
 #: Lines that one task decodes together.
 BLOCK_LINES = 50_000
-#: The model is fitted on at most this many labelled lines, those of the conversations with the least hash.
+#: Probabilities are fitted on at most this many labelled lines, those of the conversations with the least hash, and as
+#: many again of each role that has none among them. The roles are those of all labelled lines.
 FIT_LINES = 20_000
 # Speaker words of common transcript styles.
 SPEAKERS = {
@@ -56,12 +57,16 @@ class ChatModel:
     emit: np.ndarray
 
 
-def fit(lines: pd.DataFrame, smooth: float = 0.5) -> ChatModel:
+def fit(lines: pd.DataFrame, smooth: float = 0.5, apart: pd.DataFrame | None = None) -> ChatModel:
     """Smoothed counts over labelled lines (conv, role, opens, symbol) in their order.
 
-    Without labelled lines: the known speakers, all states and symbols alike but for each speaker's own marker.
+    ``apart`` are lines of other roles, without their neighbours: they count for what their role looks like, not for
+    which role follows which. The known speakers are roles too. Without labelled lines: these alone, all states and
+    symbols alike but for each speaker's own marker.
     """
-    roles = tuple(sorted(lines["role"].dropna().unique())) or tuple(SPEAKERS)
+    more = [] if apart is None else apart["role"]
+    seen_roles = {*lines["role"].dropna(), *more}
+    roles = tuple(sorted({*seen_roles, *SPEAKERS})) if seen_roles else tuple(SPEAKERS)
     n = 2 * len(roles)
     start, step, emit = np.full(n, 1e-9), np.full((n, n), 1e-9), np.full((n, SYMBOLS), smooth)
     start[::2] += smooth
@@ -82,6 +87,9 @@ def fit(lines: pd.DataFrame, smooth: float = 0.5) -> ChatModel:
             start[state] += 1
         emit[state, seen] += 1
         last = conv, state
+    if apart is not None:
+        for role, opens, seen in apart[["role", "opens", "symbol"]].itertuples(index=False):
+            emit[2 * roles.index(role) + (not opens), seen] += 1
     return ChatModel(roles, np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True)))
 
 
@@ -246,9 +254,21 @@ def transcript_lines(conversations: DataFrame, marked: float = 0.9) -> DataFrame
 
 
 def train(labelled: DataFrame, fit_lines: int = FIT_LINES) -> ChatModel:
-    """The model of at most ``fit_lines`` labelled lines (conv_id, turn, line, text, role, opens)."""
+    """The model of labelled lines (conv_id, turn, line, text, role, opens): all their roles, and the probabilities of
+    at most ``fit_lines`` lines, with as many of each role that these lack."""
     key = F.xxhash64("conv_id")
-    rows = labelled.filter("conv_id IS NOT NULL AND role IS NOT NULL").orderBy(key, "conv_id", "turn", "line", "text").limit(fit_lines)
-    table = rows.select(_key(F.col("conv_id")).alias("conv"), "role", "opens", "text").toPandas()
-    table["symbol"] = [symbol(t or "") for t in table["text"]]
-    return fit(table)
+    known = labelled.filter("conv_id IS NOT NULL AND role IS NOT NULL")
+
+    def read(rows: DataFrame) -> pd.DataFrame:
+        table = rows.select(_key(F.col("conv_id")).alias("conv"), "role", "opens", "text").toPandas()
+        table["symbol"] = [symbol(t or "") for t in table["text"]]
+        return table
+
+    table = read(known.orderBy(key, "conv_id", "turn", "line", "text").limit(fit_lines))
+    roles = {r[0] for r in labelled.filter("role IS NOT NULL").select("role").distinct().collect()}
+    lines = labelled.withColumn("hash", F.xxhash64("conv_id", "turn", "line", "text"))
+    apart = [
+        read(lines.filter(F.col("role") == role).orderBy("hash", "conv_id", "turn", "line", "text").limit(fit_lines))
+        for role in sorted(roles - set(table["role"]))
+    ]
+    return fit(table, apart=pd.concat(apart) if apart else None)

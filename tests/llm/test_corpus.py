@@ -371,6 +371,16 @@ def test_chat_blocks(spark, monkeypatch):
     assert mine == [(model.roles[s // 2], s % 2 == 0) for s in states]
 
 
+def test_chat_rare_roles(spark):
+    """A role that the fitted lines lack is still a state, and its lines are told by what they look like."""
+    rows = [(c, t, 0, *(("Human: why?", "user"), ("AI: so it goes.", "assistant"))[t % 2], True) for c in range(40) for t in range(10)]
+    rows += [(c, 10, 0, "Tool: 42", "tool", True) for c in range(40)]
+    lines = spark.createDataFrame(rows, "conv_id long, turn long, line long, text string, role string, opens boolean")
+    model = chat.train(lines, 10)
+    assert set(model.roles) == {"assistant", "system", "tool", "user"}
+    assert [(r.role, r.opens) for r in chat.parse_lines(lines, model).filter("turn = 10").collect()] == [("tool", True)] * 40
+
+
 def test_counts(spark, hard):
     df, rows = hard
     counter = token_counts.load(queries.VOCABULARY)
