@@ -108,9 +108,10 @@ def contained_items(
       exactly count once.
     - Empty tables give an empty result; other columns are ignored, whatever their names.
     """
-    sketches = materialise(item_sketches(items, item_id_col, item_text_col, size, containment), "sketches")
+    listed_items = item_sketches(items, item_id_col, item_text_col, size, containment)
+    sketches = materialise(listed_items.withColumn("item", F.monotonically_increasing_id()), "sketches")
     total = sketches.agg(
-        F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda a, s: a + F.octet_length(s) + 16) + F.size("sketch") * 16)
+        F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda a, s: a + F.octet_length(s) + 16) + F.size("sketch") * 48)
     ).first()[0] or 0
     blocks = total // block_bytes + 1
     listed = docs.select(col(id_col).alias("doc_id"), words(col(text_col)).alias("w"))
@@ -120,11 +121,13 @@ def contained_items(
     found = []
     for block in range(blocks):
         mine = sketches if blocks == 1 else sketches.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == block)
-        probes = mine.select(F.explode("sketch").alias("hash"), "item_id", "shingles", "sketch", "n")
+        # Each hash goes out with its item's number, each item once.
+        probes = mine.select(F.explode("sketch").alias("hash"), "item")
         table, slots = _table(sorted(r[0] for r in probes.select("hash").distinct().collect()))
         hits = hashed.select("doc_id", "w", "hashes", F.filter("hashes", lambda h: _known(h, table, slots)).alias("hits"))
         # The outer form: for the plain one the optimizer would add a filter that computes all hashes twice.
         hits = hits.select("doc_id", "w", "hashes", F.explode_outer("hits").alias("hash")).join(F.broadcast(probes), "hash")
+        hits = hits.join(F.broadcast(mine), "item")
         # Of the hits of one item in one document, the least stands for all.
         once = hits.filter(F.col("hash") == F.array_min(F.array_intersect("sketch", "hashes")))
         shared = F.size(F.array_intersect("shingles", _shingles(F.col("w"), size)))

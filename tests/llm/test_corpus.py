@@ -131,6 +131,17 @@ def test_contained(spark, hard, block_bytes):
                                         (plain_shingles(plain_words(x)) for _, x in items) if s) for _, t in rows)
 
 
+def test_broadcast_bytes(spark, monkeypatch):
+    """An item is broadcast once, not once for each hash of its sketch."""
+    text = " ".join(f"v{i}" for i in range(1000))
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(decontaminate.F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    bench = spark.createDataFrame([(1, text), (2, "one two three four five six")], "item_id long, text string")
+    got = decontaminate.contained_items(table(spark, [text, "x " + text]), bench, block_bytes=100_000)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(0, 1), (1, 1)]
+    assert 0 < sum(len(s) for df in sent for r in df.collect() for s in r.asDict().get("shingles") or []) < 100_000
+
+
 def test_shards(spark, hard):
     df, rows = hard
     big = df.unionAll(table(spark, [f"text {i}" for i in range(5000)], list(range(1000, 6000))))
