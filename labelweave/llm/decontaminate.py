@@ -96,7 +96,8 @@ def contained_items(
     """(doc_id, item_id, shared, n_shingles, containment): one row for each document that holds an item.
 
     A document holds an item if it has ``containment`` or more of the item's distinct shingles of ``size`` words
-    (lower case, letters and digits only; an item with fewer words is one shingle).
+    (lower case, letters and digits only). An item with fewer words is one shingle, which only a document of exactly
+    these words holds: such items are not searched inside longer documents.
 
     Items are the query set. They are cut into blocks of bounded bytes, and each block goes to all
     tasks: its sketch hashes as one constant table, its items by broadcast. Document hashes that stand in the table
