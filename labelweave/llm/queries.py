@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, pieces, quality, sharding, simhash, substrings, token_counts
+from . import (
+    chat, decontaminate, exact_dedup, licenses, pieces, quality, sequences, sharding, simhash, substrings, token_counts,
+)
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
 SHARDS = 24
 
 
@@ -72,11 +76,15 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return sequences.token_file_checksums(_table(spark, folder, "documents"), WORD_VOCABULARY, END_ID)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_decontamination, op3_sentencepiece, op4_chat_format, op5_quality_classifier,
-        op6_sharding, op7_simhash, op8_token_counts, op9_license_scan, op10_substring_dedup,
+        op6_sharding, op7_simhash, op8_token_counts, op9_license_scan, op10_substring_dedup, op11_token_files,
     )
 }
 
