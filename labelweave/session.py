@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +25,21 @@ def build_session(app: str = "labelweave", master: str | None = None, **conf: st
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package along with the session's jobs, once per application, so executors need not have it installed."""
+    context, package = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if _SHIPPED.get("to") != context.applicationId:
+        folder = tempfile.mkdtemp(prefix="labelweave-code-")  # read by the driver alone, which serves it
+        archive = shutil.make_archive(f"{folder}/labelweave", "zip", os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(archive)
+        _SHIPPED["to"] = context.applicationId
+    return spark
+
+
+_SHIPPED: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
