@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import (
     chat, decontaminate, exact_dedup, licenses, pieces, quality, sequences, sharding, simhash, substrings, token_counts,
 )
@@ -18,6 +19,7 @@ SHARDS = 24
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
