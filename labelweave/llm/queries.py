@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import (
-    chat, decontaminate, exact_dedup, licenses, pieces, quality, sequences, sharding, simhash, substrings, token_counts,
+    alignment, chat, decontaminate, exact_dedup, licenses, pieces, quality, sequences, sharding, simhash, substrings, token_counts,
 )
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = 24
 
 
@@ -82,11 +83,16 @@ def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return sequences.token_file_checksums(_table(spark, folder, "documents"), WORD_VOCABULARY, END_ID)
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.link_scores(_table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_MODEL)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_decontamination, op3_sentencepiece, op4_chat_format, op5_quality_classifier,
         op6_sharding, op7_simhash, op8_token_counts, op9_license_scan, op10_substring_dedup, op11_token_files,
+        op12_alignment,
     )
 }
 
