@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import (
-    alignment, chat, decontaminate, exact_dedup, licenses, pieces, quality, sequences, sharding, simhash, substrings, token_counts,
+    alignment, chat, collocations, decontaminate, exact_dedup, licenses, pieces, quality, sequences, sharding, simhash, substrings, token_counts,
 )
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -87,12 +87,16 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.link_scores(_table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_MODEL)
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_decontamination, op3_sentencepiece, op4_chat_format, op5_quality_classifier,
         op6_sharding, op7_simhash, op8_token_counts, op9_license_scan, op10_substring_dedup, op11_token_files,
-        op12_alignment,
+        op12_alignment, op13_collocations,
     )
 }
 
