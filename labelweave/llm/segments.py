@@ -17,7 +17,7 @@ def _itself(segment: str) -> tuple[str, ...]:
 
 
 class SegmentCache:
-    """Segment -> its ids as little-endian 32-bit integers. Emptied when it holds more than ``limit`` bytes.
+    """Segment -> the bytes of its ids. Emptied when it holds more than ``limit`` bytes.
 
     ``parts`` may cut a segment further, into strings whose ids follow one another in the segment's.
     """

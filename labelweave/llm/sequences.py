@@ -61,11 +61,12 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 class _Writer:
     """Two Arrow files: sequences (ids, mask), and where each document begins among the ids."""
 
-    def __init__(self, folder: str, name: str, length: int, id_type: pa.DataType) -> None:
+    def __init__(self, folder: str, name: str, length: int, width: str, id_type: pa.DataType) -> None:
         system, root = _place(folder)
         system.create_dir(root, recursive=True)
-        self.name, self.length, self.cells = name, length, length * BATCH_ROWS
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.name, self.length, self.cells, self.width = name, length, length * BATCH_ROWS, np.dtype(width)
+        ids = pa.from_numpy_dtype(self.width)
+        self.schema = pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.streams = [system.open_output_stream(f"{root}/{name}.{kind}.arrow") for kind in ("ids", "docs")]
         self.files = [pa.ipc.new_file(s, t) for s, t in zip(self.streams, (self.schema, self.index_schema), strict=True)]
@@ -90,10 +91,9 @@ class _Writer:
         self.parts, self.held = [ids[count:]], len(ids) - count
         for at in range(0, count, self.cells):
             part = ids[at : min(at + self.cells, count)]
-            padded = np.zeros(-(-len(part) // self.length) * self.length, np.uint32)
+            padded = np.zeros(-(-len(part) // self.length) * self.length, self.width)
             padded[: len(part)] = part
-            mask = np.zeros(len(padded), np.uint8)
-            mask[: len(part)] = 1
+            mask = np.arange(len(padded)) < len(part)
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(c), self.length) for c in (padded, mask)]
             self.files[0].write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -119,8 +119,8 @@ class _Writer:
 class SequenceFile:
     """Random access to the sequences of one file.
 
-    A local file is mapped into memory: sequences and masks are views of the file, nothing is copied. The footer gives
-    the place of every record batch, and all batches but the last hold the same number of sequences.
+    A local file is mapped into memory: sequences (NumPy) and masks (Arrow, a bit per id) are views of the file, nothing is copied.
+    The footer gives the place of every record batch, and all batches but the last hold the same number of sequences.
     """
 
     def __init__(self, folder: str, name: str) -> None:
@@ -132,23 +132,22 @@ class SequenceFile:
         ]
         self.file, self.index = map(pa.ipc.open_file, self.sources)
         self.length = self.file.schema.field("ids").type.list_size
-        self._held: tuple[int, np.ndarray, np.ndarray] | None = None
+        self._held: tuple[int, np.ndarray, pa.BooleanArray] | None = None
 
-    def _batch(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def _batch(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if self._held is None or self._held[0] != number:
             batch = self.file.get_batch(number)
-            ids, mask = (batch.column(i).flatten().to_numpy().reshape(-1, self.length) for i in (0, 1))
-            self._held = number, ids, mask
+            self._held = number, batch.column(0).flatten().to_numpy().reshape(-1, self.length), batch.column(1).flatten()
         return self._held[1], self._held[2]
 
     def __len__(self) -> int:
         batches = self.file.num_record_batches
         return (batches - 1) * BATCH_ROWS + len(self._batch(batches - 1)[0]) if batches else 0
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``; the mask is 0 where a last sequence is padded."""
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence ``i``; the mask is false where a last sequence is padded."""
         ids, mask = self._batch(i // BATCH_ROWS)
-        return ids[i % BATCH_ROWS], mask[i % BATCH_ROWS]
+        return ids[i % BATCH_ROWS], mask.slice(i % BATCH_ROWS * self.length, self.length)
 
     def ids(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from ``start`` on; a view where they lie in one record batch."""
@@ -158,7 +157,7 @@ class SequenceFile:
             part = self._batch(batch)[0].reshape(-1)[at : at + count]
             parts.append(part)
             start, count = start + len(part), count - len(part)
-        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint16), *parts])
 
     def documents(self, batch: int) -> pa.RecordBatch:
         """(doc_id, start, n_tokens) of one batch of the index."""
@@ -190,7 +189,8 @@ def write_sequences(
 
     Result: (part, folder, name, n_tokens, n_docs, index_batches), one row per file, in the order of ``part``. Each file
     holds a range of documents as one run of ids, ``end_id`` after each document, cut into sequences of ``length``;
-    only its last sequence is padded, where the mask is 0. An index file beside it says where documents begin.
+    only its last sequence is padded, where the mask is false. Ids have 16 bits where
+    the vocabulary allows, else 32. An index file beside it says where documents begin.
 
     Texts are encoded by the tokenizers library, without added special tokens. The vocabulary's pre-tokens hold no
     white space, so words are encoded apart and each distinct one once; this gives the ids of the whole text.
@@ -206,21 +206,23 @@ def write_sequences(
     spark = docs.sparkSession
     folder = folder or stage_path(spark, "sequences")
     definition = spark.sparkContext.broadcast(read_text(vocabulary))
-    end = np.array([end_id], "<u4").tobytes()
+    size = max(load_tokenizer(definition.value, plain=False).get_vocab_size(), end_id + 1)
+    width = "<u2" if size <= 1 << 16 else "<u4"
+    end = np.array([end_id], width).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(definition.value, plain=False)
 
         def encode(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+            return [np.array(e.ids, width).tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
 
         cache = SegmentCache(encode, word_parts)
         part, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            writer = writer or _Writer(folder, f"part-{part:06d}-{uuid.uuid4().hex}", length, batch.schema.field(0).type)
+            writer = writer or _Writer(folder, f"part-{part:06d}-{uuid.uuid4().hex}", length, width, batch.schema.field(0).type)
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = [cache.ids(s.replace("\n", " ").split(" ")) for s in slices(text.as_py(), _CUT)]
-                writer.add(doc_id, np.frombuffer(b"".join([*found, end]), "<u4"))
+                writer.add(doc_id, np.frombuffer(b"".join([*found, end]), width))
         if writer and writer.docs:
             row = (part, folder, *writer.close())
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["part", "folder", "name", "n_tokens", "n_docs", "index_batches"])
@@ -285,7 +287,7 @@ def read_checksums(manifest: DataFrame, id_type: str = "long") -> DataFrame:
 
     def checksums(file: SequenceFile, part: pa.RecordBatch) -> pa.Array:
         spans = zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
-        return pa.array([zlib.crc32(file.ids(start, size).astype("<u4", copy=False)) for start, size in spans], pa.int64())
+        return pa.array([zlib.crc32(file.ids(start, size).astype("<u4")) for start, size in spans], pa.int64())
 
     return _read(
         manifest, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long", checksums, ["doc_id", "start", "n_tokens", "ids_crc32"]
