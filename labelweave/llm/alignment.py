@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import col
-from .segments import SegmentCache, load_tokenizer, read_text, slices
+from .segments import SegmentCache, byte_characters, load_tokenizer, read_text, slices
 
 #: Id pairs whose counts are broadcast: 24 bytes each. Rarer pairs are joined by shuffle.
 HOT_PAIRS = 1 << 19
@@ -27,19 +28,12 @@ _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def _unicode_bytes() -> dict[str, int]:
-    """The printable character that byte-level vocabularies write for each byte, and back."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class ByteLevel:
     """A byte-level vocabulary of the tokenizers library: ids of a space and a text, and the bytes of each id."""
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = load_tokenizer(definition, plain=True)
-        back, names = _unicode_bytes(), self.tokenizer.get_vocab(with_added_tokens=False)
+        back, names = {c: b for b, c in byte_characters().items()}, self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = [b""] * (max(names.values(), default=-1) + 1)
         for name, i in names.items():
             self.bytes[i] = bytes(back[c] for c in name)
@@ -86,6 +80,18 @@ class Encoder:
         return np.cumsum(self.lengths[ids])
 
 
+@lru_cache(maxsize=2)
+def byte_encoder(definition: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(ByteLevel(definition))
+
+
+@lru_cache(maxsize=2)
+def piece_encoder(model: bytes) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(PieceLevel(model))
+
+
 def gallop(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> np.ndarray:
     """For each value of ``short``, the place of the first value of ``long`` that is not below it.
 
@@ -208,7 +214,7 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, id_col: str =
     names = ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts", "pairs", "times", "groups_sha256"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = Encoder(ByteLevel(definition.value)), Encoder(PieceLevel(model.value))
+        first, second = byte_encoder(definition.value), piece_encoder(model.value)
         count = max(len(first.lengths), len(second.lengths))
         numbers = [f"{i}{mark}" for mark in ",|;" for i in range(count)]
         for batch in batches:

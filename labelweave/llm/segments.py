@@ -17,7 +17,7 @@ def _itself(segment: str) -> tuple[str, ...]:
 
 
 class SegmentCache:
-    """Segment -> the bytes of its ids. Emptied when it holds more than ``limit`` bytes.
+    """Segment -> the bytes of its ids. Above ``limit`` bytes a new generation begins; segments met again move into it.
 
     ``parts`` may cut a segment further, into strings whose ids follow one another in the segment's.
     """
@@ -28,15 +28,21 @@ class SegmentCache:
     ) -> None:
         self.encode_all, self.parts, self.limit = encode_all, parts, limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def ids(self, segments: list[str]) -> bytes:
         """The ids of all segments, one after another."""
         if self.held > self.limit:
-            self.known, self.held = {}, 0
-        known = self.known
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older = self.known, self.older
         missing = [s for s in set(segments) if s not in known]
         if missing:
+            again = [s for s in missing if s in older]
+            known.update((s, older[s]) for s in again)
+            self.held += sum(len(s) + len(known[s]) + 200 for s in again)
+            if again:
+                missing = [s for s in missing if s not in known]
             cut = [self.parts(s) for s in missing]
             new = [p for p in {p for parts in cut for p in parts} if p not in known]
             known.update(zip(new, self.encode_all(new) if new else [], strict=True))
@@ -72,3 +78,10 @@ def read_text(path: str) -> str:
     """A vocabulary file of the driver's machine, to be sent along with the job."""
     with open(path, encoding="utf-8") as file:
         return file.read()
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or one above 255."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}

@@ -6,6 +6,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, stage_path
 from .common import col
-from .segments import SegmentCache, load_tokenizer, read_text, slices
+from .segments import SegmentCache, byte_characters, load_tokenizer, read_text, slices
 
 LENGTH = 1024
 #: Sequences in a record batch: 1 MB of ids. All batches of a file but the last have as many.
@@ -58,6 +59,40 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+# Letters that Unicode normalisation leaves alone, whatever stands beside them among themselves; lower case.
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+
+
+class WordEncoder:
+    """Ids of the words of a text, by a tokenizer whose pre-tokens hold no white space."""
+
+    def __init__(self, definition: str, width: str) -> None:
+        self.tokenizer, self.width = load_tokenizer(definition, plain=False), width
+        self.cache = SegmentCache(self.encode_all, word_parts)
+        # A byte-level vocabulary writes these letters, two bytes in UTF-8, as two characters.
+        self.letters = str.maketrans({chr(c): "".join(byte_characters()[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)})
+
+    def encode_all(self, words: list[str]) -> list[bytes]:
+        """Words of letters are one pre-token each and go to the tokenizer's model at once; others through all its steps."""
+        out = {}
+        tokenize, letters, width = self.tokenizer.model.tokenize, self.letters, self.width
+        for word in filter(_LETTERS.fullmatch, map(str.lower, words)):
+            out[word] = np.array([t.id for t in tokenize(word.translate(letters))], width).tobytes()
+        others = [w for w in words if w.lower() not in out]
+        found = self.tokenizer.encode_batch(others, add_special_tokens=False)
+        out.update(zip(others, (np.array(e.ids, width).tobytes() for e in found), strict=True))
+        return [out[w] if w in out else out[w.lower()] for w in words]
+
+    def ids(self, text: str) -> list[bytes]:
+        return [self.cache.ids(s.replace("\n", " ").split(" ")) for s in slices(text, _CUT)]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(definition: str, width: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(definition, width)
+
+
 class _Writer:
     """Two Arrow files: sequences (ids, mask), and where each document begins among the ids."""
 
@@ -211,18 +246,12 @@ def write_sequences(
     end = np.array([end_id], width).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(definition.value, plain=False)
-
-        def encode(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, width).tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-
-        cache = SegmentCache(encode, word_parts)
+        encoder = word_encoder(definition.value, width)
         part, writer = TaskContext.get().partitionId(), None
         for batch in batches:
             writer = writer or _Writer(folder, f"part-{part:06d}-{uuid.uuid4().hex}", length, width, batch.schema.field(0).type)
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                found = [cache.ids(s.replace("\n", " ").split(" ")) for s in slices(text.as_py(), _CUT)]
-                writer.add(doc_id, np.frombuffer(b"".join([*found, end]), width))
+                writer.add(doc_id, np.frombuffer(b"".join([*encoder.ids(text.as_py()), end]), width))
         if writer and writer.docs:
             row = (part, folder, *writer.close())
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["part", "folder", "name", "n_tokens", "n_docs", "index_batches"])
