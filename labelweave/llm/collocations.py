@@ -168,7 +168,7 @@ def _combined(keys: np.ndarray) -> pa.RecordBatch:
 
 
 def _in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(FILTER_BITS - 1)
+    at = keys & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
