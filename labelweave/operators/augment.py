@@ -27,7 +27,7 @@ def synonym_table(pairs: DataFrame) -> DataFrame:
     """(word, synonyms): normalised, sorted, without the word itself, from (word, synonym) rows."""
     cleaned = pairs.select("word", normalise_synonym(F.col("synonym")).alias("synonym"))
     kept = cleaned.filter(F.col("synonym") != F.col("word"))
-    return kept.groupBy("word").agg(F.array_sort(F.collect_set("synonym")).alias("synonyms"))
+    return kept.groupBy("word").agg(F.sort_array(F.collect_set("synonym")).alias("synonyms"))
 
 
 def budget(alpha: float, words: Column) -> Column:
@@ -41,12 +41,12 @@ def _pick(options: Column, u: Column) -> Column:
 
 def _joined(parts: Column) -> Column:
     """Texts of an array of (…, w) structs in struct order."""
-    return F.array_join(F.transform(F.array_sort(parts), lambda s: s["w"]), " ")
+    return F.array_join(F.transform(F.sort_array(parts), lambda s: s["w"]), " ")
 
 
 def _swap_round(df: DataFrame, id_col: str, seed: int, words: str, pairs: Column, tag: str) -> DataFrame:
     """Pairs of distinct positions, in hash order, trade places."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(words, lambda w, i: F.struct(uniform(seed, F.col(id_col), tag, i).alias("u"), i.alias("pos"), w.alias("w")))
     )
     ordered = df.withColumns({"_ranked": ranked, "_moved": 2 * pairs})
@@ -59,7 +59,7 @@ def _swap_round(df: DataFrame, id_col: str, seed: int, words: str, pairs: Column
         F.arrays_zip(F.col("_ranked").alias("r"), partner.alias("p")),
         lambda z: F.struct(z["r"]["pos"].alias("pos"), F.element_at(F.col("_ranked"), z["p"])["w"].alias("w")),
     )
-    swapped = F.transform(F.array_sort(placed), lambda s: s["w"])
+    swapped = F.transform(F.sort_array(placed), lambda s: s["w"])
     return ordered.withColumn(words, F.when(F.size(words) < 2, F.col(words)).otherwise(swapped)).drop("_ranked", "_moved")
 
 
@@ -110,7 +110,7 @@ def _synonym_hits(df: DataFrame, id_col: str, synonyms: DataFrame, stop_words: S
     )
     return per_word.groupBy(id_col).agg(
         F.collect_list(F.struct("first_u", "replacement", "positions")).alias("_hits"),
-        F.array_sort(F.flatten(F.collect_list("us"))).alias("_us"),
+        F.sort_array(F.flatten(F.collect_list("us"))).alias("_us"),
         F.flatten(F.collect_list("inserts")).alias("_inserts"),
     )
 
@@ -138,7 +138,7 @@ def replace_words(df: DataFrame, alpha: float) -> DataFrame:
             ),
         )
     )
-    merged = chosen.withColumn("_merged", F.array_sort(F.concat(plain, F.coalesce(new, F.slice(plain, 1, 0)))))
+    merged = chosen.withColumn("_merged", F.sort_array(F.concat(plain, F.coalesce(new, F.slice(plain, 1, 0)))))
     return merged.withColumn("_synonym", _joined(_first_per_position(F.col("_merged")))).drop("_merged", "_limit")
 
 
@@ -152,7 +152,7 @@ def insert_words(df: DataFrame, id_col: str, seed: int, alpha: float) -> DataFra
     key, size = F.col(id_col), F.size("_options")
     nothing = F.transform("_words", lambda w, i: F.struct(i.alias("pos"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("w")))
     options = _first_per_position(F.col("_options_sorted"))
-    laid = df.withColumn("_options_sorted", F.array_sort(F.concat(nothing, F.coalesce("_inserts", F.slice(nothing, 1, 0)))))
+    laid = df.withColumn("_options_sorted", F.sort_array(F.concat(nothing, F.coalesce("_inserts", F.slice(nothing, 1, 0)))))
     laid = laid.withColumn("_options", F.transform(options, lambda s: s["w"])).drop("_options_sorted")
     tries = F.transform(
         F.sequence(F.lit(1), budget(alpha, size)),

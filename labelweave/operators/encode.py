@@ -36,7 +36,7 @@ def fixed_length_ids(
     exploded = df.select(*id_cols, F.posexplode_outer(taken).alias("_pos", "word"))
     coded = lookup_join(exploded, words, ["word"], spread=[*id_cols, "_pos"])
     pair = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("word_id", F.lit(UNKNOWN)).alias("id")))
-    lists = coded.groupBy(*id_cols).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    lists = coded.groupBy(*id_cols).agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
     ids = F.transform("_pairs", lambda p: p["id"])
     fill = F.lit(length) - F.size("_pairs")
     out = lists.select(

@@ -77,7 +77,7 @@ def replace_tokens(
     rebuilt = looked_up.groupBy(id_col).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("replacement", "word").alias("w")))),
+                F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("replacement", "word").alias("w")))),
                 lambda s: s.w,
             ),
             "",
