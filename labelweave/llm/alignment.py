@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import col
-from .segments import SegmentCache, byte_characters, load_tokenizer, read_text, slices
+from .segments import SegmentCache, byte_characters, load_tokenizer, packed, read_text, slices
 
 #: Id pairs whose counts are broadcast: 24 bytes each. Rarer pairs are joined by shuffle.
 HOT_PAIRS = 1 << 19
@@ -40,7 +40,7 @@ class ByteLevel:
 
     def encode_all(self, segments: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch([" " + s for s in segments], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [packed(e.ids, 4) for e in found]
 
 
 class PieceLevel:
@@ -55,7 +55,7 @@ class PieceLevel:
             self.bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
 
     def encode_all(self, segments: list[str]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in self.processor.encode(segments, num_threads=1)]
+        return [packed(ids, 4) for ids in self.processor.encode(segments, num_threads=1)]
 
 
 class Encoder:
@@ -71,7 +71,7 @@ class Encoder:
         parts = []
         for part in slices(text, _CUT):
             parts.append(self.cache.ids(_CUT.split(part[1:] if parts else part)))
-        return np.frombuffer(b"".join(parts), "<u4")
+        return np.frombuffer(b"".join(parts), np.uint32)
 
     def joined(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids.tolist()))

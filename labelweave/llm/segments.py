@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator, Sequence
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 #: Bytes of segments and ids that a task keeps.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 96 << 20
 #: Characters of a long text that are cut into segments at a time.
 SLICE_CHARS = 1 << 19
 
@@ -64,6 +65,11 @@ def slices(text: str, cut: re.Pattern, size: int = SLICE_CHARS) -> Iterator[str]
     yield text[at:] if at else text
 
 
+def packed(ids: Iterable[int], width: int) -> bytes:
+    """Ids as integers of ``width`` bytes, as this machine orders them."""
+    return array({2: "H", 4: "I"}[width], ids).tobytes()
+
+
 def load_tokenizer(definition: str, plain: bool):
     """A tokenizer from its JSON text. ``plain``: strings of special tokens inside texts are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core

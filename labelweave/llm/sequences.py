@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, stage_path
 from .common import col
-from .segments import SegmentCache, byte_characters, load_tokenizer, read_text, slices
+from .segments import SegmentCache, byte_characters, load_tokenizer, packed, read_text, slices
 
 LENGTH = 1024
 #: Sequences in a record batch: 1 MB of ids. All batches of a file but the last have as many.
@@ -66,7 +66,7 @@ _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 class WordEncoder:
     """Ids of the words of a text, by a tokenizer whose pre-tokens hold no white space."""
 
-    def __init__(self, definition: str, width: str) -> None:
+    def __init__(self, definition: str, width: int) -> None:
         self.tokenizer, self.width = load_tokenizer(definition, plain=False), width
         self.cache = SegmentCache(self.encode_all, word_parts)
         # A byte-level vocabulary writes these letters, two bytes in UTF-8, as two characters.
@@ -77,10 +77,11 @@ class WordEncoder:
         out = {}
         tokenize, letters, width = self.tokenizer.model.tokenize, self.letters, self.width
         for word in filter(_LETTERS.fullmatch, map(str.lower, words)):
-            out[word] = np.array([t.id for t in tokenize(word.translate(letters))], width).tobytes()
+            written = word if word.isascii() else word.translate(letters)
+            out[word] = packed([t.id for t in tokenize(written)], width)
         others = [w for w in words if w.lower() not in out]
         found = self.tokenizer.encode_batch(others, add_special_tokens=False)
-        out.update(zip(others, (np.array(e.ids, width).tobytes() for e in found), strict=True))
+        out.update(zip(others, (packed(e.ids, width) for e in found), strict=True))
         return [out[w] if w in out else out[w.lower()] for w in words]
 
     def ids(self, text: str) -> list[bytes]:
@@ -88,7 +89,7 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(definition: str, width: str) -> WordEncoder:
+def word_encoder(definition: str, width: int) -> WordEncoder:
     """One encoder for all tasks of a Python worker."""
     return WordEncoder(definition, width)
 
@@ -96,10 +97,10 @@ def word_encoder(definition: str, width: str) -> WordEncoder:
 class _Writer:
     """Two Arrow files: sequences (ids, mask), and where each document begins among the ids."""
 
-    def __init__(self, folder: str, name: str, length: int, width: str, id_type: pa.DataType) -> None:
+    def __init__(self, folder: str, name: str, length: int, width: int, id_type: pa.DataType) -> None:
         system, root = _place(folder)
         system.create_dir(root, recursive=True)
-        self.name, self.length, self.cells, self.width = name, length, length * BATCH_ROWS, np.dtype(width)
+        self.name, self.length, self.cells, self.width = name, length, length * BATCH_ROWS, np.dtype(f"u{width}")
         ids = pa.from_numpy_dtype(self.width)
         self.schema = pa.schema([("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -242,8 +243,8 @@ def write_sequences(
     folder = folder or stage_path(spark, "sequences")
     definition = spark.sparkContext.broadcast(read_text(vocabulary))
     size = max(load_tokenizer(definition.value, plain=False).get_vocab_size(), end_id + 1)
-    width = "<u2" if size <= 1 << 16 else "<u4"
-    end = np.array([end_id], width).tobytes()
+    width = 2 if size <= 1 << 16 else 4
+    end = packed([end_id], width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(definition.value, width)
@@ -251,7 +252,7 @@ def write_sequences(
         for batch in batches:
             writer = writer or _Writer(folder, f"part-{part:06d}-{uuid.uuid4().hex}", length, width, batch.schema.field(0).type)
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                writer.add(doc_id, np.frombuffer(b"".join([*encoder.ids(text.as_py()), end]), width))
+                writer.add(doc_id, np.frombuffer(b"".join([*encoder.ids(text.as_py()), end]), f"u{width}"))
         if writer and writer.docs:
             row = (part, folder, *writer.close())
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["part", "folder", "name", "n_tokens", "n_docs", "index_batches"])

@@ -88,7 +88,7 @@ def test_unlisted_files_do_not_count(spark, docs, tmp_path):
 @settings(max_examples=300, deadline=None)
 def test_words_apart(text):
     tokenizer = Tokenizer.from_file(queries.WORD_VOCABULARY)
-    encoder = sequences.word_encoder(segments.read_text(queries.WORD_VOCABULARY), "<u4")
+    encoder = sequences.word_encoder(segments.read_text(queries.WORD_VOCABULARY), 4)
     found = np.frombuffer(b"".join(encoder.ids(text)), "<u4").tolist()
     assert found == tokenizer.encode(text, add_special_tokens=False).ids
 
