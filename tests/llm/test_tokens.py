@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ def rows_of(df):
 
 
 def word_ids(text):
-    return Tokenizer.from_file(queries.WORD_VOCABULARY).encode(text or "", add_special_tokens=False).ids + [queries.END_ID]
+    return words_apart().tokenizer.encode(text or "", add_special_tokens=False).ids + [queries.END_ID]
 
 
 def test_token_files(spark, docs):
@@ -84,13 +85,16 @@ def test_unlisted_files_do_not_count(spark, docs, tmp_path):
     assert sequences.read_documents(manifest).count() == len(rows)
 
 
+@lru_cache(maxsize=1)
+def words_apart():
+    return sequences.word_encoder(segments.read_text(queries.WORD_VOCABULARY), 4)
+
+
 @given(st.text(st.sampled_from("abzAÉéßşΣσς'sltd.,!<|>endoftx \n\t́ 12½日K"), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_words_apart(text):
-    tokenizer = Tokenizer.from_file(queries.WORD_VOCABULARY)
-    encoder = sequences.word_encoder(segments.read_text(queries.WORD_VOCABULARY), 4)
-    found = np.frombuffer(b"".join(encoder.ids(text)), "<u4").tolist()
-    assert found == tokenizer.encode(text, add_special_tokens=False).ids
+    found = np.frombuffer(b"".join(words_apart().ids(text)), "<u4").tolist()
+    assert found == words_apart().tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_long_text_in_slices():
