@@ -2,14 +2,15 @@
 
 All random choices are hashes of (seed, row id, operation, position), so the outcome does not
 depend on partitioning or retries. Token arrays are only ever sorted or filtered, never searched
-per element, so a text of many thousand words costs n log n. Texts are spread by row id once;
-token rows, their grouping and the final join all reuse that partitioning.
+per element, so a text of many thousand words costs n log n. A thesaurus of few words is looked up inside
+each row, without a shuffle. For a larger one texts are spread by row id once; token rows, their
+grouping and the final join all reuse that partitioning.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from ..functions.text import default_stop_words, has_tokens, normalise_synonym,
 from .lookups import lookup_join
 
 MIN_TOKENS = 4
+#: Words and bytes of a thesaurus up to which it is a constant of the plan.
+LITERAL_LIMIT, LITERAL_BYTES = 1000, 1 << 20
 INSERT_TRIES = 10
 METHODS = ("synonym", "insert", "swap", "delete")
 
@@ -115,6 +118,47 @@ def _synonym_hits(df: DataFrame, id_col: str, synonyms: DataFrame, stop_words: S
     )
 
 
+def _small_table(synonyms: DataFrame) -> dict[str, list[str]]:
+    """The thesaurus, if it has few enough words and bytes for a constant of the plan; else nothing."""
+    size = F.sum(F.octet_length(F.concat_ws(" ", F.col("word"), F.col("synonyms"))))
+    few = synonyms.limit(LITERAL_LIMIT + 1).select("word", "synonyms")
+    words, total = few.agg(F.count(F.lit(1)), size).first()
+    return {r["word"]: r["synonyms"] for r in few.collect()} if words <= LITERAL_LIMIT and (total or 0) <= LITERAL_BYTES else {}
+
+
+def _replace_and_options(
+    df: DataFrame, id_col: str, table: Mapping[str, Sequence[str]], stop_words: Sequence[str], seed: int, alpha: float
+) -> DataFrame:
+    """Add ``_synonym``, as ``replace_words`` makes it, and ``_options``: a synonym for each word that has any."""
+    key = F.col(id_col)
+    entries = F.create_map(*[p for w, found in table.items() for p in (F.lit(w), F.array(*[F.lit(s) for s in found]))])
+
+    def synonym(word: Column, operation: str, pos: Column) -> Column:
+        return _pick(F.element_at(entries, word), uniform(seed, key, operation, pos))
+
+    def hit(word: Column, pos: Column) -> Column:
+        drawn = F.struct(uniform(seed, key, "replace", pos).alias("u"), pos.alias("pos"), word.alias("word"))
+        return F.when(word.isin(*table) & ~word.isin(*stop_words), drawn)
+
+    hits = F.sort_array(F.filter(F.transform("_words", hit), lambda h: h.isNotNull()))
+    rows = df.withColumn("_hits", hits)
+    # What lambdas read is named twice in an expression, so that it stays a computed column.
+    limit = F.element_at("_hits", F.least(budget(alpha, F.size("_words")), F.size("_hits")))["u"]
+    rows = rows.withColumn("_limit", F.when(F.size("_hits") > 0, limit))
+    chosen = F.filter("_hits", lambda h: (h["u"] <= F.col("_limit")) & F.col("_limit").isNotNull())
+    by_word = F.sort_array(F.transform(chosen, lambda h: F.struct(h["word"].alias("word"), h["u"].alias("u"), h["pos"].alias("pos"))))
+    rows = rows.withColumn("_chosen", by_word)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("_chosen", lambda c: c["word"]))
+    pairs = F.arrays_zip(F.col("_chosen").alias("c"), F.slice(before, F.lit(1), F.size("_chosen")).alias("before"))
+    firsts = F.filter(pairs, lambda z: ~z["c"]["word"].eqNullSafe(z["before"]))
+    new = F.transform(firsts, lambda z: F.struct(z["c"]["word"], synonym(z["c"]["word"], "replacement", z["c"]["pos"])))
+    rows = rows.withColumn("_new", F.map_from_entries(new))
+    replaced = F.transform("_words", lambda w: F.when(w.isin(*table), F.coalesce(F.try_element_at("_new", w), w)).otherwise(w))
+    rows = rows.withColumn("_synonym", F.array_join(F.when(F.size("_new") > 0, replaced).otherwise(F.col("_words")), " "))
+    options = F.transform("_words", lambda w, i: F.when(w.isin(*table), synonym(w, "insertion", i)))
+    return rows.withColumn("_options", options).drop("_hits", "_limit", "_chosen", "_new")
+
+
 def _first_per_position(parts: Column) -> Column:
     """Keep the first struct of every position of an array sorted by position."""
     behind = F.concat(F.array(F.lit(-1)), F.transform(parts, lambda s: s["pos"]))
@@ -142,18 +186,22 @@ def replace_words(df: DataFrame, alpha: float) -> DataFrame:
     return merged.withColumn("_synonym", _joined(_first_per_position(F.col("_merged")))).drop("_merged", "_limit")
 
 
+def _options(df: DataFrame) -> DataFrame:
+    """Add ``_options``, a synonym for each word that has any, from ``_inserts``."""
+    nothing = F.transform("_words", lambda w, i: F.struct(i.alias("pos"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("w")))
+    options = _first_per_position(F.col("_options_sorted"))
+    laid = df.withColumn("_options_sorted", F.sort_array(F.concat(nothing, F.coalesce("_inserts", F.slice(nothing, 1, 0)))))
+    return laid.withColumn("_options", F.transform(options, lambda s: s["w"])).drop("_options_sorted")
+
+
 def insert_words(df: DataFrame, id_col: str, seed: int, alpha: float) -> DataFrame:
     """Add ``_insert``: synonyms of random words of the text at random places.
 
-    Every insertion tries up to ten random words for one that has synonyms.
+    Every insertion tries up to ten random words for one that has synonyms (``_options``).
     """
     # The array is referenced more than once on purpose: it must stay a computed column, or it
     # would be built again for every try.
     key, size = F.col(id_col), F.size("_options")
-    nothing = F.transform("_words", lambda w, i: F.struct(i.alias("pos"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("w")))
-    options = _first_per_position(F.col("_options_sorted"))
-    laid = df.withColumn("_options_sorted", F.sort_array(F.concat(nothing, F.coalesce("_inserts", F.slice(nothing, 1, 0)))))
-    laid = laid.withColumn("_options", F.transform(options, lambda s: s["w"])).drop("_options_sorted")
     tries = F.transform(
         F.sequence(F.lit(1), budget(alpha, size)),
         lambda i: F.struct(
@@ -175,7 +223,7 @@ def insert_words(df: DataFrame, id_col: str, seed: int, alpha: float) -> DataFra
         lambda s: F.struct(s["pos"].alias("pos"), s["rank"].alias("rank"), s["w"][0].alias("w")),
     )
     plain = F.transform("_words", lambda w, i: F.struct((i * 2 + 1).alias("pos"), F.lit(0).alias("rank"), w.alias("w")))
-    return laid.withColumn("_insert", _joined(F.concat(plain, added))).drop("_options")
+    return df.withColumn("_insert", _joined(F.concat(plain, added))).drop("_options")
 
 
 def augment(
@@ -199,9 +247,15 @@ def augment(
     short = df.filter(~many).select(
         id_col, F.lit(1).alias("variant"), F.lit("copy").alias("method"), F.col(text_col).alias("text")
     )
-    long = df.filter(many).select(id_col, text_col).repartition(id_col).select(id_col, tokens(F.col(text_col)).alias("_words"))
-    rows = long.join(_synonym_hits(long, id_col, synonyms, stops, seed), id_col, "left")
-    rows = replace_words(rows, alpha_replace)
+    long = df.filter(many).select(id_col, text_col)
+    words = tokens(F.col(text_col)).alias("_words")
+    table = _small_table(synonyms)
+    if table:
+        rows = _replace_and_options(long.select(id_col, words), id_col, table, stops, seed, alpha_replace)
+    else:
+        long = long.repartition(id_col).select(id_col, words)
+        rows = long.join(_synonym_hits(long, id_col, synonyms, stops, seed), id_col, "left")
+        rows = _options(replace_words(rows, alpha_replace))
     rows = insert_words(rows, id_col, seed, alpha_insert)
     rows = swap_words(rows, id_col, seed, alpha_swap)
     rows = delete_words(rows, id_col, seed, share_delete)
