@@ -504,7 +504,27 @@ def neighbour_recall(spark, sf):
     target = target.withColumnRenamed("vec_id", "match_id")
     exact = similarity.nearest(source, target, "vec_id", "match_id", carry=["match_id"])
     found = similarity.approximate_nearest(source, target, "vec_id", "match_id", carry=["match_id"])
-    return similarity.neighbour_recall(exact, found, "vec_id", 0.85)
+    recall = similarity.neighbour_recall(exact, found.best, "vec_id", 0.85).select(F.lit("recall").alias("metric"), F.col("recall").alias("value"))
+    return recall.unionByName(found.effort.select(F.lit("share compared").alias("metric"), (F.col("compared") / F.col("pairs")).alias("value")))
+
+
+@query
+def nearest_by_regions(spark, sf):
+    """The exact search through forty regions."""
+    target = table(spark, sf, "embeddings").select(F.col("vec_id").alias("match_id"), F.col("label").alias("match_label"), "embedding")
+    found = similarity.pruned_nearest(blended(spark, sf), target, "vec_id", "match_id", carry=["match_id", "match_label"], pivots=40)
+    return rounded(found.best, ["similarity_score"])
+
+
+@query
+def search_effort(spark, sf):
+    """Share of all pairs that the exact search through regions meets, for neighbours of at least 0.85 and for any."""
+    target = table(spark, sf, "embeddings").select(F.col("vec_id").alias("match_id"), "embedding")
+    out = []
+    for name, at_least in (("threshold", 0.85), ("any", None)):
+        found = similarity.pruned_nearest(blended(spark, sf), target, "vec_id", "match_id", carry=["match_id"], at_least=at_least, pivots=200)
+        out.append(found.effort.select(F.lit(name).alias("search"), "pairs", (F.col("compared") < F.col("pairs") / 2).alias("below_half")))
+    return out[0].unionByName(out[1])
 
 
 @query
