@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import col
-from .segments import SegmentCache, byte_characters, load_tokenizer, packed, read_text, slices
+from .segments import HELD_BYTES, byte_characters, load_tokenizer, packed, read_text, slices
 
 #: Id pairs whose counts are broadcast: 24 bytes each. Rarer pairs are joined by shuffle.
 HOT_PAIRS = 1 << 19
 #: Characters of text whose rows make one batch.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Links of a group that are written out one by one.
 GROUP_LINKS = 1 << 12
 # Both vocabularies begin a token at a single space between two other characters.
 _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+# Letters without combining forms, then marks: two pre-tokens of the byte-level vocabulary.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -33,14 +35,29 @@ class ByteLevel:
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = load_tokenizer(definition, plain=True)
-        back, names = {c: b for b, c in byte_characters().items()}, self.tokenizer.get_vocab(with_added_tokens=False)
+        characters = byte_characters()
+        back, names = {c: b for b, c in characters.items()}, self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = [b""] * (max(names.values(), default=-1) + 1)
         for name, i in names.items():
             self.bytes[i] = bytes(back[c] for c in name)
+        self.written = str.maketrans({chr(c): "".join(characters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)})
+        self.space = characters[0x20]
 
     def encode_all(self, segments: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([" " + s for s in segments], add_special_tokens=False)
-        return [packed(e.ids, 4) for e in found]
+        """Letters after a space are one pre-token, marks after them another: these go to the tokenizer's model at once."""
+        out: list[bytes | None] = [None] * len(segments)
+        tokenize, others = self.tokenizer.model.tokenize, []
+        for i, segment in enumerate(segments):
+            found = _PLAIN.fullmatch(segment)
+            if found:
+                tokens = tokenize(self.space + found[1].translate(self.written))
+                out[i] = packed([t.id for t in tokens] + [t.id for t in tokenize(found[2])] if found[2] else [t.id for t in tokens], 4)
+            else:
+                others.append(i)
+        encoded = self.tokenizer.encode_batch([" " + segments[i] for i in others], add_special_tokens=False)
+        for i, e in zip(others, encoded, strict=True):
+            out[i] = packed(e.ids, 4)
+        return out
 
 
 class PieceLevel:
@@ -59,37 +76,57 @@ class PieceLevel:
 
 
 class Encoder:
-    """Ids of whole texts by one vocabulary, and where each token ends, in bytes after the first."""
-
-    def __init__(self, vocabulary: ByteLevel | PieceLevel) -> None:
-        self.vocabulary = vocabulary
-        self.cache = SegmentCache(vocabulary.encode_all)
-        self.lengths = np.array([len(b) for b in vocabulary.bytes], np.int64)
-
-    def ids(self, text: str) -> np.ndarray:
-        """Segments end where a space and a word begin, which no token crosses; the encoders set that space again."""
-        parts = []
-        for part in slices(text, _CUT):
-            parts.append(self.cache.ids(_CUT.split(part[1:] if parts else part)))
-        return np.frombuffer(b"".join(parts), np.uint32)
-
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids.tolist()))
-
-    def ends(self, ids: np.ndarray) -> np.ndarray:
-        return np.cumsum(self.lengths[ids])
+    """Ids of whole texts by two vocabularies, through one cache of segments.
 
+    Segments end where a space and a word begin, which no token of either crosses; the vocabularies set that space again.
+    """
 
-@lru_cache(maxsize=2)
-def byte_encoder(definition: str) -> Encoder:
-    """One encoder for all tasks of a Python worker."""
-    return Encoder(ByteLevel(definition))
+    def __init__(self, definition: str, model: bytes, limit: int = HELD_BYTES) -> None:
+        self.sides = ByteLevel(definition), PieceLevel(model)
+        self.lengths = [np.array([len(b) for b in side.bytes], np.int64) for side in self.sides]
+        count = max(map(len, self.lengths))
+        self.numbers = [f"{i}{mark}" for mark in ",|;" for i in range(count)]
+        self.limit, self.held = limit, 0
+        self.known: tuple[dict, dict] = {}, {}
+        self.older: tuple[dict, dict] = {}, {}
+        self.odd: set[str] = set()
+
+    def _learn(self, segments: set[str]) -> None:
+        if self.held > self.limit:
+            self.known, self.older, self.held = ({}, {}), self.known, 0
+        first, second = self.known
+        missing = [s for s in segments if s not in first]
+        again = [s for s in missing if s in self.older[0]]
+        first.update((s, self.older[0][s]) for s in again)
+        second.update((s, self.older[1][s]) for s in again)
+        new = [s for s in missing if s not in first] if again else missing
+        if new:
+            found = [side.encode_all(new) for side in self.sides]
+            first.update(zip(new, found[0], strict=True))
+            second.update(zip(new, found[1], strict=True))
+            self.odd.update(s for s, a, b in zip(new, *found, strict=True) if not self._joined(0, a) == self._joined(1, b) == b" " + s.encode())
+        self.held += sum(len(s) + len(first[s]) + len(second[s]) + 330 for s in missing)
+
+    def _joined(self, side: int, ids: bytes) -> bytes:
+        return b"".join(map(self.sides[side].bytes.__getitem__, memoryview(ids).cast("I")))
+
+    def ids(self, texts: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        """For each text, the ids of both sides; None for a text without tokens."""
+        parts = [[_CUT.split(part[1:] if k else part) for k, part in enumerate(slices(text, _CUT))] if text else [] for text in texts]
+        self._learn({s for text in parts for segments in text for s in segments})
+        for text, found in zip(texts, parts, strict=True):
+            sides = [b"".join(b"".join(map(known.__getitem__, segments)) for segments in found) for known in self.known]
+            suspect = self.odd and not all(self.odd.isdisjoint(segments) for segments in found)
+            if not text or suspect and not self._joined(0, sides[0]) == self._joined(1, sides[1]) == b" " + text.encode():
+                yield None
+            else:
+                yield sides[0], sides[1]
 
 
 @lru_cache(maxsize=2)
-def piece_encoder(model: bytes) -> Encoder:
+def encoder(definition: str, model: bytes) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(PieceLevel(model))
+    return Encoder(definition, model)
 
 
 def gallop(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -128,15 +165,21 @@ def gallop(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> np.ndarray
     return low
 
 
-def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices into two ascending lists of ends where they hold the same place. The shorter drives the search."""
+def common_ends(a: np.ndarray, b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices into two ascending lists of ends where they hold the same place. The shorter drives the search.
+
+    The lists may be those of several texts in a row, which begin at ``start_a`` and ``start_b``.
+    """
     if len(b) < len(a):
-        second, first = common_ends(b, a)
+        second, first = common_ends(b, a, start_b, start_a)
         return first, second
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # Tokens are about evenly long, so the share of the list is the first guess.
-    places = gallop(a, b, np.arange(len(a)) * len(b) // len(a))
+    # Tokens are about evenly long, so the share of a text's list is the first guess.
+    size_a, size_b = np.diff(start_a, append=len(a)), np.diff(start_b, append=len(b))
+    inside = np.arange(len(a)) - np.repeat(start_a, size_a)
+    guess = np.repeat(start_b, size_a) + inside * np.repeat(size_b, size_a) // np.repeat(np.maximum(size_a, 1), size_a)
+    places = gallop(a, b, guess)
     found = np.flatnonzero((places < len(b)) & (b[np.minimum(places, len(b) - 1)] == a))
     return found, places[found]
 
@@ -146,17 +189,23 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Aligned:
-    """Groups of one text: ``cuts_a`` and ``cuts_b`` are the ranks of the tokens after which groups end."""
+    """Groups of some texts' tokens, one text after another.
+
+    ``start_a`` and ``start_b`` are the ranks of each text's first tokens; ``cuts_a`` and ``cuts_b`` those after which groups end.
+    """
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> None:
-        self.a, self.b = a, b
-        at_a, at_b = common_ends(ends_a, ends_b)
+    def __init__(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray) -> None:
+        self.a, self.b, self.start_a, self.start_b = a, b, start_a, start_b
+        at_a, at_b = common_ends(ends_a, ends_b, start_a, start_b)
         self.cuts_a, self.cuts_b = at_a + 1, at_b + 1
         self.sizes_a = np.diff(self.cuts_a, prepend=0)
         self.sizes_b = np.diff(self.cuts_b, prepend=0)
+        # Groups before each text; the last entry counts all.
+        self.groups = np.append(np.searchsorted(self.cuts_a, start_a, "right"), len(self.cuts_a))
+        self.text_of = np.repeat(np.arange(len(start_a)), np.diff(self.groups))
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct linked id pairs, A's id in the high 32 bits, and how many links each has.
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, id pair (A's id in the high 32 bits) and number of links of each distinct linked pair of a text.
 
         Within a group, each token of one side is linked with each of the other. Groups of many links are counted by
         their distinct ids, so a long stretch without common ends is not written out.
@@ -169,26 +218,33 @@ class Aligned:
         width = self.sizes_b[group]
         left = self.a[(self.cuts_a - self.sizes_a)[group] + inside // width]
         right = self.b[(self.cuts_b - self.sizes_b)[group] + inside % width]
-        pairs, times = [_joined(left, right)], [np.ones(len(left), np.int64)]
+        texts, pairs, times = [self.text_of[group]], [_joined(left, right)], [np.ones(len(left), np.int64)]
         for g in np.flatnonzero(sizes > GROUP_LINKS).tolist():
             ids_a, n_a = np.unique(self.a[self.cuts_a[g] - self.sizes_a[g] : self.cuts_a[g]], return_counts=True)
             ids_b, n_b = np.unique(self.b[self.cuts_b[g] - self.sizes_b[g] : self.cuts_b[g]], return_counts=True)
             pairs.append(_joined(np.repeat(ids_a, len(ids_b)), np.tile(ids_b, len(ids_a))))
             times.append(np.outer(n_a, n_b).ravel())
-        distinct, place = np.unique(np.concatenate(pairs), return_inverse=True)
-        return distinct, np.bincount(place, np.concatenate(times), len(distinct)).astype(np.int64)
-
-    def text(self, names: list[str]) -> str:
-        """Groups as a1,a2|b1;a3|b2,b3. ``names``: decimal numbers with a comma, with a bar, then with a semicolon."""
-        size = len(names) // 3
-        mark_a, mark_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
-        mark_a[self.cuts_a - 1] = 1
-        mark_b[self.cuts_b - 1] = 2
-        group_a, group_b = np.repeat(np.arange(len(self.sizes_a)), self.sizes_a), np.repeat(np.arange(len(self.sizes_b)), self.sizes_b)
+            texts.append(np.full(len(times[-1]), self.text_of[g]))
+        text, pair, time = map(np.concatenate, (texts, pairs, times))
+        order = np.lexsort((pair, text))
+        text, pair, time = text[order], pair[order], time[order]
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(new)
+        return text[first], pair[first], np.add.reduceat(time, first) if len(first) else time
+
+    def written(self, numbers: list[str]) -> list[str]:
+        """Each text's groups as a1,a2|b1;a3|b2,b3. ``numbers``: decimal numbers with a comma, with a bar, then with a semicolon."""
+        size = len(numbers) // 3
+        flat_a, flat_b = self.a.astype(np.int64), self.b.astype(np.int64)
+        flat_a[self.cuts_a - 1] += size
+        flat_b[self.cuts_b - 1] += 2 * size
         flat = np.empty(len(self.a) + len(self.b), np.int64)
-        flat[np.arange(len(self.a)) + (self.cuts_b - self.sizes_b)[group_a]] = self.a + mark_a * size
-        flat[np.arange(len(self.b)) + self.cuts_a[group_b]] = self.b + mark_b * size
-        return "".join(map(names.__getitem__, flat.tolist()))[:-1]
+        flat[np.arange(len(self.a)) + np.repeat(self.cuts_b - self.sizes_b, self.sizes_a)] = flat_a
+        flat[np.arange(len(self.b)) + np.repeat(self.cuts_a, self.sizes_b)] = flat_b
+        names = list(map(numbers.__getitem__, flat.tolist()))
+        begins = (self.start_a + self.start_b).tolist()
+        return ["".join(names[x:y])[:-1] for x, y in zip(begins, [*begins[1:], len(names)], strict=True)]
 
 
 def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,51 +270,40 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, id_col: str =
     names = ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts", "pairs", "times", "groups_sha256"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = byte_encoder(definition.value), piece_encoder(model.value)
-        count = max(len(first.lengths), len(second.lengths))
-        numbers = [f"{i}{mark}" for mark in ",|;" for i in range(count)]
+        own = encoder(definition.value, model.value)
         for batch in batches:
-            rows, begin, held = [], 0, 0
+            texts, begin, held = [], 0, 0
             for i, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                rows.append(_aligned_row(text, first, second, numbers))
-                held += len(text)
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
                 if held >= BATCH_CHARS:
-                    yield _batch(batch.column(0)[begin : i + 1], rows)
-                    rows, begin, held = [], i + 1, 0
-            if rows:
-                yield _batch(batch.column(0)[begin:], rows)
-
-    def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        kinds = [np.int32, np.int32, np.int32, np.int32, np.int64, np.int64]
-        lists = [_lists(c, k) for c, k in zip(columns[:6], kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([ids, *lists, pa.array(columns[6], pa.string())], names)
+                    yield _aligned(batch.column(0)[begin : i + 1], texts, own, names)
+                    texts, begin, held = [], i + 1, 0
+            if texts:
+                yield _aligned(batch.column(0)[begin:], texts, own, names)
 
     narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     schema = f"doc_id {kind}, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, pairs array<long>, times array<long>, groups_sha256 string"
     return narrow.mapInArrow(run, schema)
 
 
-_EMPTY = np.zeros(0, np.int64)
-
-
-def _aligned_row(text: str, first: Encoder, second: Encoder, numbers: list[str]) -> tuple:
-    if not text:
-        return (*[_EMPTY] * 6, "")
-    a, b = first.ids(text), second.ids(text)
-    whole = b" " + text.encode()
-    if first.joined(a) != whole or second.joined(b) != whole:
-        return (*[_EMPTY] * 6, "")
-    found = Aligned(a, b, first.ends(a), second.ends(b))
-    pairs, times = found.links()
-    digest = hashlib.sha256(found.text(numbers).encode()).hexdigest()
-    return a, b, found.cuts_a, found.cuts_b, pairs, times, digest
-
-
-def _lists(values: tuple[np.ndarray, ...], kind: type) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).astype(kind)))
+def _aligned(doc_ids: pa.Array, texts: list[str], own: Encoder, names: list[str]) -> pa.RecordBatch:
+    ids = list(own.ids(texts))
+    sides = [[np.frombuffer(pair[k], np.uint32) if pair else np.zeros(0, np.uint32) for pair in ids] for k in (0, 1)]
+    sizes = [np.array([len(x) for x in side]) for side in sides]
+    a, b = map(np.concatenate, sides)
+    start_a, start_b = (np.cumsum(n) - n for n in sizes)
+    # All texts here cover the same bytes on both sides, so their ends can be counted on over texts.
+    found = Aligned(a, b, np.cumsum(own.lengths[0][a]), np.cumsum(own.lengths[1][b]), start_a, start_b)
+    of, pairs, times = found.links()
+    groups = found.groups
+    per_text = np.searchsorted(of, np.arange(len(texts) + 1))
+    digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in found.written(own.numbers)]
+    cuts_a, cuts_b = found.cuts_a - start_a[found.text_of], found.cuts_b - start_b[found.text_of]
+    columns = [(a, np.append(start_a, len(a))), (b, np.append(start_b, len(b))), (cuts_a, groups), (cuts_b, groups)]
+    lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v.astype(np.int32))) for v, o in columns]
+    lists += [pa.ListArray.from_arrays(pa.array(per_text.astype(np.int32)), pa.array(v.astype(np.int64))) for v in (pairs, times)]
+    return pa.RecordBatch.from_arrays([doc_ids, *lists, pa.array(digests, pa.string())], names)
 
 
 def pair_counts(aligned: DataFrame, pairs_col: str = "pairs") -> DataFrame:

@@ -161,18 +161,19 @@ def test_alignment(docs, hot_pairs):
 def test_large_groups(monkeypatch):
     a, b = np.array([1, 2, 1, 3, 4]), np.array([7, 7, 8, 9])
     ends_a, ends_b = np.array([1, 2, 3, 5, 6]), np.array([2, 4, 5, 6])
-    found = alignment.Aligned(a, b, ends_a, ends_b)
+    found = alignment.Aligned(a, b, ends_a, ends_b, np.array([0, 4, 5]), np.array([0, 3, 4]))
+    assert found.written([f"{i}{m}" for m in ",|;" for i in range(10)]) == ["1,2|7;1,3|7,8", "4|9", ""]
     want = [v.tolist() for v in found.links()]
     monkeypatch.setattr(alignment, "GROUP_LINKS", 1)
     assert [v.tolist() for v in found.links()] == want
-    assert sum(want[1]) == 2 * 1 + 2 * 2 + 1
+    assert want[0] == [0] * 5 + [1] and sum(want[2]) == 2 * 1 + 2 * 2 + 1
 
 
 @given(st.sets(st.integers(1, 300)), st.sets(st.integers(1, 300)), st.integers(0, 400))
 @settings(max_examples=200, deadline=None)
 def test_gallop(a, b, guess):
     a, b = np.array(sorted(a), np.int64), np.array(sorted(b), np.int64)
-    first, second = alignment.common_ends(a, b)
+    first, second = alignment.common_ends(a, b, np.array([0]), np.array([0]))
     assert a[first].tolist() == b[second].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
     if len(b):
         start = np.full(len(a), min(guess, len(b)))
