@@ -146,7 +146,8 @@ def graded(ratings: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
     """The model of at most ``fit_rows`` graded documents. Features are made where the documents are.
 
-    Fewer than two grades, or no graded documents, give an unfitted model.
+    Fewer than two grades, or no graded documents, give an unfitted model. Of rows that share an id, the one whose
+    text has the least digest is taken, so the model does not depend on the order of rows.
     """
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
@@ -154,16 +155,19 @@ def train(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             made = [features(v.as_py() or b"") for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array([i.tolist() for i, _ in made], pa.list_(pa.int64())),
+                [batch.column(1), batch.column(2), batch.column(3), pa.array([i.tolist() for i, _ in made], pa.list_(pa.int64())),
                  pa.array([v.tolist() for _, v in made], pa.list_(pa.float32()))],
-                ["doc_id", "grade", "index", "value"],
+                ["doc_id", "grade", "digest", "index", "value"],
             )
 
-    texts = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", F.col("grade").cast("int").alias("grade"))
-    table = joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, grade int, index array<long>, value array<float>")
+    text = F.coalesce(col(text_col).cast("binary"), F.lit(b""))
+    texts = docs.select(col(id_col).alias("doc_id"), text.alias("text"), F.md5(text).alias("digest"))
+    joined = texts.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", F.col("grade").cast("int").alias("grade"), "digest")
+    kind = joined.schema["doc_id"].dataType.simpleString()
+    table = joined.mapInArrow(run, f"doc_id {kind}, grade int, digest string, index array<long>, value array<float>")
     # At most one document per chosen id, so that repeated rows do not lift the bound.
-    rows = table.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    first = table.groupBy("doc_id").agg(F.min_by(F.struct("grade", "index", "value"), "digest").alias("row"))
+    rows = first.select("doc_id", "row.*").toArrow().sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return fit([], np.zeros(0, np.int64))
     index, value = (rows[name].chunk(0) for name in ("index", "value"))
