@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import NOT_SPACES, col, fresh
+from .common import NOT_SPACES, col, fresh, with_row_ids
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Bytes of benchmark items that one block, and so one broadcast, may hold.
+#: Bytes of benchmark items up to which they are broadcast.
 BLOCK_BYTES = 16 << 20
 PROBES = 4
 
@@ -23,29 +24,31 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(NOT_SPACES), F.lit(0))
 
 
-def _positions(list_: Column, size: int) -> Column:
-    """Start positions of the shingles: one for each run of ``size`` words, one for a shorter list."""
-    n = F.size(list_)
-    last = F.greatest(n - size, F.lit(0))
-    return F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def _positions(list_: Column, size: Column) -> Column:
+    """Start positions of the shingles: one for each run of ``size`` words."""
+    last = F.size(list_) - size
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _hashes(word_hashes: Column, size: int) -> Column:
-    """A 64-bit hash of each distinct shingle, from the hashes of its words."""
-    return F.array_distinct(
-        F.transform(_positions(word_hashes, size), lambda i: F.xxhash64(*[F.get(word_hashes, i + k) for k in range(size)]))
-    )
+def _hashes(word_hashes: Column, sizes: Sequence[int]) -> Column:
+    """A 64-bit hash of each distinct shingle of any of the sizes, from the hashes of its words."""
+
+    def of_size(size: int) -> Column:
+        return F.transform(_positions(word_hashes, F.lit(size)), lambda i: F.xxhash64(*[F.get(word_hashes, i + k) for k in range(size)]))
 
+    lists = [of_size(size) for size in sizes]
+    return F.array_distinct(lists[0] if len(lists) == 1 else F.concat(*lists))
 
-def _shingles(list_: Column, size: int) -> Column:
+
+def _shingles(list_: Column, size: Column) -> Column:
     """The distinct shingles themselves."""
-    return F.array_distinct(
-        F.transform(_positions(list_, size), lambda i: F.concat_ws(" ", F.slice(list_, i + 1, F.lit(size))))
-    )
+    return F.array_distinct(F.transform(_positions(list_, size), lambda i: F.concat_ws(" ", F.slice(list_, i + 1, size))))
 
 
 def item_sketches(items: DataFrame, id_col: str, text_col: str, size: int, containment: float) -> DataFrame:
-    """(item_id, shingles, sketch, n): distinct items with the MinHash sketch their size calls for.
+    """(item_id, words, shingles, sketch, n): distinct items with the MinHash sketch their size calls for.
+
+    Shingles have ``size`` words; an item of fewer is one shingle of all its words, whose number ``words`` keeps.
 
     An item of n shingles may miss m = n - ceil(containment * n) of them in a document that holds it. Its
     sketch is its m + 1 least hashes, so a document that holds the item holds one of the sketch at
@@ -53,11 +56,12 @@ def item_sketches(items: DataFrame, id_col: str, text_col: str, size: int, conta
     """
     listed = items.select(col(id_col).alias("item_id"), words(col(text_col)).alias("w")).filter(F.size("w") > 0).distinct()
     hashed = listed.withColumn("wh", F.transform("w", lambda w: F.xxhash64(w)))
-    both = hashed.select("item_id", _shingles(F.col("w"), size).alias("shingles"),
-                         F.array_sort(_hashes(F.col("wh"), size)).alias("hashes"))
+    length = F.least(F.size("w"), F.lit(size))
+    hashes = reduce(lambda rest, k: F.when(length == k, _hashes(F.col("wh"), [k])).otherwise(rest), range(1, size), _hashes(F.col("wh"), [size]))
+    both = hashed.select("item_id", length.alias("words"), _shingles(F.col("w"), length).alias("shingles"), F.array_sort(hashes).alias("hashes"))
     n = F.size("shingles")
     missing = n - F.ceil(F.round(n * F.lit(containment), 9)).cast("int")
-    return both.select("item_id", "shingles", F.slice("hashes", F.lit(1), missing + 1).alias("sketch"), n.alias("n"))
+    return both.select("item_id", "words", "shingles", F.slice("hashes", F.lit(1), missing + 1).alias("sketch"), n.alias("n"))
 
 
 def _table(hashes: list[int]) -> tuple[Column, int]:
@@ -82,6 +86,12 @@ def _known(hash_: Column, table: Column, size: int) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
+def _hashed(docs: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """``docs`` with its words, ``w``, and the hashes of its shingles."""
+    listed = docs.withColumn("w", words(F.col("text"))).withColumn("wh", F.transform("w", lambda w: F.xxhash64(w)))
+    return listed.withColumn("hashes", _hashes(F.col("wh"), sizes)).drop("wh")
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -96,13 +106,13 @@ def contained_items(
     """(doc_id, item_id, shared, n_shingles, containment): one row for each document that holds an item.
 
     A document holds an item if it has ``containment`` or more of the item's distinct shingles of ``size`` words
-    (lower case, letters and digits only). An item with fewer words is one shingle, which only a document of exactly
-    these words holds: such items are not searched inside longer documents.
+    (lower case, letters and digits only). An item with fewer words is one shingle of its own length, and documents are
+    hashed at each such length that occurs as well.
 
-    Items are the query set. They are cut into blocks of bounded bytes, and each block goes to all
-    tasks: its sketch hashes as one constant table, its items by broadcast. Document hashes that stand in the table
-    make a candidate, judged once, in the row it was found in, by the shingles themselves. Nothing of
-    the documents is shuffled.
+    Items are the query set. Up to ``block_bytes`` of them go to all tasks: their sketch hashes as one constant table, the items
+    by broadcast. Document hashes that stand in the table make a candidate, judged once, in the row it was found in,
+    by the shingles themselves; nothing of the documents is shuffled. A larger set meets the documents' hashes by one shuffle
+    of hashes and row numbers, and only candidates' texts are moved.
 
     - Missing and empty texts, of documents or items, match nothing.
     - Each row of ``docs`` is judged on its own: repeated rows give repeated results; item rows repeated
@@ -114,26 +124,27 @@ def contained_items(
     total = sketches.agg(
         F.sum(F.aggregate("shingles", F.lit(0).cast("long"), lambda a, s: a + F.octet_length(s) + 16) + F.size("sketch") * 48)
     ).first()[0] or 0
-    blocks = total // block_bytes + 1
-    listed = docs.select(col(id_col).alias("doc_id"), words(col(text_col)).alias("w"))
-    hashed = listed.withColumn("wh", F.transform("w", lambda w: F.xxhash64(w))).withColumn(
-        "hashes", _hashes(F.col("wh"), size)
-    ).select("doc_id", "w", "hashes")
-    found = []
-    for block in range(blocks):
-        mine = sketches if blocks == 1 else sketches.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == block)
-        # Each hash goes out with its item's number, each item once.
-        probes = mine.select(F.explode("sketch").alias("hash"), "item")
+    # One to ``size`` word counts: those that occur.
+    sizes = [r[0] for r in sketches.select("words").distinct().orderBy("words").collect()] or [size]
+    # Each hash goes out with its item's number, each item once.
+    probes = sketches.select(F.explode("sketch").alias("hash"), "item")
+    narrow = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    if total <= block_bytes:
         table, slots = _table(sorted(r[0] for r in probes.select("hash").distinct().collect()))
+        hashed = _hashed(narrow, sizes).select("doc_id", "w", "hashes")
         hits = hashed.select("doc_id", "w", "hashes", F.filter("hashes", lambda h: _known(h, table, slots)).alias("hits"))
         # The outer form: for the plain one the optimizer would add a filter that computes all hashes twice.
         hits = hits.select("doc_id", "w", "hashes", F.explode_outer("hits").alias("hash")).join(F.broadcast(probes), "hash")
-        hits = hits.join(F.broadcast(mine), "item")
+        hits = hits.join(F.broadcast(sketches), "item")
         # Of the hits of one item in one document, the least stands for all.
         once = hits.filter(F.col("hash") == F.array_min(F.array_intersect("sketch", "hashes")))
-        shared = F.size(F.array_intersect("shingles", _shingles(F.col("w"), size)))
-        found.append(once.select("doc_id", "item_id", shared.alias("shared"), F.col("n").alias("n_shingles")))
-    every = reduce(DataFrame.unionAll, found)
+    else:
+        stored, row = with_row_ids(narrow)
+        hashes = _hashed(stored, sizes).select(row, F.explode_outer("hashes").alias("hash"))
+        candidates = hashes.join(probes, "hash").select(row, "item").distinct()
+        once = stored.join(candidates, row).join(sketches, "item").withColumn("w", words(F.col("text")))
+    shared = F.size(F.array_intersect("shingles", _shingles(F.col("w"), F.col("words"))))
+    every = once.select("doc_id", "item_id", shared.alias("shared"), F.col("n").alias("n_shingles"))
     return every.withColumn("containment", F.col("shared") / F.col("n_shingles")).filter(
         F.col("shared") >= F.ceil(F.round(F.col("n_shingles") * F.lit(containment), 9))
     )

@@ -106,11 +106,13 @@ _ITEM_WORDS = (
 )
 
 
-def _shingle_rows(key: str, table: str) -> str:
+def _shingle_rows(key: str, table: str, sizes: str) -> str:
+    """Distinct shingles of the sizes that an SQL list gives, which may use the number of words, n."""
     return (
-        f"SELECT DISTINCT {key}, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s "
-        f"FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i "
-        f"FROM (SELECT {key}, {_ITEM_WORDS} AS w FROM {table}) WHERE len(w) > 0)"
+        f"SELECT DISTINCT {key}, k, array_to_string(w[i:i + k - 1], ' ') AS s "
+        f"FROM (SELECT {key}, w, k, unnest(range(1, len(w) - k + 2)) AS i "
+        f"FROM (SELECT {key}, w, unnest({sizes}) AS k FROM (SELECT {key}, w, len(w) AS n FROM (SELECT {key}, {_ITEM_WORDS} AS w FROM {table}))) "
+        f"WHERE len(w) >= k AND k > 0)"
     )
 
 
@@ -122,11 +124,11 @@ ORACLE = {
         FROM n WINDOW g AS (PARTITION BY t)
     """,
     "op2_decontamination": f"""
-        WITH d AS ({_shingle_rows('doc_id', 'documents')}), b AS ({_shingle_rows('item_id', 'benchmark')}),
+        WITH d AS ({_shingle_rows('doc_id', 'documents', '[1, 2, 3, 4, 5]')}), b AS ({_shingle_rows('item_id', 'benchmark', '[least(n, 5)]')}),
         n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
         SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS shared, CAST(any_value(n_shingles) AS INTEGER) AS n_shingles,
                CAST(count(*) AS DOUBLE) / any_value(n_shingles) AS containment
-        FROM d JOIN b USING (s) JOIN n USING (item_id)
+        FROM d JOIN b USING (k, s) JOIN n USING (item_id)
         GROUP BY doc_id, item_id HAVING count(*) * 5 >= any_value(n_shingles) * 4
     """,
     "op10_substring_dedup": r"""

@@ -105,8 +105,8 @@ def plain_words(text):
     return WORDS.findall(re.sub(r"[^\w\x20\x09-\x0D]|_", "", (text or "").lower()))
 
 
-def plain_shingles(words):
-    return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+def plain_shingles(words, size):
+    return {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if words and size else set()
 
 
 @pytest.mark.parametrize("block_bytes", [16 << 20, 2000])
@@ -114,21 +114,30 @@ def test_contained(spark, hard, block_bytes):
     df, rows = hard
     texts = [t for _, t in rows]
     some = [t.split() for t in texts[6:40] if t and len(t.split()) > 12]
-    items = [(k, " ".join(w)) for k, w in enumerate(some)] + [(90, None), (91, ""), (92, "w1 w2"), (93, " ".join(some[0][:-2] + ["other"])), (0, " ".join(some[0]))]
+    items = [(k, " ".join(w)) for k, w in enumerate(some)] + [(90, None), (91, ""), (92, "w1 w2"), (94, "W3!"), (95, " ".join(some[2][4:7])), (96, " ".join(some[3][-4:])), (97, "w1 not there"), (93, " ".join(some[0][:-2] + ["other"])), (0, " ".join(some[0]))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x")).withColumn("hash", F.lit(1))
     got = Counter((r.doc_id, r.item_id, r.shared) for r in decontaminate.contained_items(df, bench, block_bytes=block_bytes).collect())
-    want = Counter()
+    want, guilty = Counter(), 0
     for i, t in rows:
-        mine = plain_shingles(plain_words(t))
+        before = sum(want.values())
         for k, text in dict(items).items():
-            theirs = plain_shingles(plain_words(text))
+            size = min(5, len(plain_words(text)))
+            mine, theirs = plain_shingles(plain_words(t), size), plain_shingles(plain_words(text), size)
             if theirs and 5 * len(mine & theirs) >= 4 * len(theirs):
                 want[i, k, len(mine & theirs)] += 1
+        guilty += sum(want.values()) > before
     assert got == want and len(want) > 20
+    assert {k for _, k, _ in want} >= {92, 94, 95, 96} and sum(n for (_, k, _), n in want.items() if k == 94) > 5
     clean = decontaminate.drop_contaminated(df, bench)
-    assert clean.columns == df.columns
-    assert clean.count() == sum(not any(5 * len(plain_shingles(plain_words(t)) & s) >= 4 * len(s) for s in
-                                        (plain_shingles(plain_words(x)) for _, x in items) if s) for _, t in rows)
+    assert clean.columns == df.columns and clean.count() == len(rows) - guilty
+
+
+def test_short_items(spark):
+    """Items of one to four words are found inside longer texts, and only where their words stand in a row."""
+    docs = table(spark, ["We say the answer is forty two, and go on", "forty, two", "two forty", "the answer", None, "Forty"])
+    bench = spark.createDataFrame([(1, "answer is forty two"), (2, "Forty two."), (3, "forty"), (4, "the answer"), (5, "say answer")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, bench).collect())
+    assert got == [(0, 1), (0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (2, 3), (3, 4), (5, 3)]
 
 
 def test_broadcast_bytes(spark, monkeypatch):
@@ -340,6 +349,24 @@ def test_quality(spark, small):
     assert unfitted.filter("kept AND expected_grade IS NULL").count() == 1502
 
 
+def test_repeated_ids(spark):
+    """Scores do not depend on the order of rows, also where an id has several texts; the least digest counts."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i % 100, " ".join(rng.choices(words, k=12) + ["bad"] * (i % 3 == 0))) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+
+    def scores(order, parts):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        return Counter(map(tuple, quality.quality(docs, labels).collect()))
+
+    first = scores(rows, 1)
+    assert first == scores(rows[::-1], 7)
+    least = {i: min((t for j, t in rows if j == i), key=lambda t: hashlib.md5(t.encode()).hexdigest()) for i in range(100)}
+    model = quality.train(spark.createDataFrame(list(least.items()), "doc_id long, text string"), quality.graded(labels))
+    assert first == Counter((i, *quality.score(model, t.encode()), quality.score(model, t.encode())[1] >= quality.KEEP_FROM) for i, t in rows)
+
+
 def test_ordinal_gradient():
     """The fit finds the shifted thresholds of data drawn from the model."""
     rng = np.random.default_rng(0)
