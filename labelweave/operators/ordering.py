@@ -1,13 +1,14 @@
 """Global order without a global sort task: running totals, dense ids, seeded shuffles.
 
-Rows are range-partitioned by their order columns, whatever the types. Totals per range form a small
-table whose prefix sums give every range its offset, so the final window runs inside one range
-at a time.
+Rows are range-partitioned by their order columns, whatever the types, and sorted inside each range, which gives every row a
+place. Prefix sums have two levels: over the ranges, whose number is bounded, and over runs of some thousand places inside
+each range. The final window runs inside one such run, so no window grows with the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,10 @@ from ..functions.hashing import shuffle_key
 from ..session import materialise
 from .lookups import keyed_join, lookup_join
 
-ROWS_PER_RANGE = 200_000
+#: Rows that a range should have, and how many ranges at most (beyond that they grow).
+ROWS_PER_RANGE, MAX_RANGES = 200_000, 10_000
+#: Rows of a final window. Tables of up to ``SMALL_ROWS`` rows are one window as a whole.
+ROWS_PER_RUN, SMALL_ROWS = 4096, 20_000
 
 
 def running_total(
@@ -29,28 +33,39 @@ def running_total(
     """Add inclusive running sums of ``values`` in the order of ``order_cols`` within ``by``.
 
     Any orderable columns will do. Ranges are cut over all of ``by`` and ``order_cols``, so a hot first key is split
-    as well; there are as many as ``rows_per_range`` asks for. The ranged rows are stored once, as the
-    totals and the result must see the same ranges. Up to ``rows_per_range`` rows in all are one window.
+    as well. The placed rows are stored once, as the totals and the result must see the same places.
     """
     order = [F.col(c) for c in order_cols]
     rows = df.count()
-    if rows <= rows_per_range:
-        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    if rows <= min(rows_per_range, SMALL_ROWS):
+        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(*so_far)
         return df.withColumns({n: F.sum(v).over(whole) for n, v in values.items()})
-    cut = df.repartitionByRange(-(-rows // rows_per_range), *by, *order_cols)
-    ranged = materialise(cut.withColumn("_range", F.spark_partition_id()), "ranges")
-    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialise(totals.select(
-        *by, "_range", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_offset_{n}") for n in values]
-    ), "offsets")
-    inside = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    summed = keyed_join(ranged, offsets, [*by, "_range"], "inner")
-    return summed.withColumns(
-        {n: F.sum(v).over(inside) + F.col(f"_offset_{n}") for n, v in values.items()}
-    ).drop("_range", *[f"_offset_{n}" for n in values])
+    ranges = min(-(-rows // rows_per_range), MAX_RANGES)
+    cut = df.repartitionByRange(ranges, *by, *order_cols).sortWithinPartitions(*by, *order_cols)
+    # The place has the number of the range in its upper bits and that of the row in its range in the lower 33.
+    placed = materialise(cut.withColumn("_place", F.monotonically_increasing_id()), "places")
+    run = F.floor(F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) / min(ROWS_PER_RUN, rows_per_range)).cast("long")
+    placed = placed.withColumns({"_range": F.shiftright("_place", 33), "_run": run})
+    runs = placed.groupBy(*by, "_range", "_run").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])
+    per_range = runs.groupBy(*by, "_range").agg(*[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in values])
+
+    def before(sums: DataFrame, keys: Sequence[str], place: str, out: str) -> DataFrame:
+        earlier = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(*keys, place, *[F.sum(f"_sum_{n}").over(earlier).alias(f"{out}_{n}") for n in values])
+
+    in_range = before(runs, [*by, "_range"], "_run", "_inner")
+    offsets = materialise(keyed_join(in_range, before(per_range, list(by), "_range", "_outer"), [*by, "_range"], "inner"), "offsets")
+    summed = keyed_join(placed, offsets, [*by, "_range", "_run"], "inner")
+    inside = Window.partitionBy(*by, "_range", "_run").orderBy("_place").rowsBetween(*so_far)
+
+    def total(name: str, value: Column):
+        parts = [F.sum(value).over(inside), F.col(f"_inner_{name}"), F.col(f"_outer_{name}")]
+        added = reduce(lambda x, y: x + y, [F.coalesce(p, F.lit(0)) for p in parts])
+        return F.when(F.coalesce(*parts).isNotNull(), added)
+
+    spare = ["_place", "_range", "_run", *[f"{level}_{n}" for level in ("_inner", "_outer") for n in values]]
+    return summed.withColumns({n: total(n, v) for n, v in values.items()}).drop(*spare)
 
 
 def dense_id(
