@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -22,14 +23,16 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: A phrase goes if a longer one that holds it has this share (in hundredths) of its occurrences.
 HELD_SHARE = 80
 SCALE = 2_000_000
-#: Bits of the filters of frequent phrases: 16 MB.
-FILTER_BITS = 1 << 27
+#: Bits of the filters of frequent phrases: 8 MB.
+FILTER_BITS = 1 << 26
 #: Rows that a task combines before they are shuffled, and text bytes taken up at a time.
-HELD_ROWS, CHUNK_BYTES = 1 << 21, 1 << 20
+HELD_ROWS, CHUNK_BYTES = 1 << 21, 1 << 19
 #: Words whose counts a task holds.
 HELD_WORDS = 1 << 18
 #: Candidate phrases, and bytes of them, in one trie.
 TRIE_PHRASES, TRIE_BYTES = 1 << 18, 32 << 20
+#: The texts of one such part, by their hash, name most candidates; the others are searched for the rest.
+NAMING_PARTS = 16
 #: Parts into which a language's candidates are dealt for ranking.
 RANK_PARTS = 64
 
@@ -37,6 +40,7 @@ RANK_PARTS = 64
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)
 _END = b"\xff"
 _BREAK = re.compile(rb"[ \t.,;:!?\x0a-\x0d]")
+_SHIFTS = (0, 32)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -133,7 +137,7 @@ class _Keys(dict):
 class _Keyed:
     """Phrase keys of chunks: that of a phrase of k words comes from those of its first and its last k - 1 words."""
 
-    def __init__(self, limit: int = 1 << 18) -> None:
+    def __init__(self, limit: int = 1 << 17) -> None:
         self.langs: dict[str, int] = {}
         self.keys: list[_Keys] = []
         self.limit = limit
@@ -168,8 +172,12 @@ def _combined(keys: np.ndarray) -> pa.RecordBatch:
 
 
 def _in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(8 * len(bits) - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Whether both bits of each key are set."""
+    out = np.ones(len(keys), bool)
+    for shift in _SHIFTS:
+        at = keys >> np.uint64(shift) & np.uint64(8 * len(bits) - 1)
+        out &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _narrow(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -207,9 +215,11 @@ def _word_batches(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
 
 
 def _filter_of(keys: DataFrame) -> Broadcast:
-    """A bit for each key, at its lowest bits: 16 MB whatever the number of keys, so some others pass as well."""
-    place = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1  # Spark's bitmaps count from one
-    parts = keys.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
+    """Two bits for each key, 8 MB whatever the number of keys, so a few others pass as well."""
+    places = [F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1 for shift in _SHIFTS]  # bitmaps count from one
+    parts = keys.select(F.explode(F.array(*places)).alias("place")).select(
+        F.bitmap_bucket_number("place").alias("part"), F.bitmap_bit_position("place").alias("bit")
+    )
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         piece = np.frombuffer(row["bits"], np.uint8)
@@ -244,104 +254,122 @@ def _bounds(docs: DataFrame, size: int, filters: list[Broadcast], least: int) ->
     return counted.filter(F.col("n") >= least).select("key")
 
 
-def _candidates(docs: DataFrame, filters: list[Broadcast], safe: DataFrame) -> DataFrame:
-    """(lang, words, phrase): the phrases behind the keys in ``safe``. Filters, by length, keep others in the tasks."""
+def _phrases(docs: DataFrame, filters: list[Broadcast], wanted: list[Broadcast]) -> DataFrame:
+    """(lang, words, phrase, key): the phrases behind the keys that pass ``wanted``, by length from two words on.
+
+    ``filters``, from one word on, are those that longer phrases rest on.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed, seen = _Keyed(), np.zeros(0, np.uint64)
+        keyed, seen = _Keyed(), set()
         for chunk in _chunks(batches, keyed.langs):
             keys, valid = keyed.words(chunk)
-            rows, names, new = [], list(keyed.langs), [seen]
-            for size, bits in enumerate(filters, 1):
-                valid &= _in_filter(keys, bits.value)
-                if size > 1:
-                    at = np.flatnonzero(valid & chunk.own)
-                    distinct, first = np.unique(keys[at], return_index=True)
-                    fresh = ~np.isin(distinct, seen)
-                    new.append(distinct[fresh])
-                    for key, place in zip(distinct[fresh].view(np.int64).tolist(), at[first[fresh]].tolist(), strict=True):
-                        rows.append((names[chunk.langs[place]], size, chunk.phrase(place, size), key))
-                if size < len(filters):
-                    keys, valid = keyed.longer(keys, valid)
-            seen = np.concatenate(new) if sum(map(len, new)) < HELD_ROWS else np.zeros(0, np.uint64)
-            if rows:
-                langs, sizes, phrases, hashes = zip(*rows, strict=True)
+            words, names = None, pa.array(list(keyed.langs), pa.string())
+            for size, (bits, chosen) in enumerate(zip(filters[1:], wanted, strict=True), 2):
+                valid &= _in_filter(keys, filters[size - 2].value)
+                keys, valid = keyed.longer(keys, valid)
+                at = np.flatnonzero(valid & chunk.own)
+                at = at[_in_filter(keys[at], bits.value)]
+                if chosen is not bits:
+                    at = at[_in_filter(keys[at], chosen.value)]
+                distinct, first = np.unique(keys[at], return_index=True)
+                fresh = np.array([k not in seen for k in distinct.tolist()], bool)
+                if not fresh.any():
+                    continue
+                seen.update(distinct[fresh].tolist())
+                words = pa.array(chunk.words, pa.binary()) if words is None else words
+                place = at[first[fresh]]
+                phrase = pc.binary_join_element_wise(*[words.take(pa.array(place + k)) for k in range(size)], b" ")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(hashes, pa.int64())],
+                    [names.take(pa.array(chunk.langs[place])), pa.array(np.full(len(place), size, np.int32)), phrase.cast(pa.string()),
+                     pa.array(distinct[fresh].view(np.int64))],
                     ["lang", "words", "phrase", "key"],
                 )
+            if len(seen) > HELD_ROWS // 2:
+                seen.clear()
 
-    found = docs.mapInArrow(run, "lang string, words int, phrase string, key long")
-    return found.join(safe, ["words", "key"], "left_semi").select("lang", "words", "phrase").distinct()
+    return docs.mapInArrow(run, "lang string, words int, phrase string, key long").distinct()
+
+
+def _candidates(docs: DataFrame, filters: list[Broadcast], safe: list[DataFrame]) -> DataFrame:
+    """(lang, words, phrase): the phrases behind the keys in ``safe``, by length from two words on.
+
+    A frequent phrase is likely to occur in any sixteenth of the texts, so these are named first; then all texts are searched
+    for keys that are still without a phrase. A key names one phrase; that two frequent phrases share all 64 bits has a chance
+    of one in ten million at a million phrases. What is counted afterwards are words, not keys.
+    """
+    keys = reduce(DataFrame.unionByName, safe)
+    part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(NAMING_PARTS)) == 0)
+    first = materialise(_phrases(part, filters, filters[1:]).join(keys, ["words", "key"], "left_semi"), "named")
+    rest = materialise(keys.join(first, ["words", "key"], "left_anti"), "unnamed")
+    wanted = [_filter_of(rest.filter(F.col("words") == size)) for size in range(2, len(filters) + 1)]
+    second = _phrases(docs, filters, wanted).join(rest, ["words", "key"], "left_semi")
+    return first.unionByName(second.select(*first.columns)).select("lang", "words", "phrase").distinct()
 
 
 class Trie:
     """A double-array trie of phrases: ``base[s] + code`` is the child of state s by a word, if ``check`` there is s.
 
     State numbers are places in the arrays. Words have codes from 1 on; every language has a root of its own.
+    A quarter of the places is taken at most.
     """
 
     def __init__(self, langs: list[str], phrases: list[list[bytes]]) -> None:
         """``phrases`` are lists of words; ``ends`` are their states."""
         self.codes = {w: i for i, w in enumerate(sorted({w for p in phrases for w in p}), 1)}
-        names = sorted(set(langs))
-        children: dict[tuple, set[int]] = {}
-        for lang, words in zip(langs, phrases, strict=True):
-            at: tuple = (lang,)
-            for word in words:
-                code = self.codes[word]
-                children.setdefault(at, set()).add(code)
-                at = (*at, code)
-        self.roots = {lang: i for i, lang in enumerate(names)}
-        used = np.zeros(len(names) + len(self.codes) + 1, bool)
-        used[: len(names)] = True
-        places: dict[tuple, tuple[int, np.ndarray]] = {}
-        lone, lowest = [], len(names)
-        # Nodes of many children first, each at the first place that fits all of them; single children fill the gaps.
-        for node in sorted(children, key=lambda n: (-len(children[n]), n)):
-            codes = np.array(sorted(children[node]), np.int64)
-            if len(codes) == 1:
-                lone.append((node, int(codes[0])))
-                continue
-            base, lowest = self._fit(used, codes, lowest)
-            over = base + int(codes[-1]) + 1 - len(used)
-            if over > 0:
-                used = np.concatenate([used, np.zeros(max(over, len(used)), bool)])
-            used[base + codes] = True
-            places[node] = (base, codes)
-        used = np.concatenate([used, np.zeros(len(lone), bool)])
-        for (node, code), place in zip(lone, np.flatnonzero(~used).tolist(), strict=False):
-            places[node] = (place - code, np.array([code]))
-        self.size = len(names) + max((base + int(codes[-1]) + 1 for base, codes in places.values()), default=0)
+        self.roots = {lang: i for i, lang in enumerate(sorted(set(langs)))}
+        longest = max(map(len, phrases))
+        table = np.zeros((len(phrases), longest), np.int64)
+        for k in range(longest):
+            table[:, k] = [self.codes[p[k]] if k < len(p) else 0 for p in phrases]
+        # Nodes are numbered level by level, roots first; an edge is (parent, code) and its child the next number.
+        node = np.array([self.roots[lang] for lang in langs])
+        parents, codes, total = [], [], len(self.roots)
+        for k in range(longest):
+            rows = np.flatnonzero(table[:, k])
+            edge, child = np.unique(node[rows] * (len(self.codes) + 1) + table[rows, k], return_inverse=True)
+            parents.append(edge // (len(self.codes) + 1))
+            codes.append(edge % (len(self.codes) + 1))
+            node[rows] = total + child
+            total += len(edge)
+        self._place(np.concatenate(parents), np.concatenate(codes), node)
+
+    def _place(self, parents: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> None:
+        """Give every node with children a base, at random, so that no two children share a place; most children first."""
+        roots, edges = len(self.roots), len(parents)
+        order = np.lexsort((codes, parents))
+        owners, begins, sizes = np.unique(parents[order], return_index=True, return_counts=True)
+        self.size = roots + 4 * edges + len(self.codes) + 64
+        used, base = np.zeros(self.size, bool), np.zeros(len(owners), np.int64)
+        used[:roots] = True
+        draw = np.random.default_rng(7)
+        waiting = np.argsort(-sizes, kind="stable")
+        # Ever larger groups of ever smaller nodes: a large node alone, then some thousand small ones in each round.
+        while len(waiting):
+            many = 1 if sizes[waiting[0]] > 64 else 64 if sizes[waiting[0]] > 8 else len(waiting)
+            nodes = waiting[:many]
+            count = sizes[nodes]
+            edge = order[np.repeat(begins[nodes], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+            highest = codes[order[begins[nodes] + count - 1]]
+            tried = draw.integers(roots, self.size - highest)
+            places = np.repeat(tried, count) + codes[edge]
+            of = np.repeat(np.arange(len(nodes)), count)
+            # Of nodes that want one place in this round, the first may have it.
+            _, first = np.unique(places, return_index=True)
+            alone = np.zeros(len(places), bool)
+            alone[first] = True
+            fits = np.bincount(of, used[places] | ~alone, len(nodes)) == 0
+            used[places[fits[of]]] = True
+            base[nodes[fits]] = tried[fits]
+            waiting = np.concatenate([nodes[~fits], waiting[many:]])
+        state = np.arange(roots + edges)
+        bases = np.zeros(roots + edges, np.int64)
+        bases[owners] = base
+        state[roots:] = bases[parents] + codes
         self.base, self.check = np.zeros(self.size, np.int32), np.full(self.size, -1, np.int32)
-        # From the roots down, now that every node's children have their places.
-        state = {(lang,): i for lang, i in self.roots.items()}
-        for node in sorted(places, key=len):
-            base, codes = places[node]
-            own = state[node]
-            self.base[own] = base
-            self.check[base + codes] = own
-            for code in codes.tolist():
-                state[(*node, code)] = base + code
-        self.ends = np.array([state[(lang, *map(self.codes.__getitem__, words))] for lang, words in zip(langs, phrases, strict=True)], np.int64)
-
-    @staticmethod
-    def _fit(used: np.ndarray, codes: np.ndarray, lowest: int) -> tuple[int, int]:
-        """The least base, from the first free place on, that puts all codes on free places, and that first free place."""
-        offsets = codes - codes[0]
-        first, at = None, lowest
-        while at < len(used):
-            free = at + np.flatnonzero(~used[at : at + 1024])
-            for i in range(0, len(free), 64):
-                some = free[i : i + 64]
-                first = int(some[0]) if first is None else first
-                places = some[:, None] + offsets
-                taken = used[np.minimum(places, len(used) - 1)] & (places < len(used))
-                fits = ~taken.any(axis=1)
-                if fits.any():
-                    return int(some[fits.argmax()] - codes[0]), first
-            at += 1024
-        return int(len(used) - codes[0]), len(used) if first is None else first
+        self.base[state[owners]] = base
+        self.check[state[roots:]] = state[parents]
+        self.ends = state[ends]
 
     def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """States after one more word; -1 where there is none. Word code 0 and state -1 lead nowhere."""
@@ -435,7 +463,7 @@ def collocations(
     for size in range(2, longest + 1):
         safe.append(materialise(_bounds(narrow, size, filters, least).withColumn("words", F.lit(size)), "bounds"))
         filters.append(_filter_of(safe[-1]))
-    candidates = materialise(_candidates(narrow, filters, reduce(DataFrame.unionByName, safe)), "candidates")
+    candidates = materialise(_candidates(narrow, filters, safe), "candidates")
     counted = [c.filter(F.col("n") >= least) for c in _counted(narrow, candidates, longest, trie_phrases)]
     counts = frequent.select("lang", F.lit(1).alias("words"), F.col("word").alias("phrase"), "n")
     for part in counted:
