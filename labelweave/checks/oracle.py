@@ -78,17 +78,21 @@ def stem(w: str) -> str:
 
 
 def lemma(w: str) -> str:
+    return f"coalesce(({mapping(LEMMA_EXCEPTIONS)})[{w}], {plain_lemma(w)})"
+
+
+def plain_lemma(w: str) -> str:
     def cut(n: int) -> str:
         return f"substr({w}, 1, len({w}) - {n})"
 
     return (
-        f"coalesce(({mapping(LEMMA_EXCEPTIONS)})[{w}], CASE "
+        f"CASE "
         f"WHEN len({w}) > 4 AND {w} LIKE '%ies' THEN {cut(3)} || 'y' "
         f"WHEN len({w}) > 4 AND regexp_matches({w}, '(ss|sh|ch|x|z)es$') THEN {cut(2)} "
         f"WHEN len({w}) > 3 AND {w} LIKE '%s' AND NOT regexp_matches({w}, '(ss|us|is)$') THEN {cut(1)} "
         f"WHEN len({w}) > 5 AND regexp_matches({w}, '[aeiouy].*ing$') THEN {stem(cut(3))} "
         f"WHEN len({w}) > 4 AND regexp_matches({w}, '[aeiouy].*ed$') THEN {stem(cut(2))} "
-        f"ELSE {w} END)"
+        f"ELSE {w} END"
     )
 
 
@@ -545,6 +549,15 @@ ORACLE: dict[str, str] = {
     "full_clean": f"WITH {staged_full(FULL_DOCS, 'doc_id', 'cleaned')} SELECT * FROM cleaned",
     "preprocess_full": f"""WITH {staged_full(f"SELECT conv_id, turn, {soft('text')} AS txt FROM conversations", 'conv_id, turn', 'cleaned')}
         SELECT * FROM cleaned""",
+    "preprocess_soft": f"SELECT conv_id, turn, {soft('text')} AS soft_text FROM conversations",
+    "clean_by_dictionary": f"""WITH {staged_full("SELECT doc_id, text AS txt FROM documents", 'doc_id', 'unused')},
+        dictionary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS word FROM documents),
+        placed AS (SELECT doc_id, unnest({words('txt')}) AS word, unnest(range(len({words('txt')}))) AS place FROM s4),
+        based AS (SELECT doc_id, place, CASE WHEN d.word IS NULL THEN {plain_lemma('p.word')} ELSE substr(p.word, 1, 5) END AS word
+            FROM placed p LEFT JOIN dictionary d USING (word))
+        SELECT doc_id, coalesce(full_text, '') AS full_text FROM documents LEFT JOIN (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS full_text FROM based
+            WHERE NOT list_contains({word_list(STOP_WORDS)}, word) GROUP BY doc_id) USING (doc_id)""",
     "replace_tokens": f"""SELECT doc_id, array_to_string(list_transform(
         regexp_extract_all(text, {quoted(f'{SPACE}+|{NOT_SPACE}+')}),
         lambda p: CASE p WHEN 'the' THEN 'THE' WHEN 'que' THEN 'QUE' WHEN 'und' THEN '' ELSE p END), '') AS text FROM documents""",
@@ -600,9 +613,10 @@ ORACLE: dict[str, str] = {
     "stratified_split_lines": three_way(f"SELECT {', '.join(LINE_ID)}, l_returnflag FROM lineitem", LINE_ID, "l_returnflag"),
     "plain_split": split("SELECT o_orderkey FROM orders", ["o_orderkey"], None, [0.1], ["test", "train"]),
     "split_quotas": quotas("SELECT * FROM events", "event_type", [TEST_SHARE, VALIDATION_SHARE]),
-    "texts_in_benchmark": f"SELECT doc_id FROM documents WHERE text IN (SELECT text FROM ({TURNS}))",
+    "texts_in_benchmark": """SELECT doc_id, length(text)::INT AS n_characters FROM (
+        SELECT doc_id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark) WHERE text IN (SELECT text FROM benchmark)""",
     "texts_not_in_documents": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) = 1)",
-    "key_difference": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "key_difference": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000",
     "distinct_labels": "SELECT DISTINCT lang, source FROM documents",
     "stack_tables": """SELECT doc_id, lang, length(text)::INT AS n_characters FROM documents
         UNION ALL SELECT item_id, NULL, length(text)::INT FROM benchmark""",
@@ -642,6 +656,8 @@ ORACLE: dict[str, str] = {
     "augment_all": f"WITH {augmentation('SELECT doc_id, text FROM documents')} SELECT * FROM variants",
     "synonym_lists": f"""SELECT word, n, array_to_string(synonyms, '|') AS synonyms FROM (
         SELECT word, count(*) AS n FROM (SELECT unnest({words('text')}) AS word FROM documents) GROUP BY word) JOIN ({SYNONYMS}) USING (word)""",
+    "balanced_table": f"""SELECT doc_id, toxic, text, FALSE AS is_augmented, 0 AS variant FROM {LABELLED} UNION ALL
+        SELECT doc_id, toxic, text, TRUE, variant::INT FROM ({balanced(f"SELECT * FROM {LABELLED}", "toxic", "toxic = 1")})""",
     "balance_class": balanced(f"SELECT * FROM {LABELLED}", "toxic", "toxic = 1"),
     "balance_all": balanced("SELECT * FROM documents", "lang"),
     "new_texts": f"""WITH {augmentation('SELECT doc_id, text FROM documents')}
@@ -701,6 +717,7 @@ ORACLE: dict[str, str] = {
         FROM ({score_groups(OVR, 'class')}) UNION ALL SELECT unnest(range(10))::INT, 'inf'::DOUBLE, 0.0, 0.0""",
     "predictions": f"""SELECT true_label, {', '.join(f'round(q[{i + 1}], 6) AS prob_class_{i}' for i in range(10))},
         pred_label::INT AS pred_label FROM ({CLASS_SCORES})""",
+    "model_input": f"SELECT {soft('text')} AS text, toxic::INT AS label FROM {LABELLED}",
     "metric_headers": "SELECT "
     + ", ".join(f'round({m}, 6) AS "{METRIC_HEADERS[m]}"' for m in ["threshold", *METRICS] if m in METRIC_HEADERS and "macro" not in m)
     + f" FROM ({metric_row(SCORED, '0.6::DOUBLE')})",
@@ -733,3 +750,12 @@ ORACLE: dict[str, str] = {
         SELECT toxic, count(*) AS n FROM src WHERE doc_id IN ({kept_ids('SELECT * FROM src', ['text', 'soft'], 'toxic')}) GROUP BY toxic""",
     "group_noise": f"SELECT event_id, round({uniform('event_id', quoted('noise'))}, 9) AS noise FROM events",
 }
+
+#: The columns of the metrics file of several classes, under their published headers.
+MULTICLASS_COLUMNS = [c for c in METRIC_HEADERS if c in ("accuracy", "balanced_accuracy", "mcc", "kappa") or "macro" in c or c == "roc_auc_ovr"]
+ORACLE["judge_multiclass_metrics"] = (
+    "SELECT " + ", ".join(f'{c} AS "{METRIC_HEADERS[c]}"' for c in MULTICLASS_COLUMNS)
+    + f" FROM ({ORACLE['multiclass_metrics']}), ({ORACLE['ovr_areas']})"
+)
+ORACLE["judge_multiclass_predictions"] = ORACLE["predictions"]
+ORACLE["nearest_by_regions"] = ORACLE["nearest_label"]

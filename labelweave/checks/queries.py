@@ -14,6 +14,7 @@ from ..operators import (
     augment,
     balance,
     build,
+    cleaning,
     duplicates,
     encode,
     evaluate,
@@ -120,10 +121,26 @@ def full_clean(spark, sf):
 
 @query
 def preprocess_full(spark, sf):
-    cleaned = text.full_clean(text.soft_clean(F.col("text")), stop_words=STOP_WORDS)
+    cleaned = text.preprocess(F.col("text"), soft=False, stop_words=STOP_WORDS)
     return table(spark, sf, "conversations").select("conv_id", "turn", cleaned.alias("full_text"))
 
 
+@query
+def preprocess_soft(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.preprocess(F.col("text")).alias("soft_text"))
+
+
+@query
+def clean_by_dictionary(spark, sf):
+    """Full cleaning with a lemma dictionary of over 100 000 entries, partly the words of the texts."""
+    frame = docs(spark, sf).select("doc_id", "text")
+    own = frame.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("word")).distinct()
+    more = spark.range(100_000).select(F.concat(F.lit("qz"), F.col("id").cast("string")).alias("word"))
+    lemmas = own.unionByName(more).select("word", F.substring("word", 1, 5).alias("lemma"))
+    cleaned = cleaning.clean_texts(frame, "doc_id", "text", lemmas=lemmas, stop_words=STOP_WORDS)
+    return cleaned.select("doc_id", "full_text")
+
+
 @query
 def replace_tokens(spark, sf):
     changes = spark.createDataFrame([("the", "THE"), ("que", "QUE"), ("und", "")], "word string, replacement string")
@@ -389,7 +406,10 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def texts_in_benchmark(spark, sf):
-    return tables.rows_with_text_in(docs(spark, sf), "text", turns(spark, sf)).select("doc_id")
+    """Of documents and benchmark items in one table, those whose text is a benchmark item's."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    pooled = tables.stack(docs(spark, sf).select("doc_id", "text"), items)
+    return tables.rows_with_text_in(pooled, "text", items).select("doc_id", F.length("text").alias("n_characters"))
 
 
 @query
@@ -402,7 +422,8 @@ def texts_not_in_documents(spark, sf):
 
 @query
 def key_difference(spark, sf):
-    buyers = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order above 400 000."""
+    buyers = table(spark, sf, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return tables.key_difference(table(spark, sf, "customer"), buyers, ["c_custkey"])
 
 
@@ -603,6 +624,15 @@ def majority_size(frame: DataFrame, label: str) -> int:
     return profile.class_distribution(frame, label).agg(F.max("n")).first()[0]
 
 
+@query
+def balanced_table(spark, sf):
+    """Originals and the texts that fill the smaller class, in one table."""
+    frame = labelled_documents(spark, sf)
+    return balance.balanced_table(
+        frame, "doc_id", "text", "toxic", synonyms(spark), SEED, target_size=majority_size(frame, "toxic"), classes=[1], stop_words=STOP_WORDS
+    )
+
+
 @query
 def balance_class(spark, sf):
     frame = labelled_documents(spark, sf)
@@ -859,9 +889,37 @@ def metric_headers(spark, sf):
     return rounded(named, named.columns)
 
 
+@query
+def judge_multiclass_metrics(spark, sf):
+    """The metrics file of a judged test set of ten classes, read back."""
+    folder = stage_path(spark, "judged")
+    judging.judge_multiclass(scored_classes(spark, sf), "true_label", "probabilities", 10, folder)
+    found = spark.read.option("header", True).csv(f"{folder}/test_metrics.csv")
+    return rounded(found.select(*[F.col(c).cast("double").alias(c) for c in found.columns]), found.columns)
+
+
+@query
+def judge_multiclass_predictions(spark, sf):
+    """The predictions file of the same, read back."""
+    folder = stage_path(spark, "judged")
+    judging.judge_multiclass(scored_classes(spark, sf), "true_label", "probabilities", 10, folder)
+    found = spark.read.option("header", True).csv(f"{folder}/test_predictions.csv")
+    columns = [F.col(c).cast("double" if c.startswith("prob") else "int").alias(c) for c in found.columns]
+    return rounded(found.select(*columns), [c for c in found.columns if c.startswith("prob")])
+
+
 # --- files, streams, pipelines ----------------------------------------------------------------
 
 
+@query
+def model_input(spark, sf):
+    """A prepared part, stored and read again as a classifier's input."""
+    path = stage_path(spark, "part")
+    prepared = labelled_documents(spark, sf).select("doc_id", text.soft_clean(F.col("text")).alias("tweet_soft"), F.col("toxic").alias("label"))
+    writers.write_table(prepare.model_input(prepared).withColumn("spare", F.lit(1)), path)
+    return readers.read_model_input(spark, path)
+
+
 @query
 def csv_round_trip(spark, sf):
     frame = docs(spark, sf).select("doc_id", text.soft_clean(F.col("text")).alias("text"), "lang")

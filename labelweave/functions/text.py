@@ -110,27 +110,36 @@ def soft_clean(col: Column) -> Column:
 def _lookup(key: Column, table: Mapping[str, str], otherwise: Column) -> Column:
     """Literal-table lookup: a hash-set test first, so that misses stay cheap."""
     if len(table) > LITERAL_LIMIT:
-        raise ValueError("use operators.lookups.replace_tokens for large tables")
+        raise ValueError("use operators.cleaning.clean_texts for large tables")
     entries = F.create_map(*[F.lit(part) for pair in table.items() for part in pair])
     return F.when(key.isin(*table), F.element_at(entries, key)).otherwise(otherwise)
 
 
+def contraction_parts(piece: Column) -> tuple[Column, Column, Column]:
+    """Punctuation before, core and punctuation after of a piece with an apostrophe; other pieces are all core."""
+    shape = r"(?s)^([^\p{L}\p{N}']*)(.*?)([^\p{L}\p{N}]*)$"
+    marked = piece.contains("'")
+    head, core, tail = (F.when(marked, F.regexp_extract(piece, shape, k)) for k in (1, 2, 3))
+    return head.otherwise(""), core.otherwise(piece), tail.otherwise("")
+
+
+def put_contraction(piece: Column, head: Column, core: Column, tail: Column, long: Column) -> Column:
+    """The piece with its core written out as ``long``, if there is one; a capital stays."""
+    capital = F.concat(F.upper(F.substring(long, 1, 1)), F.substr(long, F.lit(2)))
+    cased = F.when(core.rlike("^[A-Z]"), capital).otherwise(long)
+    return F.when(long.isNull(), piece).otherwise(F.concat(head, cased, tail))
+
+
 def expand_contractions(col: Column, table: Mapping[str, str] = CONTRACTIONS) -> Column:
     """Replace contracted words; surrounding punctuation and white space stay."""
-    shape = r"(?s)^([^\p{L}\p{N}']*)(.*?)([^\p{L}\p{N}]*)$"
     plain = F.replace(col, F.lit("’"), F.lit("'"))
     bare = [re.escape(k) for k in table if "'" not in k]
     worth = f"'|(?iu)(?:^|{SPACE})(?:{'|'.join(bare)})(?:{SPACE}|$)" if bare else "'"
     pieces = F.regexp_extract_all(plain, F.lit(f"{SPACE}+|{NOT_SPACE}+"), F.lit(0))
 
     def expand(piece: Column) -> Column:
-        core = F.when(piece.contains("'"), F.regexp_extract(piece, shape, 2)).otherwise(piece)
-        long = _lookup(F.lower(core), table, F.lit(None))
-        capital = F.concat(F.upper(F.substring(long, 1, 1)), F.substr(long, F.lit(2)))
-        cased = F.when(core.rlike("^[A-Z]"), capital).otherwise(long)
-        head = F.when(piece.contains("'"), F.regexp_extract(piece, shape, 1)).otherwise("")
-        tail = F.when(piece.contains("'"), F.regexp_extract(piece, shape, 3)).otherwise("")
-        return F.when(long.isNull(), piece).otherwise(F.concat(head, cased, tail))
+        head, core, tail = contraction_parts(piece)
+        return put_contraction(piece, head, core, tail, _lookup(F.lower(core), table, F.lit(None)))
 
     return F.when(plain.rlike(worth), F.array_join(F.transform(pieces, expand), "")).otherwise(plain)
 
@@ -145,12 +154,17 @@ def _restore_stem(stem: Column) -> Column:
 
 def lemma(word: Column, exceptions: Mapping[str, str] = LEMMA_EXCEPTIONS) -> Column:
     """Dictionary form of a lower-case word: exception table, then suffix rules."""
+    return _lookup(word, exceptions, suffix_lemma(word))
+
+
+def suffix_lemma(word: Column) -> Column:
+    """Dictionary form of a lower-case word by its ending."""
     size = F.length(word)
 
     def cut(n: int) -> Column:
         return F.substr(word, F.lit(1), size - n)
 
-    by_suffix = (
+    return (
         F.when((size > 4) & word.endswith("ies"), F.concat(cut(3), F.lit("y")))
         .when((size > 4) & word.rlike("(ss|sh|ch|x|z)es$"), cut(2))
         .when((size > 3) & word.endswith("s") & ~word.rlike("(ss|us|is)$"), cut(1))
@@ -158,7 +172,6 @@ def lemma(word: Column, exceptions: Mapping[str, str] = LEMMA_EXCEPTIONS) -> Col
         .when((size > 4) & word.rlike("[aeiouy].*ed$"), _restore_stem(cut(2)))
         .otherwise(word)
     )
-    return _lookup(word, exceptions, by_suffix)
 
 
 def lemmatise(col: Column, exceptions: Mapping[str, str] = LEMMA_EXCEPTIONS) -> Column:
