@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,10 @@ def imbalance_ratio(df: DataFrame, label_col: str) -> DataFrame:
 
 def binary_shares(df: DataFrame, label_col: str) -> DataFrame:
     """Share of each 0/1 class, labelled No and Yes."""
-    counts = class_distribution(df, label_col)
+    return _shares(class_distribution(df, label_col), label_col)
+
+
+def _shares(counts: DataFrame, label_col: str) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy())
     name = F.when(F.col(label_col) == 0, "No").when(F.col(label_col) == 1, "Yes")
     return counts.select(
@@ -50,25 +53,28 @@ def _blank(df: DataFrame, column: str) -> Column:
 
 def missing_and_blank(df: DataFrame) -> DataFrame:
     """Per column: missing values and blank strings, all from one pass."""
-    sums = df.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)],
-        *[_blank(df, c).alias(f"b{i}") for i, c in enumerate(df.columns)],
-    )
+    return _column_rows(df.agg(*_column_counts(df)), df.columns)
+
+
+def _column_counts(df: DataFrame) -> list[Column]:
+    """Counts of missing values, m0, m1, …, and of blanks, b0, b1, …, of the columns."""
+    missing = [F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
+    return missing + [_blank(df, c).alias(f"b{i}") for i, c in enumerate(df.columns)]
+
+
+def _column_rows(sums: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"), F.col(f"b{i}").alias("blank"))
-            for i, c in enumerate(df.columns)
+            for i, c in enumerate(columns)
         ]
     )
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def _text_means(text: Column) -> Mapping[str, Column]:
+def _measures(text: Column) -> Mapping[str, Column]:
     return {
-        "mean_chars": F.avg(F.length(text)),
-        "mean_words": F.avg(word_count(text)),
-        "mean_hashtags": F.avg(hashtag_count(text)),
-        "mean_emoji": F.avg(emoji_count(text)),
+        "mean_chars": F.length(text), "mean_words": word_count(text), "mean_hashtags": hashtag_count(text), "mean_emoji": emoji_count(text),
     }
 
 
@@ -78,8 +84,8 @@ def text_means(df: DataFrame, text_col: str, null_as_text: bool = True) -> DataF
     Missing texts count as the word ``nan`` unless ``null_as_text`` is off.
     """
     require_columns(df, [text_col])
-    means = _text_means(as_text(F.col(text_col), null_as_text))
-    return df.agg(*[m.alias(n) for n, m in means.items()])
+    measures = _measures(as_text(F.col(text_col), null_as_text))
+    return df.agg(*[F.avg(m).alias(n) for n, m in measures.items()])
 
 
 def histogram(df: DataFrame, value_col: str, bins: int = 30) -> DataFrame:
@@ -123,9 +129,10 @@ def before_after_counts(before: DataFrame, after: DataFrame, label_col: str) ->
 
 
 def overview(df: DataFrame, text_col: str, label_col: str, id_col: str, binary_col: str | None = None) -> DataFrame:
-    """All profiles in one long table (metric, key, value).
+    """All profiles in one long table (metric, key, value), from two passes.
 
-    The duplicate figures share one stored table of text groups.
+    One pass adds everything up per class, and per binary value, into a small stored table from which classes, missing
+    values and means follow. The other makes the table of text groups, which the duplicate figures share.
     """
     require_columns(df, [text_col, label_col, id_col])
 
@@ -140,20 +147,33 @@ def overview(df: DataFrame, text_col: str, label_col: str, id_col: str, binary_c
         pairs = F.create_map(*[p for c in frame.columns for p in (F.lit(c), F.col(c).cast("double"))])
         return frame.select(F.explode(pairs).alias("metric", "value")).select("metric", F.lit("").alias("key"), "value")
 
-    columns = missing_and_blank(df)
+    measures = _measures(as_text(F.col(text_col), True))
+    keys = list(dict.fromkeys([label_col, *([binary_col] if binary_col else [])]))
+    sums = [F.sum(m.cast("long")).alias(n) for n, m in measures.items()]
+    named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]
+    per_class = materialise(df.groupBy(*named).agg(F.count(F.lit(1)).alias("n"), *_column_counts(df), *sums), "profile")
+
+    def classes(key: str) -> DataFrame:
+        return per_class.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("label")).agg(F.sum("n").alias("n"))
+
+    places = range(len(df.columns))
+    totals = per_class.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for i in places for c in (f"m{i}", f"b{i}")])
+    columns = _column_rows(totals, df.columns)
+    means = per_class.agg(*[F.try_divide(F.sum(n).cast("double"), F.sum("n")).alias(n) for n in measures])
     groups = materialise(text_groups(df, [text_col], label_col, id_col).drop("text_key"), "groups")
+    ratio = classes("k0").agg(F.try_divide(F.max("n").cast("double"), F.min("n")).alias("imbalance_ratio"))
     parts = [
-        rows(class_distribution(df, label_col), "class", F.col(label_col), "n"),
-        rows(imbalance_ratio(df, label_col), "imbalance_ratio", "", "imbalance_ratio"),
+        rows(classes("k0"), "class", F.col("label"), "n"),
+        rows(ratio, "imbalance_ratio", "", "imbalance_ratio"),
         rows(columns, "missing", F.col("column"), "missing"),
         rows(columns, "blank", F.col("column"), "blank"),
-        long(text_means(df, text_col)),
+        long(means),
         rows(surplus_of_groups(groups), "duplicates", "", "duplicates"),
         long(summarise_groups(groups)),
         rows(labels_of_groups(groups), "duplicate_label", F.col("label"), "n"),
     ]
     if binary_col:
-        parts.append(rows(binary_shares(df, binary_col), "binary_share", F.col("label"), "share"))
+        parts.append(rows(_shares(classes(f"k{len(keys) - 1}"), "label"), "binary_share", F.col("label"), "share"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
