@@ -50,8 +50,9 @@ class ByteLevel:
         for i, segment in enumerate(segments):
             found = _PLAIN.fullmatch(segment)
             if found:
-                tokens = tokenize(self.space + found[1].translate(self.written))
-                out[i] = packed([t.id for t in tokens] + [t.id for t in tokenize(found[2])] if found[2] else [t.id for t in tokens], 4)
+                letters, marks = found.groups()
+                ids = [t.id for t in tokenize(self.space + (letters if letters.isascii() else letters.translate(self.written)))]
+                out[i] = packed(ids + [t.id for t in tokenize(marks)] if marks else ids, 4)
             else:
                 others.append(i)
         encoded = self.tokenizer.encode_batch([" " + segments[i] for i in others], add_special_tokens=False)
@@ -104,8 +105,22 @@ class Encoder:
             found = [side.encode_all(new) for side in self.sides]
             first.update(zip(new, found[0], strict=True))
             second.update(zip(new, found[1], strict=True))
-            self.odd.update(s for s, a, b in zip(new, *found, strict=True) if not self._joined(0, a) == self._joined(1, b) == b" " + s.encode())
-        self.held += sum(len(s) + len(first[s]) + len(second[s]) + 330 for s in missing)
+            self.odd.update(self._unfaithful(new, found))
+        # Ids take four bytes for a character at most.
+        self.held += 9 * sum(map(len, missing)) + 330 * len(missing)
+
+    def _unfaithful(self, segments: list[str], found: list[list[bytes]]) -> set[str]:
+        """Segments whose tokens, joined, are not a space and the segment, on either side."""
+        texts = [b" " + s.encode() for s in segments]
+        sizes, whole, out = np.array([len(t) for t in texts]), b"".join(texts), set()
+        for side, ids in enumerate(found):
+            every = b"".join(ids)
+            of = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
+            same = np.bincount(of, self.lengths[side][np.frombuffer(every, np.uint32)], len(ids)) == sizes
+            # Equal as a whole and in each length: then all are equal one by one.
+            if not same.all() or self._joined(side, every) != whole:
+                out.update(s for s, x, t in zip(segments, ids, texts, strict=True) if self._joined(side, x) != t)
+        return out
 
     def _joined(self, side: int, ids: bytes) -> bytes:
         return b"".join(map(self.sides[side].bytes.__getitem__, memoryview(ids).cast("I")))
