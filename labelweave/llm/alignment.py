@@ -88,23 +88,21 @@ class Encoder:
         count = max(map(len, self.lengths))
         self.numbers = [f"{i}{mark}" for mark in ",|;" for i in range(count)]
         self.limit, self.held = limit, 0
-        self.known: tuple[dict, dict] = {}, {}
-        self.older: tuple[dict, dict] = {}, {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
         self.odd: set[str] = set()
 
     def _learn(self, segments: set[str]) -> None:
         if self.held > self.limit:
-            self.known, self.older, self.held = ({}, {}), self.known, 0
-        first, second = self.known
-        missing = [s for s in segments if s not in first]
-        again = [s for s in missing if s in self.older[0]]
-        first.update((s, self.older[0][s]) for s in again)
-        second.update((s, self.older[1][s]) for s in again)
-        new = [s for s in missing if s not in first] if again else missing
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older = self.known, self.older
+        missing = [s for s in segments if s not in known]
+        again = [s for s in missing if s in older]
+        known.update((s, older[s]) for s in again)
+        new = [s for s in missing if s not in known] if again else missing
         if new:
             found = [side.encode_all(new) for side in self.sides]
-            first.update(zip(new, found[0], strict=True))
-            second.update(zip(new, found[1], strict=True))
+            known.update(zip(new, zip(*found, strict=True), strict=True))
             self.odd.update(self._unfaithful(new, found))
         # Ids take four bytes for a character at most.
         self.held += 9 * sum(map(len, missing)) + 330 * len(missing)
@@ -130,7 +128,8 @@ class Encoder:
         parts = [[_CUT.split(part[1:] if k else part) for k, part in enumerate(slices(text, _CUT))] if text else [] for text in texts]
         self._learn({s for text in parts for segments in text for s in segments})
         for text, found in zip(texts, parts, strict=True):
-            sides = [b"".join(b"".join(map(known.__getitem__, segments)) for segments in found) for known in self.known]
+            pairs = [pair for segments in found for pair in map(self.known.__getitem__, segments)]
+            sides = [b"".join([pair[k] for pair in pairs]) for k in (0, 1)]
             suspect = self.odd and not all(self.odd.isdisjoint(segments) for segments in found)
             if not text or suspect and not self._joined(0, sides[0]) == self._joined(1, sides[1]) == b" " + text.encode():
                 yield None
