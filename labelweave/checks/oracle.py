@@ -176,6 +176,28 @@ def split(source: str, ids: list[str], stratum: str | None, shares: list[float],
         JOIN ({quotas(source, key, shares)}) q ON r.strat IS NOT DISTINCT FROM q.stratum"""
 
 
+def epoch_steps(source: str, epochs: int, buckets: int, rate: float) -> str:
+    """CTEs up to ``p1``, ``p2``, … (doc_id, label, split, p): scores by the weights after each epoch of logistic regression."""
+    bucket = f"(('0x' || substr(md5(w), 1, 8))::UBIGINT % {buckets})::INT"
+    out = f"""lab AS MATERIALIZED ({source}),
+        feat AS MATERIALIZED (SELECT doc_id, b, n::DOUBLE / sum(n) OVER (PARTITION BY doc_id) AS v FROM (
+            SELECT doc_id, {bucket} AS b, count(*) AS n FROM (SELECT doc_id, unnest({words('lower(text)')}) AS w FROM lab) GROUP BY ALL)),
+        w0 AS MATERIALIZED (SELECT unnest(range(-1, {buckets})) AS b, 0.0::DOUBLE AS w)"""
+    for e in range(epochs + 1):
+        out += f""",
+        p{e} AS MATERIALIZED (SELECT doc_id, label, split, 1 / (1 + exp(-(coalesce(m, 0) + (SELECT w FROM w{e} WHERE b = -1)))) AS p
+            FROM lab LEFT JOIN (SELECT doc_id, sum(v * w) AS m FROM feat JOIN w{e} USING (b) GROUP BY doc_id) USING (doc_id)),
+        w{e + 1} AS MATERIALIZED (SELECT b, w - {rate}::DOUBLE * coalesce(g, 0) / (SELECT count(*) FROM lab WHERE split = 'train') AS w
+            FROM w{e} LEFT JOIN (SELECT b, sum(v * (p - label)) AS g FROM p{e} JOIN feat USING (doc_id) WHERE split = 'train' GROUP BY b
+                UNION ALL SELECT -1, sum(p - label) FROM p{e} WHERE split = 'train') USING (b))"""
+    rows = " UNION ALL ".join(f"""SELECT {e} AS epoch, count(*) FILTER (label = 1 AND p >= 0.5) AS tp, count(*) FILTER (label = 0 AND p >= 0.5) AS fp,
+            count(*) FILTER (label = 1 AND p < 0.5) AS fn, count(*) AS n, count(*) FILTER (label = (p >= 0.5)::INT) AS hits
+            FROM p{e} WHERE split = 'val'""" for e in range(1, epochs + 1))
+    return out + f""",
+        per_epoch AS (SELECT epoch::INT AS epoch, hits::DOUBLE / n AS accuracy, CASE WHEN tp = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1,
+            CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END AS recall FROM ({rows}))"""
+
+
 def three_way(source: str, ids: list[str], stratum: str) -> str:
     return split(source, ids, stratum, [TEST_SHARE, VALIDATION_SHARE], ["test", "val", "train"])
 
@@ -751,6 +773,14 @@ ORACLE: dict[str, str] = {
     "group_noise": f"SELECT event_id, round({uniform('event_id', quoted('noise'))}, 9) AS noise FROM events",
 }
 
+ENGLISH = f"SELECT doc_id, text, (lang = 'en')::INT AS label, split FROM ({three_way('SELECT * FROM documents', ['doc_id'], 'lang')})"
+ORACLE["epoch_metrics"] = f"""WITH {epoch_steps(ENGLISH, 3, 64, 8.0)}
+    SELECT epoch, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, round(precision, 6) AS precision, round(recall, 6) AS recall FROM per_epoch"""
+ORACLE["epoch_scores"] = f"""WITH {epoch_steps(ENGLISH, 3, 64, 8.0)},
+    best AS (SELECT epoch FROM per_epoch ORDER BY f1 DESC, epoch LIMIT 1),
+    every AS ({' UNION ALL '.join(f'SELECT {e} AS epoch, * FROM p{e}' for e in (1, 2, 3))})
+    SELECT doc_id, label, epoch::INT AS epoch, round(p, 6) AS probability FROM every JOIN best USING (epoch) WHERE split = 'test'"""
+
 #: The columns of the metrics file of several classes, under their published headers.
 MULTICLASS_COLUMNS = [c for c in METRIC_HEADERS if c in ("accuracy", "balanced_accuracy", "mcc", "kappa") or "macro" in c or c == "roc_auc_ovr"]
 ORACLE["judge_multiclass_metrics"] = (

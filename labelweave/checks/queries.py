@@ -17,6 +17,7 @@ from ..operators import (
     cleaning,
     duplicates,
     encode,
+    epochs,
     evaluate,
     labels,
     language,
@@ -796,6 +797,31 @@ def train_and_score_classes(spark, sf):
     return evaluate.confusion(model.score(parts["test"], trained), "label", "pred_label", 4)
 
 
+def english_epochs(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], list[dict]]:
+    """The three parts of the documents, and three epochs of a classifier of English."""
+    frame = docs(spark, sf).select("doc_id", "text", "lang", (F.col("lang") == "en").cast("int").alias("label"))
+    parts = split.split_frames(materialise(split.split(frame, "doc_id", "lang")))
+    return parts, epochs.train_epochs(parts["train"], parts["val"], "text", "label", 3, buckets=64)
+
+
+@query
+def epoch_metrics(spark, sf):
+    """Validation metrics after every epoch."""
+    _, history = english_epochs(spark, sf)
+    names = ["accuracy", "f1", "precision", "recall"]
+    rows = [(e["epoch"], *[float(e[n]) for n in names]) for e in history]
+    return rounded(spark.createDataFrame(rows, "epoch int, " + ", ".join(f"{n} double" for n in names)), names)
+
+
+@query
+def epoch_scores(spark, sf):
+    """Test scores by the weights of the best epoch."""
+    parts, history = english_epochs(spark, sf)
+    best = epochs.best_epoch(history)
+    scored = epochs.score_with(parts["test"].select("doc_id", "text", "label"), "text", best["weights"])
+    return scored.select("doc_id", "label", F.lit(best["epoch"]).alias("epoch"), F.round("probability", 6).alias("probability"))
+
+
 @query
 def judge_binary(spark, sf):
     frame = labelled_documents(spark, sf).select("doc_id", "text", F.col("toxic").alias("label"))
