@@ -1,11 +1,11 @@
-"""Encoding of whole texts by way of their segments, each distinct one encoded once."""
+"""What the encoders of whole texts share: long texts in slices, vocabularies sent along with the job."""
 
 from __future__ import annotations
 
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 #: Bytes of segments and ids that a task keeps.
 HELD_BYTES = 96 << 20
@@ -13,46 +13,6 @@ HELD_BYTES = 96 << 20
 SLICE_CHARS = 1 << 19
 
 
-def _itself(segment: str) -> tuple[str, ...]:
-    return (segment,)
-
-
-class SegmentCache:
-    """Segment -> the bytes of its ids. Above ``limit`` bytes a new generation begins; segments met again move into it.
-
-    ``parts`` may cut a segment further, into strings whose ids follow one another in the segment's.
-    """
-
-    def __init__(
-        self, encode_all: Callable[[list[str]], Sequence[bytes]], parts: Callable[[str], tuple[str, ...]] = _itself,
-        limit: int = HELD_BYTES,
-    ) -> None:
-        self.encode_all, self.parts, self.limit = encode_all, parts, limit
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
-
-    def ids(self, segments: list[str]) -> bytes:
-        """The ids of all segments, one after another."""
-        if self.held > self.limit:
-            self.known, self.older, self.held = {}, self.known, 0
-        known, older = self.known, self.older
-        missing = [s for s in set(segments) if s not in known]
-        if missing:
-            again = [s for s in missing if s in older]
-            known.update((s, older[s]) for s in again)
-            self.held += sum(len(s) + len(known[s]) + 200 for s in again)
-            if again:
-                missing = [s for s in missing if s not in known]
-            cut = [self.parts(s) for s in missing]
-            new = [p for p in {p for parts in cut for p in parts} if p not in known]
-            known.update(zip(new, self.encode_all(new) if new else [], strict=True))
-            for segment, parts in zip(missing, cut, strict=True):
-                known[segment] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
-            self.held += sum(map(len, missing)) + sum(map(len, new)) + sum(len(known[s]) + 200 for s in missing)
-        return b"".join(map(known.__getitem__, segments))
-
-
 def slices(text: str, cut: re.Pattern, size: int = SLICE_CHARS) -> Iterator[str]:
     """Parts of at least ``size`` characters that begin where ``cut`` matches; a short text is one part."""
     at = 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, stage_path
 from .common import col
-from .segments import SegmentCache, byte_characters, load_tokenizer, packed, read_text, slices
+from .segments import HELD_BYTES, byte_characters, load_tokenizer, packed, read_text, slices
 
 LENGTH = 1024
 #: Sequences in a record batch: 1 MB of ids. All batches of a file but the last have as many.
@@ -32,66 +32,54 @@ FILE_BYTES = 16 << 20
 MAX_FILES = 50_000
 # A pre-token of this vocabulary never holds white space, which it drops.
 _CUT = re.compile(r" ")
-# Marks that never stand in one pre-token with an ASCII letter or digit beside them.
-_MARKS = ".,;:!?()[]{}\"|*#<>/-$%"
+# Letters that Unicode normalisation leaves alone among themselves, then marks: two pre-tokens, whatever the case of the letters.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?()\[\]{}\"|*#<>/$%-]*)")
 
 
-def word_parts(word: str) -> tuple[str, ...]:
-    """Marks before, the word, marks after: its pre-tokens lie inside these parts, and ASCII parts may be in lower case.
+class WordIds(dict):
+    """Word -> the bytes of its ids, by a tokenizer whose pre-tokens hold no white space.
 
-    A word with the beginning of a special token's string stays whole.
+    Words are encoded when first met. Above ``limit`` bytes a new generation begins; words met again move into it.
     """
-    if "<|" in word:
-        return (word,)
-    core = word.strip(_MARKS)
-    if core and len(core) < len(word) and (core[0] + core[-1]).isascii() and core[0].isalnum() and core[-1].isalnum():
-        at = len(word) - len(word.lstrip(_MARKS))
-        parts = (word[:at], core.lower() if core.isascii() else core, word[at + len(core) :])
-        return tuple(p for p in parts if p)
-    return (word.lower() if word.isascii() else word,)
 
-
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder and its path there; plain paths and file: addresses are local."""
-    parts = urlparse(path)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem(), parts.path
-    return fs.FileSystem.from_uri(path)
-
-
-# Letters that Unicode normalisation leaves alone, whatever stands beside them among themselves; lower case.
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
-
-
-class WordEncoder:
-    """Ids of the words of a text, by a tokenizer whose pre-tokens hold no white space."""
-
-    def __init__(self, definition: str, width: int) -> None:
-        self.tokenizer, self.width = load_tokenizer(definition, plain=False), width
-        self.cache = SegmentCache(self.encode_all, word_parts)
+    def __init__(self, definition: str, width: int, limit: int = HELD_BYTES) -> None:
+        super().__init__()
+        self.tokenizer, self.width, self.limit = load_tokenizer(definition, plain=False), width, limit
+        self.tokenize = self.tokenizer.model.tokenize
         # A byte-level vocabulary writes these letters, two bytes in UTF-8, as two characters.
         self.letters = str.maketrans({chr(c): "".join(byte_characters()[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)})
-
-    def encode_all(self, words: list[str]) -> list[bytes]:
-        """Words of letters are one pre-token each and go to the tokenizer's model at once; others through all its steps."""
-        out = {}
-        tokenize, letters, width = self.tokenizer.model.tokenize, self.letters, self.width
-        for word in filter(_LETTERS.fullmatch, map(str.lower, words)):
-            written = word if word.isascii() else word.translate(letters)
-            out[word] = packed([t.id for t in tokenize(written)], width)
-        others = [w for w in words if w.lower() not in out]
-        found = self.tokenizer.encode_batch(others, add_special_tokens=False)
-        out.update(zip(others, (packed(e.ids, width) for e in found), strict=True))
-        return [out[w] if w in out else out[w.lower()] for w in words]
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            plain = _PLAIN.fullmatch(word)
+            if plain is None:
+                found = packed(self.tokenizer.encode(word, add_special_tokens=False).ids, self.width)
+            else:
+                letters, marks = plain[1].lower(), plain[2]
+                if letters == word:
+                    written = word if word.isascii() else word.translate(self.letters)
+                    found = packed([t.id for t in self.tokenize(written)], self.width)
+                else:
+                    found = self[letters] + self[marks] if marks else self[letters]
+        self[word] = found
+        self.held += len(word) + len(found) + 200
+        return found
 
     def ids(self, text: str) -> list[bytes]:
-        return [self.cache.ids(s.replace("\n", " ").split(" ")) for s in slices(text, _CUT)]
+        """The ids of a text, in parts."""
+        if self.held > self.limit:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        return [b"".join(map(self.__getitem__, s.replace("\n", " ").split(" "))) for s in slices(text, _CUT)]
 
 
 @lru_cache(maxsize=2)
-def word_encoder(definition: str, width: int) -> WordEncoder:
+def word_encoder(definition: str, width: int) -> WordIds:
     """One encoder for all tasks of a Python worker."""
-    return WordEncoder(definition, width)
+    return WordIds(definition, width)
 
 
 class _Writer:

@@ -104,11 +104,11 @@ def test_long_text_in_slices():
 
 
 def test_cache_forgets():
-    calls = []
-    cache = segments.SegmentCache(lambda words: [calls.append(w) or w.encode() for w in words], limit=2000)
-    for i in range(50):
-        assert cache.ids(["a", f"x{i}", "a"]) == f"ax{i}a".encode()
-    assert calls.count("a") == 1 and len(cache.known) + len(cache.older) < 30
+    encoder = sequences.WordIds(segments.read_text(queries.WORD_VOCABULARY), 4, limit=3000)
+    for i in range(60):
+        text = f"Again x{i}, again."
+        assert np.frombuffer(b"".join(encoder.ids(text)), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder) + len(encoder.older) < 50
 
 
 # Alignment
