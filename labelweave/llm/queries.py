@@ -146,4 +146,26 @@ ORACLE = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
     """,
+    "op13_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+              FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+        g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n
+              FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM w)) GROUP BY ALL),
+        total AS (SELECT lang, sum(n)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+        f AS (SELECT * FROM g WHERE n >= 30),
+        inside AS (SELECT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(n) AS longer
+              FROM (SELECT *, unnest(range(1, len(w) - j + 2)) AS i
+                    FROM (SELECT lang, n, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS j FROM f WHERE k > 2)) GROUP BY ALL),
+        c AS (SELECT f.* FROM f LEFT JOIN inside USING (lang, phrase)
+              WHERE k > 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * f.n)),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+              FROM (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS k FROM c)),
+        scored AS (SELECT cuts.*, l.n AS l, r.n AS r, (2000000::HUGEINT * a // (l.n::HUGEINT + r.n))::BIGINT AS score
+              FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = rest
+              QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, cuts.k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """,
 }
