@@ -308,10 +308,10 @@ def _candidates(docs: DataFrame, filters: list[Broadcast], safe: list[DataFrame]
 
 
 class Trie:
-    """A double-array trie of phrases: ``base[s] + code`` is the child of state s by a word, if ``check`` there is s.
+    """A double-array trie of phrases: ``base[s] + digit`` is the child of state s, if ``check`` there is s.
 
-    State numbers are places in the arrays. Words have codes from 1 on; every language has a root of its own.
-    A quarter of the places is taken at most.
+    State numbers are places in the arrays. Words have codes from 1 on, and a word is a step for each digit of its code, to
+    base 256, so that no node has more than 256 children. Every language has a root of its own.
     """
 
     def __init__(self, langs: list[str], phrases: list[list[bytes]]) -> None:
@@ -322,24 +322,30 @@ class Trie:
         table = np.zeros((len(phrases), longest), np.int64)
         for k in range(longest):
             table[:, k] = [self.codes[p[k]] if k < len(p) else 0 for p in phrases]
-        # Nodes are numbered level by level, roots first; an edge is (parent, code) and its child the next number.
+        self.shifts = [8 * i for i in reversed(range(-(-len(self.codes).bit_length() // 8)))]
+        # Nodes are numbered level by level, roots first; an edge is (parent, digit) and its child the next number.
         node = np.array([self.roots[lang] for lang in langs])
         parents, codes, total = [], [], len(self.roots)
         for k in range(longest):
             rows = np.flatnonzero(table[:, k])
-            edge, child = np.unique(node[rows] * (len(self.codes) + 1) + table[rows, k], return_inverse=True)
-            parents.append(edge // (len(self.codes) + 1))
-            codes.append(edge % (len(self.codes) + 1))
-            node[rows] = total + child
-            total += len(edge)
+            for shift in self.shifts:
+                edge, child = np.unique(node[rows] * 512 + self._digit(table[rows, k], shift), return_inverse=True)
+                parents.append(edge // 512)
+                codes.append(edge % 512)
+                node[rows] = total + child
+                total += len(edge)
         self._place(np.concatenate(parents), np.concatenate(codes), node)
 
+    @staticmethod
+    def _digit(codes: np.ndarray, shift: int) -> np.ndarray:
+        return (codes >> shift & 255) + 1
+
     def _place(self, parents: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> None:
         """Give every node with children a base, at random, so that no two children share a place; most children first."""
         roots, edges = len(self.roots), len(parents)
         order = np.lexsort((codes, parents))
         owners, begins, sizes = np.unique(parents[order], return_index=True, return_counts=True)
-        self.size = roots + 4 * edges + len(self.codes) + 64
+        self.size, failed = roots + 4 * edges + 1024, 0
         used, base = np.zeros(self.size, bool), np.zeros(len(owners), np.int64)
         used[:roots] = True
         draw = np.random.default_rng(7)
@@ -359,6 +365,10 @@ class Trie:
             alone = np.zeros(len(places), bool)
             alone[first] = True
             fits = np.bincount(of, used[places] | ~alone, len(nodes)) == 0
+            failed = 0 if fits.any() else failed + 1
+            if failed == 1000:  # too full for a node of many children
+                used, failed = np.concatenate([used, np.zeros(self.size, bool)]), 0
+                self.size = len(used)
             used[places[fits[of]]] = True
             base[nodes[fits]] = tried[fits]
             waiting = np.concatenate([nodes[~fits], waiting[many:]])
@@ -373,11 +383,14 @@ class Trie:
 
     def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """States after one more word; -1 where there is none. Word code 0 and state -1 lead nowhere."""
-        alive = (states >= 0) & (codes > 0)
-        at = self.base[states * alive] + codes
-        alive &= (at >= 0) & (at < self.size)
-        at = at * alive
-        return np.where(alive & (self.check[at] == states), at, -1)
+        states = np.where(codes > 0, states, -1)
+        for shift in self.shifts:
+            alive = states >= 0
+            at = self.base[states * alive] + self._digit(codes, shift)
+            alive &= at < self.size
+            at = at * alive
+            states = np.where(alive & (self.check[at] == states), at, -1)
+        return states
 
 
 def _trie_counts(docs: DataFrame, trie: Broadcast, longest: int) -> DataFrame:
