@@ -221,7 +221,7 @@ def _filter_of(keys: DataFrame) -> Broadcast:
         F.bitmap_bucket_number("place").alias("part"), F.bitmap_bit_position("place").alias("bit")
     )
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+    for row in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
         piece = np.frombuffer(row["bits"], np.uint8)
         bits[(row["part"] - 1) * len(piece) : row["part"] * len(piece)] = piece
     return keys.sparkSession.sparkContext.broadcast(bits)
