@@ -3,6 +3,13 @@
 from labelweave.checks.queries import QUERIES
 
 
+def test_stream_reads_a_folder_of_files(spark, tmp_path):
+    rows = [(i, f"text {i} @you", "en" if i % 2 else "de") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.tweet_soft, r.is_cyberbullying) for r in QUERIES["stream_clean"](spark, str(tmp_path)).collect()}
+    assert got == {i: (f"text {i}", 0 if i % 2 else 1) for i in range(40)}
+
+
 def test_key_difference_takes_every_order(spark, tmp_path):
     spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, 500_000.0), (2, 10.0)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
