@@ -7,11 +7,13 @@ each range. The final window runs inside one such run, so no window grows with t
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from ..functions.hashing import shuffle_key
 from ..session import materialise
@@ -21,6 +23,35 @@ from .lookups import keyed_join, lookup_join
 ROWS_PER_RANGE, MAX_RANGES = 200_000, 10_000
 #: Rows of a final window. Tables of up to ``SMALL_ROWS`` rows are one window as a whole.
 ROWS_PER_RUN, SMALL_ROWS = 4096, 20_000
+#: Bytes of the keys from which ranges are cut, as all of them pass through the driver; keys per range at most.
+KEY_SAMPLE_BYTES, KEYS_PER_RANGE = 32 << 20, 100
+#: Spark draws so many times the keys it is asked for.
+OVERSAMPLING = 3
+_KEYS_SETTING = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+
+
+def range_cut(rows: int, key_bytes: float, rows_per_range: int = ROWS_PER_RANGE) -> tuple[int, int]:
+    """Number of ranges, and of keys drawn for each, so that keys of ``key_bytes`` on average stay within ``KEY_SAMPLE_BYTES``."""
+    keys = max(1, int(KEY_SAMPLE_BYTES / (OVERSAMPLING * max(key_bytes, 1.0))))
+    ranges = max(1, min(-(-rows // rows_per_range), MAX_RANGES, keys))
+    return ranges, max(1, min(KEYS_PER_RANGE, keys // ranges))
+
+
+def _bytes(column: str, kind: DataType) -> Column:
+    if isinstance(kind, StringType | BinaryType):
+        return F.octet_length(F.col(column))
+    return F.octet_length(F.col(column).cast("string")) if isinstance(kind, ArrayType | StructType) else F.lit(8)
+
+
+@contextmanager
+def _keys_per_range(spark: SparkSession, keys: int) -> Iterator[None]:
+    """Range cuts inside draw ``keys`` keys for each range."""
+    before = spark.conf.get(_KEYS_SETTING)
+    spark.conf.set(_KEYS_SETTING, min(keys, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_KEYS_SETTING, before)
 
 
 def running_total(
@@ -33,18 +64,21 @@ def running_total(
     """Add inclusive running sums of ``values`` in the order of ``order_cols`` within ``by``.
 
     Any orderable columns will do. Ranges are cut over all of ``by`` and ``order_cols``, so a hot first key is split
-    as well. The placed rows are stored once, as the totals and the result must see the same places.
+    as well. The placed rows are stored once, as the totals and the result must see the same places. Long keys make fewer ranges,
+    cut from fewer keys (``range_cut``).
     """
     order = [F.col(c) for c in order_cols]
-    rows = df.count()
+    widths = [F.coalesce(_bytes(c, df.schema[c].dataType), F.lit(0)).cast("double") for c in (*by, *order_cols)]
+    rows, key_bytes = df.agg(F.count(F.lit(1)), F.avg(reduce(lambda x, y: x + y, widths))).first()
     so_far = (Window.unboundedPreceding, Window.currentRow)
     if rows <= min(rows_per_range, SMALL_ROWS):
         whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(*so_far)
         return df.withColumns({n: F.sum(v).over(whole) for n, v in values.items()})
-    ranges = min(-(-rows // rows_per_range), MAX_RANGES)
+    ranges, keys = range_cut(rows, key_bytes, rows_per_range)
     cut = df.repartitionByRange(ranges, *by, *order_cols).sortWithinPartitions(*by, *order_cols)
     # The place has the number of the range in its upper bits and that of the row in its range in the lower 33.
-    placed = materialise(cut.withColumn("_place", F.monotonically_increasing_id()), "places")
+    with _keys_per_range(df.sparkSession, keys):
+        placed = materialise(cut.withColumn("_place", F.monotonically_increasing_id()), "places")
     run = F.floor(F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) / min(ROWS_PER_RUN, rows_per_range)).cast("long")
     placed = placed.withColumns({"_range": F.shiftright("_place", 33), "_run": run})
     runs = placed.groupBy(*by, "_range", "_run").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in values.items()])

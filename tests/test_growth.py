@@ -1,6 +1,24 @@
 """Figures that must not grow faster than the tables, and inputs as folders of many files."""
 
+from pyspark.sql import functions as F
+
 from labelweave.checks.queries import QUERIES
+from labelweave.operators import ordering
+
+
+def test_keys_through_the_driver_are_bounded(spark, monkeypatch):
+    for rows, key_bytes in ((512_000, 2_100), (3_000_000, 2_100), (10**9, 40_000), (40_000, 12)):
+        ranges, keys = ordering.range_cut(rows, key_bytes, 150)
+        assert ordering.OVERSAMPLING * ranges * keys * key_bytes <= ordering.KEY_SAMPLE_BYTES
+    assert ordering.range_cut(10**9, 16) == (5000, 100)
+    monkeypatch.setattr(ordering, "KEY_SAMPLE_BYTES", 60_000)
+    frame = spark.range(3000).select("id", F.concat(F.repeat(F.lit("same start "), 100), F.pmod(F.xxhash64("id"), F.lit(900)).cast("string")).alias("t"))
+    drawn = []
+    monkeypatch.setattr(ordering, "materialise", lambda df, name="", real=ordering.materialise: drawn.append(spark.conf.get(ordering._KEYS_SETTING)) or real(df, name))
+    before = spark.conf.get(ordering._KEYS_SETTING)
+    got = ordering.dense_id(frame, ["t", "id"], rows_per_range=20).collect()
+    assert int(drawn[0]) < int(before) == int(spark.conf.get(ordering._KEYS_SETTING))
+    assert [r.sample_id for r in sorted(got, key=lambda r: (r.t, r.id))] == list(range(3000))
 
 
 def test_stream_reads_a_folder_of_files(spark, tmp_path):
