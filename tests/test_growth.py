@@ -1,9 +1,10 @@
 """Figures that must not grow faster than the tables, and inputs as folders of many files."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from labelweave.checks.queries import QUERIES
-from labelweave.operators import ordering
+from labelweave.operators import ordering, similarity
 
 
 def test_keys_through_the_driver_are_bounded(spark, monkeypatch):
@@ -32,3 +33,30 @@ def test_key_difference_takes_every_order(spark, tmp_path):
     spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(1, 500_000.0), (2, 10.0)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     assert [r.c_custkey for r in QUERIES["key_difference"](spark, str(tmp_path)).collect()] == [3]
+
+
+def test_best_columns_are_those_of_the_whole_product(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, columns = rng.normal(size=(300, 24)), rng.normal(size=(500, 24))
+    columns[100:140] = columns[7] + rng.normal(size=(40, 24)) * 1e-6  # near ties, more than are scored one by one
+    columns[300:310] = columns[9]  # exact ties
+    rows[:20], rows[20:25] = columns[7], columns[9]
+    rows, columns = (m / np.linalg.norm(m, axis=1)[:, None] for m in (rows, columns))
+    rows[30:33], columns[400:402] = 0, 0
+    for names in ({}, {"ROW_TILE": 64, "COLUMN_TILE": 90}):
+        for name, value in names.items():
+            monkeypatch.setattr(similarity, name, value)
+        best, score = similarity._best_columns(rows, columns)
+        product = np.round(rows @ columns.T, 12)
+        assert (best == product.argmax(axis=1)).all() and np.allclose(score, product.max(axis=1), atol=2e-12)
+
+
+def test_copies_of_vectors_do_not_multiply(spark, monkeypatch):
+    """Rows of the search step's input per vector, before the blocks meet, for targets of several blocks."""
+    monkeypatch.setattr(similarity, "TARGET_BLOCK_BYTES", 64 * 1000)
+    monkeypatch.setattr(similarity, "SOURCE_BLOCK_BYTES", 64 * 1000)
+    monkeypatch.setattr(similarity, "pruned_nearest", lambda *a, **k: 1 / 0)  # up to one copy for each region
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.xxhash64("id", k).cast("double") / 2.0**63)
+    frame = spark.range(2000).select("id", numbers.alias("v"))
+    found = similarity.nearest(frame, frame.withColumnRenamed("id", "m"), "id", "m", "v", "v", ["m"]).collect()
+    assert len(found) == 2000 and all(r.id == r.m for r in found)
