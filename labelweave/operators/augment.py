@@ -3,15 +3,20 @@
 All random choices are hashes of (seed, row id, operation, position), so the outcome does not
 depend on partitioning or retries. Token arrays are only ever sorted or filtered, never searched
 per element, so a text of many thousand words costs n log n. A thesaurus of few words is looked up inside
-each row, without a shuffle. For a larger one texts are spread by row id once; token rows, their
-grouping and the final join all reuse that partitioning.
+each row, without a shuffle; all variants of a row are then made by one call. For a larger one texts are spread by row id
+once; token rows, their grouping and the final join all reuse that partitioning.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,9 @@ LITERAL_LIMIT, LITERAL_BYTES = 1000, 1 << 20
 INSERT_TRIES = 10
 METHODS = ("synonym", "insert", "swap", "delete")
 
+# Executors need not have this package installed: its task functions travel with the job.
+register_pickle_by_value(sys.modules[__name__])
+
 
 def synonym_table(pairs: DataFrame) -> DataFrame:
     """(word, synonyms): normalised, sorted, without the word itself, from (word, synonym) rows."""
@@ -47,23 +55,55 @@ def _joined(parts: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(parts), lambda s: s["w"]), " ")
 
 
-def _swap_round(df: DataFrame, id_col: str, seed: int, words: str, pairs: Column, tag: str) -> DataFrame:
-    """Pairs of distinct positions, in hash order, trade places."""
-    ranked = F.sort_array(
-        F.transform(words, lambda w, i: F.struct(uniform(seed, F.col(id_col), tag, i).alias("u"), i.alias("pos"), w.alias("w")))
-    )
-    ordered = df.withColumns({"_ranked": ranked, "_moved": 2 * pairs})
-    # Each word is laid next to its partner's position by zipping the odd and even ranks.
-    partner = F.transform(
-        F.sequence(F.lit(1), F.size("_ranked")),
-        lambda k: F.when(k > F.col("_moved"), k).when(k % 2 == 1, k + 1).otherwise(k - 1),
-    )
-    placed = F.transform(
-        F.arrays_zip(F.col("_ranked").alias("r"), partner.alias("p")),
-        lambda z: F.struct(z["r"]["pos"].alias("pos"), F.element_at(F.col("_ranked"), z["p"])["w"].alias("w")),
-    )
-    swapped = F.transform(F.sort_array(placed), lambda s: s["w"])
-    return ordered.withColumn(words, F.when(F.size(words) < 2, F.col(words)).otherwise(swapped)).drop("_ranked", "_moved")
+def _of_each(kind: str, make: Callable[[list[str], str | None], object]) -> Callable[[Column, Column], Column]:
+    """A column of ``kind``: ``make`` of each row's words and key; missing where the words are."""
+
+    @F.pandas_udf(kind)
+    def run(words: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else make(list(w), k) for w, k in zip(words, keys, strict=True)], dtype=object)
+
+    return run
+
+
+def _draw(start: str, place: object) -> float:
+    return int.from_bytes(md5(f"{start}{place}".encode()).digest()[:4]) / 4294967296.0
+
+
+def _start(seed: int, key: str | None, operation: str) -> str:
+    return ":".join(str(p) for p in (seed, key, operation) if p is not None) + ":"
+
+
+def _draws(seed: int, key: str | None, operation: str, places: Iterable[object]) -> np.ndarray:
+    """``functions.hashing.uniform`` of (seed, key, operation, place) for each place."""
+    start = _start(seed, key, operation)
+    return np.frombuffer(b"".join([md5(f"{start}{p}".encode()).digest()[:4] for p in places]), ">u4") / 4294967296.0
+
+
+def _changes(alpha: float, words: int) -> int:
+    """``budget`` of a text of so many words."""
+    return max(1, math.floor(alpha * words))
+
+
+def _swapped(words: Sequence[str], seed: int, key: str | None, alpha: float) -> str:
+    """In each round pairs of distinct positions, in hash order, trade places, until ``budget`` pairs have."""
+    count = len(words)
+    if count < 2:
+        return " ".join(words)
+    left, k, now = _changes(alpha, count), 0, np.array(words, dtype=object)
+    while left > 0:
+        order = np.argsort(_draws(seed, key, "swap" if k == 0 else f"swap{k}", range(count)), kind="stable")
+        pairs = min(left, count // 2)
+        odd, even = order[: 2 * pairs : 2], order[1 : 2 * pairs : 2]
+        now[odd], now[even] = now[even], now[odd]
+        left, k = left - pairs, k + 1
+    return " ".join(now)
+
+
+def _shortened(words: Sequence[str], seed: int, key: str | None, share: float) -> str:
+    if len(words) == 1:
+        return words[0]
+    kept = _draws(seed, key, "delete", range(len(words))) > share
+    return " ".join([w for w, stays in zip(words, kept.tolist(), strict=True) if stays])
 
 
 def swap_rounds(alpha: float) -> int:
@@ -77,19 +117,14 @@ def swap_words(df: DataFrame, id_col: str, seed: int, alpha: float, words: str =
     A round swaps up to half of the positions with the others; what is left goes to another round on its result, with
     positions drawn anew. Each round is one sort of a text's words.
     """
-    wanted = budget(alpha, F.size(words))
-    half = F.floor(F.size(words) / 2).cast("int")
-    rows = df.withColumn("_swapped", F.col(words))
-    for k in range(swap_rounds(alpha)):
-        pairs = F.greatest(F.least(wanted - k * half, half), F.lit(0))
-        rows = _swap_round(rows, id_col, seed, "_swapped", pairs, "swap" if k == 0 else f"swap{k}")
-    return rows.withColumn("_swap", F.array_join("_swapped", " ")).drop("_swapped")
+
+    return df.withColumn("_swap", _of_each("string", lambda w, key: _swapped(w, seed, key, alpha))(F.col(words), F.col(id_col).cast("string")))
 
 
 def delete_words(df: DataFrame, id_col: str, seed: int, share: float, words: str = "_words") -> DataFrame:
     """Add ``_delete``: every word stays with probability 1 - share; an only word always stays."""
-    kept = F.filter(words, lambda w, i: uniform(seed, F.col(id_col), "delete", i) > F.lit(float(share)))
-    return df.withColumn("_delete", F.array_join(F.when(F.size(words) == 1, F.col(words)).otherwise(kept), " "))
+
+    return df.withColumn("_delete", _of_each("string", lambda w, key: _shortened(w, seed, key, share))(F.col(words), F.col(id_col).cast("string")))
 
 
 def _synonym_hits(df: DataFrame, id_col: str, synonyms: DataFrame, stop_words: Sequence[str], seed: int) -> DataFrame:
@@ -126,37 +161,38 @@ def _small_table(synonyms: DataFrame) -> dict[str, list[str]]:
     return {r["word"]: r["synonyms"] for r in few.collect()} if words <= LITERAL_LIMIT and (total or 0) <= LITERAL_BYTES else {}
 
 
-def _replace_and_options(
-    df: DataFrame, id_col: str, table: Mapping[str, Sequence[str]], stop_words: Sequence[str], seed: int, alpha: float
-) -> DataFrame:
-    """Add ``_synonym``, as ``replace_words`` makes it, and ``_options``: a synonym for each word that has any."""
-    key = F.col(id_col)
-    entries = F.create_map(*[p for w, found in table.items() for p in (F.lit(w), F.array(*[F.lit(s) for s in found]))])
-
-    def synonym(word: Column, operation: str, pos: Column) -> Column:
-        return _pick(F.element_at(entries, word), uniform(seed, key, operation, pos))
-
-    def hit(word: Column, pos: Column) -> Column:
-        drawn = F.struct(uniform(seed, key, "replace", pos).alias("u"), pos.alias("pos"), word.alias("word"))
-        return F.when(word.isin(*table) & ~word.isin(*stop_words), drawn)
-
-    hits = F.sort_array(F.filter(F.transform("_words", hit), lambda h: h.isNotNull()))
-    rows = df.withColumn("_hits", hits)
-    # What lambdas read is named twice in an expression, so that it stays a computed column.
-    limit = F.element_at("_hits", F.least(budget(alpha, F.size("_words")), F.size("_hits")))["u"]
-    rows = rows.withColumn("_limit", F.when(F.size("_hits") > 0, limit))
-    chosen = F.filter("_hits", lambda h: (h["u"] <= F.col("_limit")) & F.col("_limit").isNotNull())
-    by_word = F.sort_array(F.transform(chosen, lambda h: F.struct(h["word"].alias("word"), h["u"].alias("u"), h["pos"].alias("pos"))))
-    rows = rows.withColumn("_chosen", by_word)
-    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("_chosen", lambda c: c["word"]))
-    pairs = F.arrays_zip(F.col("_chosen").alias("c"), F.slice(before, F.lit(1), F.size("_chosen")).alias("before"))
-    firsts = F.filter(pairs, lambda z: ~z["c"]["word"].eqNullSafe(z["before"]))
-    new = F.transform(firsts, lambda z: F.struct(z["c"]["word"], synonym(z["c"]["word"], "replacement", z["c"]["pos"])))
-    rows = rows.withColumn("_new", F.map_from_entries(new))
-    replaced = F.transform("_words", lambda w: F.when(w.isin(*table), F.coalesce(F.try_element_at("_new", w), w)).otherwise(w))
-    rows = rows.withColumn("_synonym", F.array_join(F.when(F.size("_new") > 0, replaced).otherwise(F.col("_words")), " "))
-    options = F.transform("_words", lambda w, i: F.when(w.isin(*table), synonym(w, "insertion", i)))
-    return rows.withColumn("_options", options).drop("_hits", "_limit", "_chosen", "_new")
+def _replaced(words: Sequence[str], table: Mapping[str, Sequence[str]], stops: frozenset, seed: int, key: str | None, alpha: float) -> str:
+    """The text as ``replace_words`` makes it."""
+    places = [i for i, w in enumerate(words) if w in table and w not in stops]
+    if not places:
+        return " ".join(words)
+    hits = sorted(zip(_draws(seed, key, "replace", places).tolist(), places, strict=True))
+    limit = hits[min(_changes(alpha, len(words)), len(hits)) - 1][0]
+    firsts: dict[str, int] = {}
+    for u, place in hits:
+        if u <= limit:
+            firsts.setdefault(words[place], place)
+    draws = _draws(seed, key, "replacement", firsts.values()).tolist()
+    new = {w: table[w][math.floor(u * len(table[w]))] for w, u in zip(firsts, draws, strict=True)}
+    return " ".join([new.get(w, w) for w in words])
+
+
+def _lengthened(words: Sequence[str], table: Mapping[str, Sequence[str]], seed: int, key: str | None, alpha: float) -> str:
+    """The text as ``insert_words`` makes it."""
+    known, count = [w in table for w in words], len(words)
+    if not any(known):
+        return " ".join(words)
+    before: dict[int, list[str]] = {}
+    tries, options_start, places = (_start(seed, key, operation) for operation in ("try", "insertion", "place"))
+    for i in range(1, _changes(alpha, count) + 1):
+        for j in range(1, INSERT_TRIES + 1):
+            place = math.floor(_draw(tries, f"{i}:{j}") * count)
+            if known[place]:
+                options = table[words[place]]
+                added = options[math.floor(_draw(options_start, place) * len(options))]
+                before.setdefault(math.floor(_draw(places, i) * (count + 1)), []).append(added)
+                break
+    return " ".join([part for i in range(count + 1) for part in (*before.get(i, ()), *words[i : i + 1])])
 
 
 def _first_per_position(parts: Column) -> Column:
@@ -251,16 +287,23 @@ def augment(
     words = tokens(F.col(text_col)).alias("_words")
     table = _small_table(synonyms)
     if table:
-        rows = _replace_and_options(long.select(id_col, words), id_col, table, stops, seed, alpha_replace)
+        unchanged = frozenset(stops)
+
+        def made(of: Sequence[str], key: str | None) -> list[str]:
+            return [
+                _replaced(of, table, unchanged, seed, key, alpha_replace), _lengthened(of, table, seed, key, alpha_insert),
+                _swapped(of, seed, key, alpha_swap), _shortened(of, seed, key, share_delete),
+            ]
+
+        texts = long.select(id_col, _of_each("array<string>", made)(words, F.col(id_col).cast("string")).alias("_made"))
     else:
         long = long.repartition(id_col).select(id_col, words)
         rows = long.join(_synonym_hits(long, id_col, synonyms, stops, seed), id_col, "left")
-        rows = _options(replace_words(rows, alpha_replace))
-    rows = insert_words(rows, id_col, seed, alpha_insert)
-    rows = swap_words(rows, id_col, seed, alpha_swap)
-    rows = delete_words(rows, id_col, seed, share_delete)
-    variants = F.array(
-        *[F.struct(F.lit(i).alias("variant"), F.lit(m).alias("method"), F.col(f"_{m}").alias("text"))
-          for i, m in enumerate(METHODS, 1)]
-    )
-    return rows.select(id_col, F.explode(variants).alias("v")).select(id_col, "v.*").unionByName(short)
+        rows = insert_words(_options(replace_words(rows, alpha_replace)), id_col, seed, alpha_insert)
+        rows = delete_words(swap_words(rows, id_col, seed, alpha_swap), id_col, seed, share_delete)
+        texts = rows.select(id_col, F.array(*[f"_{m}" for m in METHODS]).alias("_made"))
+    # The outer form keeps the optimizer from making the texts a second time for a not-empty filter.
+    placed = texts.select(id_col, F.posexplode_outer("_made").alias("variant", "text"))
+    method = F.element_at(F.array(*[F.lit(m) for m in METHODS]), F.col("variant") + 1)
+    variants = placed.select(id_col, (F.col("variant") + 1).alias("variant"), method.alias("method"), "text")
+    return variants.unionByName(short)

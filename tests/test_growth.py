@@ -60,3 +60,17 @@ def test_copies_of_vectors_do_not_multiply(spark, monkeypatch):
     frame = spark.range(2000).select("id", numbers.alias("v"))
     found = similarity.nearest(frame, frame.withColumnRenamed("id", "m"), "id", "m", "v", "v", ["m"]).collect()
     assert len(found) == 2000 and all(r.id == r.m for r in found)
+
+
+def test_a_text_is_changed_once(spark):
+    """One call makes all variants of a text, and no filter of a later step makes them again."""
+    from labelweave.checks.inputs import synonyms
+    from labelweave.operators import augment
+
+    frame = spark.createDataFrame([(1, "the rewh orre thatin the nd"), (2, "one two"), (None, "the que is the que"), (4, None)], "i long, t string")
+    made = augment.augment(frame, "i", "t", synonyms(spark), stop_words=[])
+    plan = made.filter("method = 'insert'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted((r.i or 0, r.variant) for r in made.collect()) == [(0, 1), (0, 2), (0, 3), (0, 4), (1, 1), (1, 2), (1, 3), (1, 4), (2, 1)]
+    words = frame.select("i", F.split("t", " ").alias("w"))
+    assert {r.i: r._swap is None for r in augment.swap_words(words, "i", 1, 0.8, "w").collect()} == {1: False, 2: False, None: False, 4: True}
