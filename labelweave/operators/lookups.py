@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from ..session import materialise
 
 #: Bytes of a lookup, as text, up to which it is broadcast.
 MAX_BROADCAST_BYTES = 32 << 20
+#: Words and characters of a replacement table up to which it is a constant of the plan.
+LITERAL_LIMIT, LITERAL_BYTES = 1000, 1 << 20
 #: Rows of the hottest key that one task may get in a shuffle join.
 ROWS_PER_SALT = 1_000_000
 
@@ -69,8 +71,43 @@ def replace_tokens(
 ) -> DataFrame:
     """Replace white-space tokens through a (word, replacement) table of any size.
 
-    Token-level form of the literal lookups of ``functions.text``; white space is kept.
+    Token-level form of the literal lookups of ``functions.text``; white space is kept. A table of few words is looked up
+    inside each row, so that no token is shuffled; only rows that share an id are put together from their tokens.
     """
+    changes = _few_words(table)
+    if changes is None:
+        return _replaced_by_join(df, id_col, text_col, table, out)
+    target = out or text_col
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{SPACE}+|{NOT_SPACE}+"), F.lit(0))
+    new = F.array_join(F.transform(pieces, lambda w: _changed(w, changes)), "")
+    shared = df.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(id_col)
+    shared = materialise(shared, "shared_ids")
+    # A row without an id finds no tokens of its own.
+    text = F.when(F.col(id_col).isNotNull() | F.col(text_col).isNull(), new).otherwise(F.lit(""))
+    if shared.isEmpty():
+        return df.withColumn(target, text)
+    single = lookup_join(df, shared, [id_col], "left_anti").withColumn(target, text)
+    several = lookup_join(df, shared, [id_col], "left_semi")
+    return single.unionByName(_replaced_by_join(several, id_col, text_col, table, out))
+
+
+def _few_words(table: DataFrame) -> dict[str, str] | None:
+    """The table, if it has few words, each once; else nothing."""
+    rows = table.select("word", "replacement").limit(LITERAL_LIMIT + 1).collect()
+    found = {r["word"]: r["replacement"] for r in rows}
+    size = sum(len(p or "") for pair in found.items() for p in pair)
+    return found if len(rows) <= LITERAL_LIMIT and len(found) == len(rows) and size <= LITERAL_BYTES else None
+
+
+def _changed(word: Column, changes: Mapping[str, str | None]) -> Column:
+    known = {w: new for w, new in changes.items() if w is not None and new is not None}
+    if not known:
+        return word
+    entries = F.create_map(*[F.lit(part) for pair in known.items() for part in pair])
+    return F.when(word.isin(*known), F.element_at(entries, word)).otherwise(word)
+
+
+def _replaced_by_join(df: DataFrame, id_col: str, text_col: str, table: DataFrame, out: str | None) -> DataFrame:
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{SPACE}+|{NOT_SPACE}+"), F.lit(0))
     exploded = df.select(id_col, F.posexplode_outer(pieces).alias("_pos", "word")).filter(F.col("word").isNotNull())
     looked_up = lookup_join(exploded, table.select("word", "replacement"), ["word"], spread=[id_col, "_pos"])

@@ -74,3 +74,17 @@ def test_a_text_is_changed_once(spark):
     assert sorted((r.i or 0, r.variant) for r in made.collect()) == [(0, 1), (0, 2), (0, 3), (0, 4), (1, 1), (1, 2), (1, 3), (1, 4), (2, 1)]
     words = frame.select("i", F.split("t", " ").alias("w"))
     assert {r.i: r._swap is None for r in augment.swap_words(words, "i", 1, 0.8, "w").collect()} == {1: False, 2: False, None: False, 4: True}
+
+
+def test_few_replacements_shuffle_no_token(spark):
+    from labelweave.operators import lookups
+
+    rows = [(1, "the  cat\tthe"), (2, None), (3, ""), (4, "und so"), (5, "the a"), (5, "the a"), (None, "the")]
+    frame = spark.createDataFrame(rows, "i long, t string")
+    changes = spark.createDataFrame([("the", "THE"), ("und", ""), ("so", None), (None, "x")], "word string, replacement string")
+    single = frame.filter("i < 5")
+    short = lookups.replace_tokens(single, "i", "t", changes)
+    assert "Generate" not in short._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.i: r.t for r in short.collect()} == {1: "THE  cat\tTHE", 2: None, 3: "", 4: " so"}
+    by_join = lookups._replaced_by_join(frame, "i", "t", changes, None)
+    assert sorted(map(str, lookups.replace_tokens(frame, "i", "t", changes).collect())) == sorted(map(str, by_join.collect()))
