@@ -966,7 +966,8 @@ def split_round_trip(spark, sf):
 def stream_clean(spark, sf):
     path = stage_path(spark, "stream")
     schema = docs(spark, sf).schema
-    stream = stateless.read_stream(spark, f"{sf}/documents.parquet", schema).select("doc_id", "text", "lang")
+    # A pattern fits one file as well as a folder of files.
+    stream = stateless.read_stream(spark, f"{sf}/[d]ocuments.parquet", schema).select("doc_id", "text", "lang")
     cleaned = stateless.clean_stream(stream, "text", "lang", "en", stop_words=STOP_WORDS)
     stateless.run_available(cleaned, path, path.rsplit("/", 1)[1])
     return spark.read.parquet(path).select("doc_id", "tweet_soft", "tweet_full", "is_cyberbullying")

@@ -22,11 +22,15 @@ def test_keys_through_the_driver_are_bounded(spark, monkeypatch):
     assert [r.sample_id for r in sorted(got, key=lambda r: (r.t, r.id))] == list(range(3000))
 
 
-def test_stream_reads_a_folder_of_files(spark, tmp_path):
+def test_stream_reads_one_file_or_a_folder_of_files(spark, tmp_path):
     rows = [(i, f"text {i} @you", "en" if i % 2 else "de") for i in range(40)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.tweet_soft, r.is_cyberbullying) for r in QUERIES["stream_clean"](spark, str(tmp_path)).collect()}
-    assert got == {i: (f"text {i}", 0 if i % 2 else 1) for i in range(40)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    frame.repartition(4).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    (tmp_path / "file").mkdir()
+    frame.toPandas().to_parquet(tmp_path / "file/documents.parquet")
+    for place in ("folder", "file"):
+        got = {r.doc_id: (r.tweet_soft, r.is_cyberbullying) for r in QUERIES["stream_clean"](spark, f"{tmp_path}/{place}").collect()}
+        assert got == {i: (f"text {i}", 0 if i % 2 else 1) for i in range(40)}
 
 
 def test_key_difference_takes_every_order(spark, tmp_path):
