@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,19 +27,29 @@ SCALE = 2_000_000
 #: Bits of the filters of frequent phrases: 8 MB.
 FILTER_BITS = 1 << 26
 #: Rows that a task combines before they are shuffled, and text bytes taken up at a time.
-HELD_ROWS, CHUNK_BYTES = 1 << 21, 1 << 19
-#: Words whose counts a task holds.
-HELD_WORDS = 1 << 18
-#: Candidate phrases, and bytes of them, in one trie.
-TRIE_PHRASES, TRIE_BYTES = 1 << 18, 32 << 20
+HELD_ROWS, CHUNK_BYTES = 1 << 20, 1 << 19
+#: Words, and bytes of them, whose counts a task holds.
+HELD_WORDS, HELD_BYTES = 1 << 18, 32 << 20
+#: Text bytes of one language that are turned into keys together.
+CODED_BYTES = 1 << 20
+#: Word keys that are handled together, which stay in a core's cache.
+CHUNK_WORDS = 1 << 16
+#: Candidate phrases in one trie.
+TRIE_PHRASES = 1 << 18
 #: The texts of one such part, by their hash, name most candidates; the others are searched for the rest.
 NAMING_PARTS = 16
+#: Bytes of one Arrow batch of texts or keys.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Parts of the phrase keys, by their first bits, in which counts are added up.
+KEY_PART_BITS = 12
 #: Parts into which a language's candidates are dealt for ranking.
 RANK_PARTS = 64
 
 # Bytes that end a piece become 0xFF, which no UTF-8 text holds.
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\xff" * 10)
 _END = b"\xff"
+_TEXT_END = b"\xfe"
 _BREAK = re.compile(rb"[ \t.,;:!?\x0a-\x0d]")
 _SHIFTS = (0, 32)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -52,29 +63,12 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _tokens(data: bytes) -> list[bytes]:
     """Words, and a 0xFF where a piece ends."""
-    return data.lower().translate(_ENDS).replace(_END, b" \xff ").split()
+    return _marked(data).split()
 
 
-class Chunk:
-    """Words of some texts in a row, with breaks between pieces and texts.
-
-    ``own`` marks the places whose phrases are counted here: a long text comes in slices, each followed by a few
-    words of the next.
-    """
-
-    def __init__(self, parts: list[tuple[int, list[bytes], int]]) -> None:
-        """``parts``: (language, tokens, how many of them are own)."""
-        self.words: list[bytes] = []
-        for _, tokens, _ in parts:
-            self.words += tokens
-            self.words.append(_END)
-        sizes = np.array([len(tokens) + 1 for _, tokens, _ in parts])
-        owned = np.array([own for _, _, own in parts])
-        self.langs = np.repeat(np.array([lang for lang, _, _ in parts]), sizes)
-        self.own = np.arange(len(self.words)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(owned, sizes)
-
-    def phrase(self, at: int, size: int) -> str:
-        return b" ".join(self.words[at : at + size]).decode()
+def _marked(data: bytes) -> bytes:
+    """In lower case, with a 0xFF for every mark."""
+    return data.lower().translate(_ENDS).replace(_END, b" \xff ")
 
 
 def _slices(data: bytes, size: int = CHUNK_BYTES) -> Iterator[tuple[list[bytes], int]]:
@@ -106,69 +100,203 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
                 yield lang.as_py(), text.as_py()
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], langs: dict[str, int]) -> Iterator[Chunk]:
-    """Columns lang and text, as chunks of about ``CHUNK_BYTES``. ``langs`` is filled with the languages met."""
-    parts, held = [], 0
-    for lang, data in _texts(batches):
-        code = langs.setdefault(lang, len(langs))
-        for tokens, own in _slices(data):
-            parts.append((code, tokens, own))
-            held += min(len(data), CHUNK_BYTES)
-            if held >= CHUNK_BYTES:
-                yield Chunk(parts)
-                parts, held = [], 0
-    if parts:
-        yield Chunk(parts)
-
-
-class _Keys(dict):
-    """Word -> 64-bit key, by language; emptied when it holds many words."""
-
-    def __init__(self, lang: str) -> None:
-        self.seed = xxhash.xxh3_64_intdigest(lang.encode())
-
-    def __missing__(self, word: bytes) -> int:
-        key = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(word) <= 64:
-            self[word] = key
-        return key
-
-
-class _Keyed:
-    """Phrase keys of chunks: that of a phrase of k words comes from those of its first and its last k - 1 words."""
-
-    def __init__(self, limit: int = 1 << 17) -> None:
-        self.langs: dict[str, int] = {}
-        self.keys: list[_Keys] = []
-        self.limit = limit
-
-    def words(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of single words, and which places are words."""
-        for lang in list(self.langs)[len(self.keys) :]:
-            self.keys.append(_Keys(lang))
-        out = np.empty(len(chunk.words), np.uint64)
-        cuts = [0, *(np.flatnonzero(np.diff(chunk.langs)) + 1).tolist(), len(chunk.words)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            keys = self.keys[chunk.langs[a]]
-            if len(keys) > self.limit:
-                keys.clear()
-            out[a:b] = np.fromiter(map(keys.__getitem__, chunk.words[a:b]), np.uint64, b - a)
-        breaks = np.fromiter(map(_END.__eq__, chunk.words), bool, len(chunk.words))
-        return out, ~breaks
+class _Words(dict):
+    """Word -> its number here, for one language, with keys and counts by number. Ends of pieces and texts have key 0.
 
-    @staticmethod
-    def longer(keys: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of phrases that are one word longer; the last place has none."""
-        out = np.zeros_like(keys)
-        out[:-1] = _pair(keys[:-1], keys[1:])
-        both = np.zeros_like(valid)
-        both[:-1] = valid[:-1] & valid[1:]
-        return out, both
+    Texts wait until they are as long as a chunk; only its distinct words are looked up one by one.
+    """
+
+    def __init__(self, lang: str, seed: int) -> None:
+        super().__init__({_END: 0, _TEXT_END: 1})
+        self.lang, self.seed, self.bytes = lang, xxhash.xxh3_64_intdigest(lang.encode(), seed), 0
+        self.keys, self.counts = np.zeros(2, np.uint64), np.zeros(2, np.int64)
+        self.texts: list[bytes] = []
+        self.owned: list[int] = []
+        self.waiting = 0
+
+    def add(self, marked: bytes, own: int = -1) -> None:
+        """A text, of whose words the first ``own`` are counted."""
+        self.texts += [marked, _TEXT_END]
+        self.owned.append(own)
+        self.waiting += len(marked)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        numbers = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            numbers[new] = np.arange(len(self), len(self) + len(new))
+            self.update(zip(fresh, numbers[new].tolist(), strict=True))
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh, repeat(self.seed)), np.uint64, len(fresh))
+            self.keys = np.append(self.keys, np.maximum(keys, np.uint64(1)))
+            self.counts = np.append(self.counts, np.zeros(len(new), np.int64))
+            self.bytes += sum(map(len, fresh))
+        return numbers
+
+    def coded(self) -> pa.RecordBatch:
+        """(keys, own) of the texts that wait."""
+        # Bytes that no UTF-8 text holds mark the ends; the functions used here look at white space alone.
+        line = pa.array([b" ".join(self.texts).strip()], pa.large_binary()).view(pa.large_string())
+        found = pc.ascii_split_whitespace(line).flatten().dictionary_encode()
+        codes = found.indices.to_numpy()
+        words = found.dictionary.view(pa.large_binary()).to_pylist()
+        numbers = self._numbers(words)
+        ends = np.flatnonzero(codes == words.index(_TEXT_END)) + 1
+        starts = np.append(0, ends[:-1])
+        owned = np.array(self.owned)
+        owned = np.where(owned < 0, ends - starts - 1, owned)
+        counted = np.bincount(codes, minlength=len(words))
+        for i in np.flatnonzero(owned < ends - starts - 1):
+            counted -= np.bincount(codes[starts[i] + owned[i] : ends[i]], minlength=len(words))
+        self.counts[numbers] += counted
+        keys = self.keys[numbers][codes]
+        offsets = pa.py_buffer((np.append(0, ends) * 8).astype(np.int32))
+        self.texts, self.owned, self.waiting = [], [], 0
+        n = len(ends)
+        return _rows([None] * n, [None] * n, [None] * n, [None] * n, pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(keys)]), owned)
+
+    def counted(self) -> pa.RecordBatch:
+        """(lang, word, key, n) of all words."""
+        n = len(self) - 2
+        words = pa.array(list(self)[2:], pa.binary()).cast(pa.string())
+        return _rows([self.lang] * n, words, self.keys[2:].view(np.int64), self.counts[2:], [None] * n, [None] * n)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.texts:
+            yield self.coded()
+        yield self.counted()
+
+
+_CODED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("own", pa.int32())])
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _CODED, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=_CODED)
+
+
+def coded(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """(lang, word, key, n, keys, own): one reading of the texts gives both words and texts in keys.
+
+    A row is either a word with its key and its count in some texts, or a text: the 64-bit ``keys`` of its words, 0 where a piece
+    ends. Only phrases that begin at its first ``own`` places are counted there: a long text comes in slices, each followed by a
+    few words of the next. Keys depend on the language.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Words] = {}
+        waiting = 0
+        for i, (lang, data) in enumerate(_texts(batches)):
+            words = held.get(lang)
+            if words is None:
+                words = held[lang] = _Words(lang, seed)
+            parts = [(_marked(data), -1)] if len(data) <= CHUNK_BYTES else ((b" ".join(t), own) for t, own in _slices(data))
+            for marked, own in parts:
+                words.add(marked, own)
+                waiting += len(marked)
+                if words.waiting >= CODED_BYTES:
+                    waiting -= words.waiting
+                    yield words.coded()
+            if i % 100 == 0 or len(data) > CHUNK_BYTES:
+                many = sum(map(len, held.values())) > HELD_WORDS or sum(w.bytes for w in held.values()) > HELD_BYTES
+                if many or waiting > HELD_BYTES:
+                    for words in held.values():
+                        yield from words.rest()
+                    held, waiting = {}, 0
+        for words in held.values():
+            yield from words.rest()
+
+    return _narrow(docs, lang_col, text_col).mapInArrow(run, "lang string, word string, key long, n long, keys binary, own int")
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send at most ``BATCH_BYTES`` to Python at a time."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
+def coded_words(docs: DataFrame, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(key, lang, word, n), the occurrences of every word, and (keys, own), the texts.
+
+    No two words have the same key: where that happens, all keys are made again with another seed.
+    """
+    seed = 0
+    while True:
+        stored = materialise(coded(docs, lang_col, text_col, seed), "coded")
+        counted = stored.filter("word IS NOT NULL").groupBy("key", "lang", "word").agg(F.sum("n").alias("n"))
+        words = materialise(counted, "words")
+        if words.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            return words, stored.filter("keys IS NOT NULL").select("keys", "own")
+        seed += 1
+
+
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns keys and own as (word keys in a row, which places are own), about ``CHUNK_WORDS`` at a time."""
+    for batch in batches:
+        column = batch.column(0)
+        wide = pa.types.is_large_binary(column.type)
+        ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] // 8
+        if not len(column) or ends[0] == ends[-1]:
+            continue
+        data = np.frombuffer(column.buffers()[2], np.uint64, ends[-1])
+        owned = batch.column(1).to_numpy()
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_WORDS, "right")) - 1)
+            first = int(ends[at])
+            keys = data[first : ends[to]]
+            own = np.ones(len(keys), bool)
+            for row in np.flatnonzero(owned[at:to] < np.diff(ends[at : to + 1]) - 1) + at:
+                own[ends[row] - first + owned[row] : ends[row + 1] - first] = False
+            yield keys, own
+            at = to
+
+
+def _start(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of the words that pass a filter."""
+    at = np.flatnonzero(keys)
+    return _passing(at, keys[at], bits)
+
+
+def _passing(at: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    passes = _in_filter(keys, bits)
+    return at[passes], keys[passes]
+
+
+def _longer(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of the phrases that are one word longer: the key comes from those of the first and the last words."""
+    both = np.flatnonzero(at[1:] == at[:-1] + 1)
+    return at[both], _pair(keys[both], keys[both + 1])
 
 
 def _combined(keys: np.ndarray) -> pa.RecordBatch:
+    """(part, keys, counts): a row for each part of the keys, with its distinct ones and how often they occur."""
     distinct, counts = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+    bounds = np.searchsorted(distinct, np.arange(1, 1 << KEY_PART_BITS, dtype=np.uint64) << np.uint64(64 - KEY_PART_BITS))
+    ends = np.concatenate([[0], bounds, [len(distinct)]])
+
+    def cut(values: np.ndarray) -> pa.Array:
+        offsets = (ends * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+    columns = [pa.array(np.arange(len(ends) - 1, dtype=np.int32)), cut(distinct), cut(counts.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["part", "keys", "counts"]).filter(pa.array(np.diff(ends) > 0))
+
+
+def _added(table: pa.Table, least: int) -> pa.Table:
+    """(key): keys of one part that occur ``least`` times in all."""
+    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
+    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int32)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    total = np.add.reduceat(counts[order].astype(np.int64), first)
+    return pa.table({"key": keys[first][total >= least]})
 
 
 def _in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -185,35 +313,6 @@ def _narrow(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(lang.alias("lang"), col(text_col).cast("binary").alias("text"))
 
 
-def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, word, key, n): occurrences of every word. Counted in tasks, then added up."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = defaultdict(Counter)
-        for i, (lang, data) in enumerate(_texts(batches)):
-            for tokens, own in _slices(data):
-                held[lang].update(tokens[:own])
-            if i % 100 == 0 and sum(map(len, held.values())) > HELD_WORDS or len(data) > CHUNK_BYTES:
-                yield from _word_batches(held)
-                held.clear()
-        yield from _word_batches(held)
-
-    found = _narrow(docs, lang_col, text_col).mapInArrow(run, "lang string, word string, key long, n long")
-    return found.groupBy("lang", "word").agg(F.first("key").alias("key"), F.sum("n").alias("n"))
-
-
-def _word_batches(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    for lang, counts in held.items():
-        counts.pop(_END, None)
-        keys = _Keys(lang)
-        hashes = np.fromiter(map(keys.__missing__, counts), np.uint64, len(counts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(counts), pa.string()), pa.array([w.decode() for w in counts], pa.string()),
-             pa.array(hashes), pa.array(counts.values(), pa.int64())],
-            ["lang", "word", "key", "n"],
-        )
-
-
 def _filter_of(keys: DataFrame) -> Broadcast:
     """Two bits for each key, 8 MB whatever the number of keys, so a few others pass as well."""
     places = [F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1 for shift in _SHIFTS]  # bitmaps count from one
@@ -227,7 +326,7 @@ def _filter_of(keys: DataFrame) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def _bounds(docs: DataFrame, size: int, filters: list[Broadcast], least: int) -> DataFrame:
+def _bounds(texts: DataFrame, size: int, filters: list[Broadcast], least: int) -> DataFrame:
     """(key): keys of phrases of ``size`` words that may occur ``least`` times.
 
     Apriori: only phrases count whose first and last size - 1 words may be frequent too. Phrases of one key are
@@ -235,76 +334,70 @@ def _bounds(docs: DataFrame, size: int, filters: list[Broadcast], least: int) ->
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed, held, count = _Keyed(), [], 0
-        for chunk in _chunks(batches, keyed.langs):
-            keys, valid = keyed.words(chunk)
-            for bits in filters:
-                valid &= _in_filter(keys, bits.value)
-                keys, valid = keyed.longer(keys, valid)
-            found = keys[valid & chunk.own]
-            held.append(found)
-            count += len(found)
+        held, count = [], 0
+        for keys, own in _chunks(batches):
+            at, found = _longer(*_start(keys, filters[0].value))
+            for bits in filters[1:]:
+                at, found = _longer(*_passing(at, found, bits.value))
+            held.append(found[own[at]])
+            count += len(held[-1])
             if count >= HELD_ROWS:
                 yield _combined(np.concatenate(held))
                 held, count = [], 0
         if count:
             yield _combined(np.concatenate(held))
 
-    counted = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= least).select("key")
+    counted = texts.mapInArrow(run, "part int, keys binary, counts binary").groupBy("part")
+    return counted.applyInArrow(lambda table: _added(table, least), "key long")
 
 
-def _phrases(docs: DataFrame, filters: list[Broadcast], wanted: list[Broadcast]) -> DataFrame:
-    """(lang, words, phrase, key): the phrases behind the keys that pass ``wanted``, by length from two words on.
+def _phrases(texts: DataFrame, filters: list[Broadcast], wanted: list[Broadcast]) -> DataFrame:
+    """(words, key, parts): word keys of the phrases behind the keys that pass ``wanted``, by length from two words on.
 
     ``filters``, from one word on, are those that longer phrases rest on.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed, seen = _Keyed(), set()
-        for chunk in _chunks(batches, keyed.langs):
-            keys, valid = keyed.words(chunk)
-            words, names = None, pa.array(list(keyed.langs), pa.string())
+        seen = set()
+        for keys, own in _chunks(batches):
+            at, found = _start(keys, filters[0].value)
             for size, (bits, chosen) in enumerate(zip(filters[1:], wanted, strict=True), 2):
-                valid &= _in_filter(keys, filters[size - 2].value)
-                keys, valid = keyed.longer(keys, valid)
-                at = np.flatnonzero(valid & chunk.own)
-                at = at[_in_filter(keys[at], bits.value)]
+                at, found = _passing(*_longer(at, found), bits.value)
+                place, named = at[own[at]], found[own[at]]
                 if chosen is not bits:
-                    at = at[_in_filter(keys[at], chosen.value)]
-                distinct, first = np.unique(keys[at], return_index=True)
+                    place, named = _passing(place, named, chosen.value)
+                distinct, first = np.unique(named, return_index=True)
                 fresh = np.array([k not in seen for k in distinct.tolist()], bool)
                 if not fresh.any():
                     continue
                 seen.update(distinct[fresh].tolist())
-                words = pa.array(chunk.words, pa.binary()) if words is None else words
-                place = at[first[fresh]]
-                phrase = pc.binary_join_element_wise(*[words.take(pa.array(place + k)) for k in range(size)], b" ")
+                parts = keys[place[first[fresh]][:, None] + np.arange(size)].view(np.int64)
+                ends = pa.array(np.arange(len(parts) + 1, dtype=np.int32) * size)
                 yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(chunk.langs[place])), pa.array(np.full(len(place), size, np.int32)), phrase.cast(pa.string()),
-                     pa.array(distinct[fresh].view(np.int64))],
-                    ["lang", "words", "phrase", "key"],
+                    [pa.array(np.full(len(parts), size, np.int32)), pa.array(distinct[fresh].view(np.int64)),
+                     pa.ListArray.from_arrays(ends, pa.array(parts.ravel()))],
+                    ["words", "key", "parts"],
                 )
             if len(seen) > HELD_ROWS // 2:
                 seen.clear()
 
-    return docs.mapInArrow(run, "lang string, words int, phrase string, key long").distinct()
+    return materialise(texts.mapInArrow(run, "words int, key long, parts array<long>").dropDuplicates(["words", "key"]), "phrases")
 
 
-def _candidates(docs: DataFrame, filters: list[Broadcast], safe: list[DataFrame]) -> DataFrame:
-    """(lang, words, phrase): the phrases behind the keys in ``safe``, by length from two words on.
+def _candidates(texts: DataFrame, filters: list[Broadcast], safe: list[DataFrame]) -> DataFrame:
+    """(words, key, parts): the phrases behind the keys in ``safe``, by length from two words on.
 
     A frequent phrase is likely to occur in any sixteenth of the texts, so these are named first; then all texts are searched
     for keys that are still without a phrase. A key names one phrase; that two frequent phrases share all 64 bits has a chance
-    of one in ten million at a million phrases. What is counted afterwards are words, not keys.
+    of one in ten million at a million phrases. What is counted afterwards are words, not keys of phrases.
     """
     keys = reduce(DataFrame.unionByName, safe)
-    part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(NAMING_PARTS)) == 0)
+    part = texts.filter(F.pmod(F.xxhash64("keys"), F.lit(NAMING_PARTS)) == 0)
     first = materialise(_phrases(part, filters, filters[1:]).join(keys, ["words", "key"], "left_semi"), "named")
     rest = materialise(keys.join(first, ["words", "key"], "left_anti"), "unnamed")
     wanted = [_filter_of(rest.filter(F.col("words") == size)) for size in range(2, len(filters) + 1)]
-    second = _phrases(docs, filters, wanted).join(rest, ["words", "key"], "left_semi")
-    return first.unionByName(second.select(*first.columns)).select("lang", "words", "phrase").distinct()
+    second = _phrases(texts, filters, wanted).join(rest, ["words", "key"], "left_semi")
+    return first.unionByName(second.select(*first.columns))
 
 
 class Trie:
@@ -393,50 +486,72 @@ class Trie:
         return states
 
 
-def _trie_counts(docs: DataFrame, trie: Broadcast, longest: int) -> DataFrame:
-    """(state, n): how often the phrases of a trie occur. All places of a chunk go down the trie together, level by level."""
+def _trie_counts(texts: DataFrame, tries: Broadcast, longest: int) -> DataFrame:
+    """(state, n): how often the phrases of a trie occur. All places of a chunk go down the trie together, level by level.
+
+    Every task sends one row for each phrase it met, so there are as many tasks as cores, however many texts there are.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Trie = trie.value
-        langs: dict[str, int] = {}
-        total = np.zeros(own.size, np.int64)
-        code_of = own.codes.get
-        for chunk in _chunks(batches, langs):
-            codes = np.fromiter((code_of(w, 0) for w in chunk.words), np.int64, len(chunk.words))
-            roots = np.array([own.roots.get(lang, -1) for lang in langs])
-            at = np.flatnonzero(chunk.own & (codes > 0))
-            states = own.step(roots[chunk.langs[at]], codes[at])
+        own, known = tries.value
+        total, held, count = np.zeros(own.size, np.int64), [], 0
+        # States after the first word, by its code.
+        begins = own.step(np.zeros(len(known) + 1, np.int64), np.arange(len(known) + 1))
+        for keys, mine in _chunks(batches):
+            signed = keys.view(np.int64)
+            place = np.minimum(np.searchsorted(known, signed), len(known) - 1)
+            codes = np.where(known[place] == signed, place + 1, 0)
+            states = begins[codes]
+            at = np.flatnonzero(mine & (states >= 0))
+            states = states[at]
             for level in range(1, longest):
-                alive = np.flatnonzero((states >= 0) & (at + level < len(codes)))
-                at = at[alive]
-                states = own.step(states[alive], codes[at + level])
-                total += np.bincount(states[states >= 0], minlength=own.size)
+                # A text ends with a break, so no place lies behind the chunk.
+                following = codes[at + level]
+                alive = np.flatnonzero(following)
+                at, states = at[alive], own.step(states[alive], following[alive])
+                alive = np.flatnonzero(states >= 0)
+                at, states = at[alive], states[alive]
+                held.append(states)
+                count += len(states)
+            if count >= HELD_ROWS:
+                total += np.bincount(np.concatenate(held), minlength=own.size)
+                held, count = [], 0
+        if count:
+            total += np.bincount(np.concatenate(held), minlength=own.size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["state", "n"])
 
-    return docs.mapInArrow(run, "state long, n long").groupBy("state").agg(F.sum("n").alias("n"))
+    few = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    return materialise(few.mapInArrow(run, "state long, n long").groupBy("state").agg(F.sum("n").alias("n")), "states")
 
 
-def _counted(docs: DataFrame, candidates: DataFrame, longest: int, limit: int) -> list[DataFrame]:
-    """(lang, words, phrase, n) by blocks of candidates, each as large as one trie may be."""
-    spark = docs.sparkSession
-    dealt = F.xxhash64("lang", "phrase")
-    sized = candidates.withColumn("bytes", F.octet_length("phrase"))
-    total = sized.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).first()
-    blocks = max(-(-total["n"] // limit), -(-(total["b"] or 0) // TRIE_BYTES))
+def _counted(texts: DataFrame, candidates: DataFrame, longest: int, limit: int) -> list[DataFrame]:
+    """(words, key, parts, n) by blocks of candidates, each as large as one trie may be."""
+    spark = texts.sparkSession
+    blocks = -(-candidates.count() // limit)
     out = []
     for block in range(blocks):
-        rows = candidates.filter(F.pmod(dealt, F.lit(blocks)) == block).toArrow()
+        rows = candidates.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).toArrow()
         if not rows.num_rows:
             continue
-        langs = rows["lang"].to_pylist()
-        trie = Trie(langs, [p.encode().split(b" ") for p in rows["phrase"].to_pylist()])
+        # Keys depend on the language, so one root serves all.
+        trie = Trie([""] * rows.num_rows, rows["parts"].to_pylist())
         names = spark.createDataFrame(rows.append_column("state", pa.array(trie.ends)))
-        counts = _trie_counts(docs, spark.sparkContext.broadcast(trie), longest)
-        out.append(materialise(names.join(counts, "state").select("lang", "words", "phrase", "n"), "phrases"))
+        known = np.array(list(trie.codes), np.int64)
+        trie.codes = {}  # tasks look words up in ``known``
+        counts = _trie_counts(texts, spark.sparkContext.broadcast((trie, known)), longest)
+        out.append(names.join(counts, "state").select("words", "key", "parts", "n"))
     return out
 
 
+def _spelled(counted: DataFrame, words: DataFrame) -> DataFrame:
+    """(lang, words, phrase, n) of phrases that are given by the keys of their words."""
+    parts = counted.select("words", F.col("key").alias("id"), "n", F.posexplode("parts").alias("place", "key"))
+    found = parts.join(words.select("key", "lang", "word"), "key")
+    spelled = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ")
+    return found.groupBy("id", "words", "n").agg(F.first("lang").alias("lang"), spelled.alias("phrase")).select("lang", "words", "phrase", "n")
+
+
 def _sub_phrases(first: int, last: int) -> Column:
     """Contiguous parts of the words in ``w`` that have ``first`` to ``last`` words, shorter than the whole."""
     sizes = F.sequence(F.lit(first), F.least(F.lit(last), F.size("w") - 1))
@@ -462,28 +577,28 @@ def collocations(
     are candidates; one that lies inside a longer candidate goes if that has 80 % of its occurrences. Order: score, then a, descending,
     then the phrase by its bytes.
 
-    Rounds over the texts: words are counted; for each length, bounds of the counts, by 64-bit keys, decide which
-    phrases may be frequent (their parts must be); candidates go into double-array tries, at most ``trie_phrases`` each,
-    which are broadcast and count all occurrences exactly, whatever their keys. Filters of frequent keys have a fixed size.
+    The texts are read once: words are counted, and each text is stored as 64-bit keys of its words, no two words having the
+    same key. Rounds over these: for each length, bounds of the counts, by keys of phrases, decide which phrases may be frequent
+    (their parts must be); candidates go into double-array tries, at most ``trie_phrases`` each, which are broadcast and count all
+    occurrences exactly, word by word. Filters of frequent keys have a fixed size.
 
     - Missing language: und. Missing and empty texts have no words. Repeated rows count as often as they occur.
     - An empty table gives an empty result. Other columns are ignored. Long texts are taken up in slices.
     """
-    narrow = _narrow(docs, lang_col, text_col)
-    words = materialise(word_counts(docs, lang_col, text_col), "words")
-    frequent = words.filter(F.col("n") >= least)
-    filters, safe = [_filter_of(frequent)], []
-    for size in range(2, longest + 1):
-        safe.append(materialise(_bounds(narrow, size, filters, least).withColumn("words", F.lit(size)), "bounds"))
-        filters.append(_filter_of(safe[-1]))
-    candidates = materialise(_candidates(narrow, filters, safe), "candidates")
-    counted = [c.filter(F.col("n") >= least) for c in _counted(narrow, candidates, longest, trie_phrases)]
-    counts = frequent.select("lang", F.lit(1).alias("words"), F.col("word").alias("phrase"), "n")
-    for part in counted:
-        counts = counts.unionByName(part)
-    counts = materialise(counts, "counts")
-    for bits in filters:
-        bits.unpersist()
+    with _small_batches(docs.sparkSession):
+        words, texts = coded_words(docs, lang_col, text_col)
+        frequent = words.filter(F.col("n") >= least)
+        filters, safe = [_filter_of(frequent)], []
+        for size in range(2, longest + 1):
+            safe.append(materialise(_bounds(texts, size, filters, least).withColumn("words", F.lit(size)), "bounds"))
+            filters.append(_filter_of(safe[-1]))
+        candidates = materialise(_candidates(texts, filters, safe), "candidates")
+        counts = frequent.select("lang", F.lit(1).alias("words"), F.col("word").alias("phrase"), "n")
+        for part in _counted(texts, candidates, longest, trie_phrases):
+            counts = counts.unionByName(_spelled(part.filter(F.col("n") >= least), frequent))
+        counts = materialise(counts, "counts")
+        for bits in filters:
+            bits.unpersist()
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     return _ranked(_independent(counts), counts, totals, top)
 

@@ -257,3 +257,36 @@ def test_trie(entries):
                 assert (states[0] >= 0) == known
     ends = {(lang, *words): int(end) for lang, words, end in zip(langs, lists, trie.ends, strict=True)}
     assert len(set(ends.values())) == len(ends)
+
+
+def test_words_that_share_a_key_get_others(phrases, monkeypatch):
+    """Short keys of the first seed name several words each; with the next seed all rows are right."""
+    from pyspark.sql import functions as F
+
+    df, rows = phrases
+    seeds, real = [], collocations.coded
+
+    def short(docs, lang, text, seed):
+        seeds.append(seed)
+        found = real(docs, lang, text, seed)
+        return found if seed else found.withColumn("key", F.pmod("key", F.lit(3)) + 1)
+
+    monkeypatch.setattr(collocations, "coded", short)
+    assert sorted(rows_of(collocations.collocations(df, least=8))) == sorted(brute_collocations(rows, 8))
+    assert seeds == [0, 1]
+
+
+def test_trie_rows_do_not_grow_with_the_tasks(spark):
+    """A phrase is sent once for each core, however many parts the texts have."""
+    df = spark.range(400).selectExpr("'en' AS lang", "'a b c' AS text").repartition(40)
+    words, texts = collocations.coded_words(df, "lang", "text")
+    keys = {r.word: r.key for r in words.collect()}
+    parts = [[keys["a"], keys["b"]], [keys["b"], keys["c"]], [keys["a"], keys["b"], keys["c"]]]
+    candidates = spark.createDataFrame([(len(p), i, p) for i, p in enumerate(parts)], "words int, key long, parts array<long>")
+    assert texts.rdd.getNumPartitions() >= 1
+    sent = []
+    real = collocations.materialise
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(collocations, "materialise", lambda frame, name="": sent.append(frame._jdf.queryExecution().optimizedPlan().toString()) or real(frame, name))
+        (counted,) = collocations._counted(texts, candidates, 4, 10)
+    assert "Repartition" in sent[0] and {r.key: r.n for r in counted.collect()} == {0: 400, 1: 400, 2: 400}
