@@ -92,3 +92,20 @@ def test_few_replacements_shuffle_no_token(spark):
     assert {r.i: r.t for r in short.collect()} == {1: "THE  cat\tTHE", 2: None, 3: "", 4: " so"}
     by_join = lookups._replaced_by_join(frame, "i", "t", changes, None)
     assert sorted(map(str, lookups.replace_tokens(frame, "i", "t", changes).collect())) == sorted(map(str, by_join.collect()))
+
+
+def test_soft_texts_are_worked_out_once(spark):
+    """The whole preparation cleans a text softly a single time; full cleaning goes on from there."""
+    from labelweave.functions import text
+    from labelweave.operators import build
+
+    rows = [(1, "@me Don't  see https://a.b #Tags <b>u</b> soooo walking’s", "a"), (2, None, "b"), (3, "gonna it's cats", "a"), (4, "", "b")]
+    frame = spark.createDataFrame(rows, "i long, tweet_text string, c string")
+    made = build.build_dataset(frame, "tweet_text", "c", negative="a", multiclass=False)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("www") == 1
+    soft = text.soft_clean(F.col("tweet_text"))
+    assert frame.select(text.expand_contractions(soft).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("www") == 1
+    alone = frame.select("i", text.full_clean(F.col("tweet_text")).alias("full"))
+    assert {r.i: r.tweet_full for r in made.collect()} == {r.i: r.full for r in alone.collect()}
+    assert made.filter("i = 2").first().tweet_full is None
