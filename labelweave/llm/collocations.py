@@ -514,10 +514,12 @@ def _trie_counts(texts: DataFrame, tries: Broadcast, longest: int) -> DataFrame:
                 held.append(states)
                 count += len(states)
             if count >= HELD_ROWS:
-                total += np.bincount(np.concatenate(held), minlength=own.size)
+                met, n = np.unique(np.concatenate(held), return_counts=True)
+                total[met] += n
                 held, count = [], 0
         if count:
-            total += np.bincount(np.concatenate(held), minlength=own.size)
+            met, n = np.unique(np.concatenate(held), return_counts=True)
+            total[met] += n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["state", "n"])
 
