@@ -27,9 +27,9 @@ SCALE = 2_000_000
 #: Bits of the filters of frequent phrases: 8 MB.
 FILTER_BITS = 1 << 26
 #: Rows that a task combines before they are shuffled, and text bytes taken up at a time.
-HELD_ROWS, CHUNK_BYTES = 1 << 20, 1 << 19
-#: Words, and bytes of them, whose counts a task holds.
-HELD_WORDS, HELD_BYTES = 1 << 18, 32 << 20
+HELD_ROWS, CHUNK_BYTES = 1 << 18, 1 << 19
+#: Words, and bytes of them, whose counts a task holds, and words in one Arrow batch.
+HELD_WORDS, HELD_BYTES, SENT_WORDS = 1 << 17, 16 << 20, 1 << 15
 #: Text bytes of one language that are turned into keys together.
 CODED_BYTES = 1 << 20
 #: Word keys that are handled together, which stay in a core's cache.
@@ -38,8 +38,8 @@ CHUNK_WORDS = 1 << 16
 TRIE_PHRASES = 1 << 18
 #: The texts of one such part, by their hash, name most candidates; the others are searched for the rest.
 NAMING_PARTS = 16
-#: Bytes of one Arrow batch of texts or keys.
-BATCH_BYTES = 8 << 20
+#: Bytes of one Arrow batch of texts or keys. Larger buffers are not pooled, and an executor does not give all of them back.
+BATCH_BYTES = 2 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Parts of the phrase keys, by their first bits, in which counts are added up.
 KEY_PART_BITS = 12
@@ -164,7 +164,9 @@ class _Words(dict):
     def rest(self) -> Iterator[pa.RecordBatch]:
         if self.texts:
             yield self.coded()
-        yield self.counted()
+        words = self.counted()
+        for at in range(0, words.num_rows, SENT_WORDS):
+            yield words.slice(at, SENT_WORDS)
 
 
 _CODED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("own", pa.int32())])

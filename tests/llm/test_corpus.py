@@ -551,3 +551,15 @@ def test_pipeline(spark, small, tmp_path):
     empty = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, small).count() == 0
+
+
+def test_collocation_words_travel_in_small_batches():
+    from labelweave.llm import collocations as c
+
+    words = c._Words("en", 0)
+    words.add(b" ".join(b"w%d" % i for i in range(2 * c.SENT_WORDS + 5)))
+    words.add(b"w1 w1")
+    batches = [b for b in words.rest() if b["word"].null_count == 0]
+    assert max(b.num_rows for b in batches) <= c.SENT_WORDS
+    counts = {w: n for b in batches for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True)}
+    assert len(counts) == 2 * c.SENT_WORDS + 5 and counts["w1"] == 3 and counts["w2"] == 1
