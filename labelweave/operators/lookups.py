@@ -80,8 +80,7 @@ def replace_tokens(
     target = out or text_col
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{SPACE}+|{NOT_SPACE}+"), F.lit(0))
     new = F.array_join(F.transform(pieces, lambda w: _changed(w, changes)), "")
-    shared = df.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(id_col)
-    shared = materialise(shared, "shared_ids")
+    shared = shared_ids(df, id_col)
     # A row without an id finds no tokens of its own.
     text = F.when(F.col(id_col).isNotNull() | F.col(text_col).isNull(), new).otherwise(F.lit(""))
     if shared.isEmpty():
@@ -91,6 +90,12 @@ def replace_tokens(
     return single.unionByName(_replaced_by_join(several, id_col, text_col, table, out))
 
 
+def shared_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """Ids of more than one row, stored; a missing id is none."""
+    counted = df.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+    return materialise(counted.filter("_n > 1").select(id_col), "shared_ids")
+
+
 def _few_words(table: DataFrame) -> dict[str, str] | None:
     """The table, if it has few words, each once; else nothing."""
     rows = table.select("word", "replacement").limit(LITERAL_LIMIT + 1).collect()

@@ -56,3 +56,26 @@ def test_cleaning(spark):
     found = {r.id: r.full_text for r in cleaning.clean_texts(frame, "id", "text").collect()}
     want = {r.id: r.t for r in frame.select("id", full_clean(F.col("text")).alias("t")).collect()}
     assert found == want
+
+
+def test_cleaning_of_rare_and_shared_words(spark, monkeypatch):
+    texts = ["the cats ran ran ran to zebras", "zebras! don't the cats", "ran", "gonna yak the ran", "", None, "yaks, owls; ran (the) end", "a the"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r.id: r.t for r in frame.select("id", full_clean(F.col("text")).alias("t")).collect()}
+    for held in (0, 1, 3, 100):
+        monkeypatch.setattr(cleaning, "HELD_TOKENS", held)
+        assert {r.id: r.full_text for r in cleaning.clean_texts(frame, "id", "text").collect()} == want
+    rows = [(1, "cats yaks"), (1, "owls"), (None, "cats"), (2, "the cats"), (None, None)]
+    found = cleaning.clean_texts(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()
+    assert sorted(((r.id, r.text, r.full_text) for r in found), key=str) == sorted(
+        [(1, "cats yaks", "cat owl yak"), (1, "owls", "cat owl yak"), (None, "cats", ""), (2, "the cats", "cat"), (None, None, None)], key=str
+    )
+
+
+def test_cleaning_stores_no_row_per_token(spark, monkeypatch):
+    rows = []
+    store = cleaning.materialise
+    monkeypatch.setattr(cleaning, "materialise", lambda df, name: (rows.append((kept := store(df, name)).count()), kept)[1])
+    frame = spark.range(20).select("id", F.repeat(F.lit("dogs run fast "), 500).alias("text"))
+    assert {r.full_text for r in cleaning.clean_texts(frame, "id", "text").collect()} == {" ".join(["dog run fast"] * 500)}
+    assert max(rows) <= 20
