@@ -128,8 +128,8 @@ def _from_held(soft: DataFrame, id_col: str, table: DataFrame) -> DataFrame:
     pieces = F.arrow_udf(lambda texts: _pieces(texts, *held.value), "gaps array<string>, rare array<string>")
     cut = soft.withColumn("_pieces", pieces("_soft"))
     if number == table.count():
-        return cut.withColumn("_text", F.col("_pieces.gaps")[0]).drop("_pieces")
-    cut = materialise(cut, "pieces")
+        return cut.withColumn("_text", F.col("_pieces.gaps")[0]).drop("_pieces", "_soft")
+    cut = materialise(cut.drop("_soft"), "pieces")
     rare = cut.filter(F.col(id_col).isNotNull()).select(id_col, F.posexplode("_pieces.rare").alias("_place", "word"))
     joined = lookup_join(rare, table.select("word", "cleaned"), ["word"], "inner", spread=[id_col, "_place"])
     parts = F.sort_array(F.collect_list(F.struct("_place", "cleaned")))
@@ -146,7 +146,7 @@ def _from_rows(soft: DataFrame, id_col: str, table: DataFrame) -> DataFrame:
     known = table.filter(F.col("cleaned") != "").select("word", "cleaned")
     joined = lookup_join(places, known, ["word"], "inner", spread=[id_col, "_place"])
     rebuilt = joined.groupBy(id_col).agg(_in_order(F.collect_list(F.struct("_place", F.col("cleaned").alias("w")))).alias("_text"))
-    return soft.join(rebuilt, id_col, "left")
+    return soft.join(rebuilt, id_col, "left").drop("_soft")
 
 
 def clean_texts(
