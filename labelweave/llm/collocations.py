@@ -34,8 +34,8 @@ HELD_WORDS, HELD_BYTES, SENT_WORDS = 1 << 17, 16 << 20, 1 << 15
 CODED_BYTES = 1 << 20
 #: Word keys that are handled together, which stay in a core's cache.
 CHUNK_WORDS = 1 << 16
-#: Candidate phrases in one trie.
-TRIE_PHRASES = 1 << 18
+#: Candidate phrases in one trie, and groups of first words that tries are put together from.
+TRIE_PHRASES, FIRST_GROUPS = 1 << 18, 4096
 #: The texts of one such part, by their hash, name most candidates; the others are searched for the rest.
 NAMING_PARTS = 16
 #: Bytes of one Arrow batch of texts or keys. Larger buffers are not pooled, and an executor does not give all of them back.
@@ -399,6 +399,8 @@ def _candidates(texts: DataFrame, filters: list[Broadcast], safe: list[DataFrame
     rest = materialise(keys.join(first, ["words", "key"], "left_anti"), "unnamed")
     wanted = [_filter_of(rest.filter(F.col("words") == size)) for size in range(2, len(filters) + 1)]
     second = _phrases(texts, filters, wanted).join(rest, ["words", "key"], "left_semi")
+    for bits in wanted:
+        bits.destroy()
     return first.unionByName(second.select(*first.columns))
 
 
@@ -417,16 +419,34 @@ class Trie:
         table = np.zeros((len(phrases), longest), np.int64)
         for k in range(longest):
             table[:, k] = [self.codes[p[k]] if k < len(p) else 0 for p in phrases]
-        self.shifts = [8 * i for i in reversed(range(-(-len(self.codes).bit_length() // 8)))]
+        self._build(np.array([self.roots[lang] for lang in langs]), table, len(self.codes))
+
+    @classmethod
+    def of_keys(cls, parts: pa.ListArray) -> tuple[Trie, np.ndarray, np.ndarray]:
+        """A trie of one root for lists of word keys; the keys, whose places are the codes less one; the codes of first words.
+
+        All is done in arrays, as a list of Python's numbers takes many times the bytes.
+        """
+        trie = cls.__new__(cls)
+        trie.codes, trie.roots = {}, {"": 0}
+        sizes = pc.list_value_length(parts).to_numpy()
+        known, codes = np.unique(parts.flatten().to_numpy(), return_inverse=True)
+        table = np.zeros((len(sizes), sizes.max()), np.int32)
+        table[np.arange(sizes.max()) < sizes[:, None]] = codes + 1
+        trie._build(np.zeros(len(sizes), np.int64), table, len(known))
+        return trie, known, np.unique(table[:, 0])
+
+    def _build(self, node: np.ndarray, table: np.ndarray, words: int) -> None:
+        """``node`` has the roots of the phrases and ``table`` the codes of their words, 0 behind the last."""
+        self.shifts = [8 * i for i in reversed(range(-(-words.bit_length() // 8)))]
         # Nodes are numbered level by level, roots first; an edge is (parent, digit) and its child the next number.
-        node = np.array([self.roots[lang] for lang in langs])
         parents, codes, total = [], [], len(self.roots)
-        for k in range(longest):
+        for k in range(table.shape[1]):
             rows = np.flatnonzero(table[:, k])
             for shift in self.shifts:
                 edge, child = np.unique(node[rows] * 512 + self._digit(table[rows, k], shift), return_inverse=True)
-                parents.append(edge // 512)
-                codes.append(edge % 512)
+                parents.append((edge // 512).astype(np.int32))
+                codes.append((edge % 512).astype(np.int32))
                 node[rows] = total + child
                 total += len(edge)
         self._place(np.concatenate(parents), np.concatenate(codes), node)
@@ -436,10 +456,13 @@ class Trie:
         return (codes >> shift & 255) + 1
 
     def _place(self, parents: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> None:
-        """Give every node with children a base, at random, so that no two children share a place; most children first."""
+        """Give every node with children a base, at random, so that no two children share a place; most children first.
+
+        Edges come sorted by parent and digit, as levels follow one another.
+        """
         roots, edges = len(self.roots), len(parents)
-        order = np.lexsort((codes, parents))
-        owners, begins, sizes = np.unique(parents[order], return_index=True, return_counts=True)
+        begins = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
+        owners, sizes = parents[begins], np.diff(np.append(begins, edges))
         self.size, failed = roots + 4 * edges + 1024, 0
         used, base = np.zeros(self.size, bool), np.zeros(len(owners), np.int64)
         used[:roots] = True
@@ -450,8 +473,8 @@ class Trie:
             many = 1 if sizes[waiting[0]] > 64 else 64 if sizes[waiting[0]] > 8 else len(waiting)
             nodes = waiting[:many]
             count = sizes[nodes]
-            edge = order[np.repeat(begins[nodes], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-            highest = codes[order[begins[nodes] + count - 1]]
+            edge = np.repeat(begins[nodes] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            highest = codes[begins[nodes] + count - 1]
             tried = draw.integers(roots, self.size - highest)
             places = np.repeat(tried, count) + codes[edge]
             of = np.repeat(np.arange(len(nodes)), count)
@@ -488,27 +511,39 @@ class Trie:
         return states
 
 
+def _codes_of(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places among the sorted ``known``, from one on; 0 for other keys."""
+    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[place] == keys, place + 1, 0)
+
+
 def _trie_counts(texts: DataFrame, tries: Broadcast, longest: int) -> DataFrame:
-    """(state, n): how often the phrases of a trie occur. All places of a chunk go down the trie together, level by level.
+    """(words, key, n): how often the phrases of a trie occur. All places of a chunk go down the trie together, level by level.
 
-    Every task sends one row for each phrase it met, so there are as many tasks as cores, however many texts there are.
+    Only places whose word begins a phrase of this trie are looked at further. Every task sends one row for each phrase
+    it met, so there are as many tasks as cores, however many texts there are.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = tries.value
-        total, held, count = np.zeros(own.size, np.int64), [], 0
-        # States after the first word, by its code.
-        begins = own.step(np.zeros(len(known) + 1, np.int64), np.arange(len(known) + 1))
+        own, known, first_codes, ends, words, phrases = tries.value
+        total, held, count = np.zeros(len(ends), np.int64), [], 0
+
+        def add() -> None:
+            met, n = np.unique(np.concatenate(held), return_counts=True)
+            place = np.minimum(np.searchsorted(ends, met), len(ends) - 1)
+            whole = ends[place] == met
+            total[place[whole]] += n[whole]
+
+        firsts = known[first_codes - 1]
+        begins = own.step(np.zeros(len(firsts), np.int64), first_codes)
         for keys, mine in _chunks(batches):
             signed = keys.view(np.int64)
-            place = np.minimum(np.searchsorted(known, signed), len(known) - 1)
-            codes = np.where(known[place] == signed, place + 1, 0)
-            states = begins[codes]
-            at = np.flatnonzero(mine & (states >= 0))
-            states = states[at]
+            first = _codes_of(signed, firsts)
+            at = np.flatnonzero(mine & (first > 0))
+            states = begins[first[at] - 1]
             for level in range(1, longest):
                 # A text ends with a break, so no place lies behind the chunk.
-                following = codes[at + level]
+                following = _codes_of(signed[at + level], known)
                 alive = np.flatnonzero(following)
                 at, states = at[alive], own.step(states[alive], following[alive])
                 alive = np.flatnonzero(states >= 0)
@@ -516,35 +551,57 @@ def _trie_counts(texts: DataFrame, tries: Broadcast, longest: int) -> DataFrame:
                 held.append(states)
                 count += len(states)
             if count >= HELD_ROWS:
-                met, n = np.unique(np.concatenate(held), return_counts=True)
-                total[met] += n
+                add()
                 held, count = [], 0
         if count:
-            met, n = np.unique(np.concatenate(held), return_counts=True)
-            total[met] += n
+            add()
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["state", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(words[found]), pa.array(phrases[found]), pa.array(total[found])], ["words", "key", "n"])
 
     few = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism)
-    return materialise(few.mapInArrow(run, "state long, n long").groupBy("state").agg(F.sum("n").alias("n")), "states")
+    return materialise(few.mapInArrow(run, "words int, key long, n long").groupBy("words", "key").agg(F.sum("n").alias("n")), "states")
+
+
+def _blocks(candidates: DataFrame, limit: int) -> list[Column]:
+    """Conditions that deal the candidates out to blocks of ``limit`` or a little more.
+
+    Phrases of one first word stay together as far as possible, so that a place of the texts concerns one block. A group of first
+    words that is too large alone is divided by the phrases' keys.
+    """
+    group = F.pmod(F.xxhash64(F.col("parts")[0]), F.lit(FIRST_GROUPS))
+    sizes = sorted(candidates.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("n")).collect())
+    blocks, begin, held = [], 0, 0
+    for number, n in sizes:
+        if held and held + n > limit:
+            blocks.append(group.between(begin, number - 1))
+            begin, held = number, 0
+        if n > limit:
+            parts = -(-n // limit)
+            blocks += [(group == number) & (F.pmod(F.xxhash64("key"), F.lit(parts)) == i) for i in range(parts)]
+            begin = number + 1
+        else:
+            held += n
+    return [*blocks, group.between(begin, FIRST_GROUPS)] if held else blocks
 
 
 def _counted(texts: DataFrame, candidates: DataFrame, longest: int, limit: int) -> list[DataFrame]:
-    """(words, key, parts, n) by blocks of candidates, each as large as one trie may be."""
-    spark = texts.sparkSession
-    blocks = -(-candidates.count() // limit)
-    out = []
-    for block in range(blocks):
-        rows = candidates.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).toArrow()
+    """(words, key, n) by blocks of candidates, each as large as one trie may be, and each stored.
+
+    Of a block nothing stays on the driver once its phrases are counted.
+    """
+    context, out = texts.sparkSession.sparkContext, []
+    for block in _blocks(candidates, limit):
+        rows = candidates.filter(block).select("words", "key", "parts").toArrow().combine_chunks()
         if not rows.num_rows:
             continue
         # Keys depend on the language, so one root serves all.
-        trie = Trie([""] * rows.num_rows, rows["parts"].to_pylist())
-        names = spark.createDataFrame(rows.append_column("state", pa.array(trie.ends)))
-        known = np.array(list(trie.codes), np.int64)
-        trie.codes = {}  # tasks look words up in ``known``
-        counts = _trie_counts(texts, spark.sparkContext.broadcast((trie, known)), longest)
-        out.append(names.join(counts, "state").select("words", "key", "parts", "n"))
+        trie, known, firsts = Trie.of_keys(rows["parts"].combine_chunks())
+        order = np.argsort(trie.ends)
+        words, keys = (rows[c].to_numpy()[order] for c in ("words", "key"))
+        tries = context.broadcast((trie, known, firsts, trie.ends[order], words, keys))
+        del rows, trie, known, order, words, keys
+        out.append(_trie_counts(texts, tries, longest))
+        tries.destroy()
     return out
 
 
@@ -598,11 +655,13 @@ def collocations(
             filters.append(_filter_of(safe[-1]))
         candidates = materialise(_candidates(texts, filters, safe), "candidates")
         counts = frequent.select("lang", F.lit(1).alias("words"), F.col("word").alias("phrase"), "n")
-        for part in _counted(texts, candidates, longest, trie_phrases):
-            counts = counts.unionByName(_spelled(part.filter(F.col("n") >= least), frequent))
+        counted = _counted(texts, candidates, longest, trie_phrases)
+        if counted:
+            enough = reduce(DataFrame.unionByName, counted).filter(F.col("n") >= least)
+            counts = counts.unionByName(_spelled(candidates.join(enough, ["words", "key"]), frequent))
         counts = materialise(counts, "counts")
         for bits in filters:
-            bits.unpersist()
+            bits.destroy()
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     return _ranked(_independent(counts), counts, totals, top)
 

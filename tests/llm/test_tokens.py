@@ -289,3 +289,37 @@ def test_trie_rows_do_not_grow_with_the_tasks(spark):
         patch.setattr(collocations, "materialise", lambda frame, name="": sent.append(frame._jdf.queryExecution().optimizedPlan().toString()) or real(frame, name))
         (counted,) = collocations._counted(texts, candidates, 4, 10)
     assert "Repartition" in sent[0] and {r.key: r.n for r in counted.collect()} == {0: 400, 1: 400, 2: 400}
+
+
+def test_the_driver_keeps_nothing_of_a_trie(spark, monkeypatch):
+    """Counts of a block are a stored table, its broadcast goes before the next block's comes, and each phrase is in one block."""
+    from pyspark import Broadcast, SparkContext
+
+    df = spark.range(40).selectExpr("'en' AS lang", "'a b c d a c' AS text")
+    words, texts = collocations.coded_words(df, "lang", "text")
+    keys = {r.word: r.key for r in words.collect()}
+    phrases = ["a b", "a c", "a b c", "a b c d", "b c", "c d", "c d a", "d a c", "d b", "a d"]
+    rows = [(len(p.split()), i, [keys[w] for w in p.split()]) for i, p in enumerate(phrases)]
+    candidates = spark.createDataFrame(rows, "words int, key long, parts array<long>")
+    live, most = set(), []
+    sent, gone = SparkContext.broadcast, Broadcast.destroy
+
+    def broadcast(self, value):
+        out = sent(self, value)
+        live.add(id(out))
+        most.append(len(live))
+        return out
+
+    def destroy(self, blocking=False):
+        live.discard(id(self))
+        gone(self, blocking)
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    parts = collocations._counted(texts, candidates, 4, 3)
+    assert len(parts) > 2 and max(most) == 1 and not live
+    plans = [p._jdf.queryExecution().optimizedPlan().toString() for p in parts]
+    assert all("Relation" in p and "LocalRelation" not in p and "LogicalRDD" not in p and "Join" not in p for p in plans)
+    found = [(r.words, r.key, r.n) for p in parts for r in p.collect()]
+    assert sorted(found) == [(w, k, 40) for w, k, _ in sorted(rows) if phrases[k] in "a b c d a c"]
+    assert [sum(candidates.filter(b).count() for b in collocations._blocks(candidates, limit)) for limit in (1, 3, 100)] == [len(rows)] * 3
