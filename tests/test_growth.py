@@ -109,3 +109,43 @@ def test_soft_texts_are_worked_out_once(spark):
     alone = frame.select("i", text.full_clean(F.col("tweet_text")).alias("full"))
     assert {r.i: r.tweet_full for r in made.collect()} == {r.i: r.full for r in alone.collect()}
     assert made.filter("i = 2").first().tweet_full is None
+
+
+def test_numbered_rows_are_shuffled_once(spark):
+    """The places of the rows are stored; numbers come from a small table of range sizes, also with missing and repeated keys."""
+    place = F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") * 7919 % 5000)
+    frame = spark.range(30_000).select("id", place.alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("g"))
+    numbered = ordering.dense_id(frame, ["k"], "n", 3, ["g"], rows_per_range=700)
+    plan = numbered._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert "Exchange" not in plan and "Window" not in plan
+    rows = sorted(numbered.collect(), key=lambda r: (r.g or 0, r.n))
+    for g in (None, 1, 2, 3, 4):
+        mine = [r for r in rows if r.g == g]
+        assert [r.n for r in mine] == list(range(3, 3 + len(mine))) and len(mine) == 6000
+        keys = [-1 if r.k is None else r.k for r in mine]
+        assert keys == sorted(keys)
+
+
+def test_balancing_leaves_only_what_its_result_reads(spark):
+    """Tables that steps stored for themselves are deleted, with no shuffle files of theirs left behind."""
+    import os
+
+    from labelweave.checks.inputs import STOP_WORDS, synonyms
+    from labelweave.plans.balancing import balance_training
+    from labelweave.session import _stages, materialise, settled
+
+    words = ["the", "rewh", "orre", "thatin", "inoran", "nd", "ein", "ung"]
+    rows = [(i, " ".join([f"w{i}", *(words[(i * k + k) % 8] for k in range(2, 14))]), "big" if i % 4 else "small", "s") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, tweet_text string, label string, source string")
+    frame = frame.selectExpr("*", "tweet_text AS tweet_soft", "tweet_text AS tweet_full")
+    part = settled(spark, lambda: materialise(materialise(frame).filter("doc_id >= 0")).filter("doc_id < 60"), "part")
+    stages = _stages(spark).removeprefix("file://")
+    before = set(os.listdir(stages))
+    assert sum(name.startswith("part-") for name in before) == 1
+    balanced = balance_training(part, "doc_id", synonyms(spark), 45, category_col="source", augmentation={"stop_words": STOP_WORDS}, stop_words=STOP_WORDS)
+    left = sorted(name.split("-")[0] for name in set(os.listdir(stages)) - before)
+    assert left.count("originals") == left.count("numbered") == 1 and set(left) <= {"originals", "numbered", "lookup"}
+    found = balanced.collect()
+    assert sorted(r.sample_id for r in found) == list(range(len(found))) and sum(r.is_augmented for r in found) > 0
+    assert {r.tweet_text for r in found if not r.is_augmented} == {r[1] for r in rows} and {r.source for r in found} == {"s"}
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
