@@ -149,3 +149,26 @@ def test_balancing_leaves_only_what_its_result_reads(spark):
     assert sorted(r.sample_id for r in found) == list(range(len(found))) and sum(r.is_augmented for r in found) > 0
     assert {r.tweet_text for r in found if not r.is_augmented} == {r[1] for r in rows} and {r.source for r in found} == {"s"}
     assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
+
+
+def test_words_of_vectors_are_hashed_in_batches(spark, monkeypatch):
+    """Counts are those of each word's MD5, whatever white space parts the words, with no expression for each word in the plan."""
+    import re
+    from hashlib import md5
+
+    monkeypatch.setattr(similarity, "COUNTED_ROWS", 3)
+    monkeypatch.setattr(similarity, "KNOWN_WORDS", 4)
+    odd = "".join(f"w{i}{chr(c)}" for i, c in enumerate([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    texts = ["The cat THE\tcat", None, "", "   ", " ÉA éa İ ", odd, odd + odd, "a\u200bb \x01 c", "x" * 5000, "nan"] + [f"w{i} w{i + 1}" for i in range(30)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(2)
+    counts = similarity._hashed_counts(frame, "t", 8)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "md5" not in plan
+    found = {r.i: r._counts.toArray().tolist() for r in counts.collect()}
+    lower = {r.i: r.t for r in frame.select("i", F.lower(F.coalesce("t", F.lit("nan"))).alias("t")).collect()}
+    for i in range(len(texts)):
+        want = [0.0] * 8
+        for word in re.findall("[^\\s\x1c-\x1f\x85]+", lower[i]):
+            want[int(md5(word.encode()).hexdigest()[:8], 16) % 8] += 1
+        assert found[i] == want
+    assert similarity._hashed_counts(frame.limit(0), "t", 8).count() == 0
